@@ -13,8 +13,8 @@ not none, is one shingle; without words the set is empty and linked with nothing
    minimum, every other class of the bucket is paired with it; pairs are distinct, their number is linear in the rows.
 4. Pairs survive if sizes and a second 1,024-bit parity sketch allow a link, and are verified on the sets.
 5. Connected components by minimum labels. Buckets whose classes all lie in one component are done: no further link
-   could change the result. For the others step 3 is repeated with other representatives, and then all their pairs across
-   components go through step 4, so that no link is lost.
+   could change the result. For the others step 3 is repeated with other representatives while they are large, and then
+   all their pairs across components go through step 4, so that no link is lost.
 
 Class ids are 64-bit hashes of a set.
 
@@ -247,20 +247,23 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     links = materialize(_verified(pair(named), sets, join), "verified")
     labels = components(links)
     rows = named.select("key", "cls")
-    for turn in (1, 2, 3):
-        rows = _across(rows, labels)
-        if rows.isEmpty():
+    for turn in range(1, len(ORDERS)):
+        rows = materialize(_across(rows, labels), "across")
+        size = rows.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
+        if not size["rows"]:
             break
-        rows = materialize(rows, "across")
-        if turn < 3:
-            more = _verified(pair(_representatives(rows.select("key", "cls"), turn)), sets, join)
-        else:  # what is left in several components, all of it
+        last = turn == len(ORDERS) - 1 or size["pairs"] <= 16 * size["rows"]
+        if last:  # what is left in several components, all of it
             side = lambda s: rows.select("key", F.col("cls").alias(s), F.col("comp").alias(f"{s}_comp")).join(_side(sets, s, "n", "sketch"), s)
-            more = _verified(side("a").join(side("b"), "key").where(F.col("a_comp") < F.col("b_comp")).where(_plausible(join)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, join)
-        more = materialize(more, "verified")
+            wanted = side("a").join(side("b"), "key").where(F.col("a_comp") < F.col("b_comp")).where(_plausible(join)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            wanted = pair(_representatives(rows.select("key", "cls"), turn))
+        more = materialize(_verified(wanted, sets, join), "verified")
         if not more.isEmpty():
             links = links.union(more).distinct()
             labels = components(links)
+        if last:
+            break
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     groups = held.groupBy("cls", "n").agg(F.min("doc_id").alias("least")).where("n > 0")
     known = groups.join(labels, "cls", "left").join(degree, "cls", "left").select("cls", "n", "least", F.coalesce("comp", "cls").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
