@@ -145,8 +145,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
 
         held = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                pool.append((key, enc.ids(text.as_py()) + end))
+            for key, ids in zip(batch.column(0).to_pylist(), enc.ids_of(batch.column(1).to_pylist()), strict=True):
+                pool.append((key, ids + end))
                 held += len(pool[-1][1]) // 4
                 if held >= pool_tokens:
                     yield from flush()

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, html_extract, jaccard, licenses, packing, quality_rules, simple8b, substring
+from . import classifier, decontam, html_extract, jaccard, licenses, packing, pii, quality_rules, simple8b, substring
 from .common import table
 
 
@@ -45,10 +45,21 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")).select("doc_id", "pii")
+    base = F.filter("pii", lambda p: p["base"])
+
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter(base, lambda p: p["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_license_scan, op5_vector_packing, op7_quality_classifier, op8_decontamination, op9_simple8b, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_license_scan, op5_vector_packing, op6_pii, op7_quality_classifier, op8_decontamination, op9_simple8b, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

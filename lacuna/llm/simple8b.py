@@ -165,8 +165,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, out: st
 
         held = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = enc.ids(text.as_py()) + end
+            for key, one in zip(batch.column(0).to_pylist(), enc.ids_of(batch.column(1).to_pylist()), strict=True):
+                one += end
                 ids.append(one)
                 ns.append(len(one) // 4)
                 keys.append(key)
