@@ -6,14 +6,15 @@ not none, is one shingle; without words the set is empty and linked with nothing
 
 1. Sketch: every shingle flips one bit of a parity sketch, so the Hamming distance of two sketches is at most the
    symmetric difference. Two sets of a size band can differ in at most D shingles if they link; the sketch of the band has
-   D + 1 blocks of 64 bits, so linked sets agree in at least one block (pigeonhole). A set is sketched for its own band and,
+   more than D blocks, so linked sets agree in at least one block (pigeonhole). A set is sketched for its own band and,
    near the band's lower end, for the band below.
 2. Classes: documents of equal sets are one class, so copies are never paired.
 3. Buckets (band, block, bits) with two or more classes: each bucket names one of four representatives by a map-side
    minimum, every other class of the bucket is paired with it; pairs are distinct, their number is linear in the rows.
-4. Pairs survive if sizes and a second 1,024-bit parity sketch allow a link, and are verified on the sets.
-5. Connected components by minimum labels. Buckets whose classes all lie in one component are done: no further link
-   could change the result. For the others step 3 is repeated with other representatives while they are large, and then
+4. Pairs survive if sizes and a second 1,024-bit parity sketch allow a link; the sets of their classes alone are made
+   again from the texts, and the pairs are verified on them.
+5. Connected components by minimum labels. Buckets of two classes, and those whose classes all lie in one component, are
+   done: no further link could change the result. For the others step 3 is repeated with other representatives while they are large, and then
    all their pairs across components go through step 4, so that no link is lost.
 
 Class ids are 64-bit hashes of a set.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import SPACED, Words, arrow_limits, batches, materialize, mix, utf8
 
 #: Ratio of the ends of a size band.
-RATIO = 1.5
+RATIO = 1.25
 #: Bits of the second sketch, as 64-bit words.
 SKETCH_WORDS = 16
 BROADCAST_IDS = 1_000_000
@@ -76,6 +77,12 @@ class Join:
         total = largest + largest * 100 // self.percent
         return max(self.most_apart(total), self.most_apart(total - 1)) + 1
 
+    @lru_cache
+    def spare(self, t: int) -> int:
+        """Empty blocks that a set of the band may leave out: one more than the smallest sets are expected to have."""
+        k = self.blocks(t)
+        return 1 + math.ceil(k * math.exp(-self.edge(t) / k))
+
 
 def shingles(words: Words, i: int, grams: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes of text i."""
@@ -91,7 +98,12 @@ def shingles(words: Words, i: int, grams: np.ndarray, n: int) -> np.ndarray:
 
 
 def bucket_keys(found: np.ndarray, join: Join) -> np.ndarray:
-    """Keys (signed) of the blocks of all bands that a set takes part in; sets that link with equal ones only have none."""
+    """Keys (signed) of the blocks of all bands that a set takes part in; sets that link with equal ones only have none.
+
+    A block has 2**16 bits and is kept as an exclusive-or hash of its bits, which is zero for an empty block. Blocks that
+    are empty in both sets agree without saying anything: the sketch has `spare` blocks more than the pigeonhole needs,
+    and a set with at most so many empty blocks leaves them out, since some other block must then agree as well.
+    """
     n, out = len(found), []
     t = join.band(n) if n else 0
     for band in (t, t - 1):
@@ -100,11 +112,15 @@ def bucket_keys(found: np.ndarray, join: Join) -> np.ndarray:
         k = join.blocks(band)
         if k < 2:
             continue
+        k += join.spare(band)
         h = mix(found ^ np.uint64(0xA5A5_0000 + band))
         block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         bits = np.zeros(k, np.uint64)
-        np.bitwise_xor.at(bits, block.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-        out.append(mix(mix(bits) + np.arange(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 40)))
+        np.bitwise_xor.at(bits, block.astype(np.int64), mix((h & np.uint64(0xFFFF)) + np.uint64(0x51ED_0000)))
+        places = np.arange(k)
+        if np.count_nonzero(bits == 0) <= join.spare(band):
+            places = places[bits != 0]
+        out.append(mix(mix(bits[places]) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 40)))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -131,54 +147,38 @@ def _per_text(batch: pa.RecordBatch, join: Join) -> Iterator[tuple[int, np.ndarr
 
 
 def sketched(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set), keys (of its buckets)."""
+    """doc_id, n (size of the set), cls (hash of the set), keys (of its buckets), sketch; the last two once a batch and class."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, cls, keys, seen = [], [], [], {}
+            n, cls, keys, sketches, seen = [], [], [], [], set()
             for _, found in _per_text(batch, join):
                 n.append(len(found))
                 cls.append(class_id(found))
-                if (cls[-1], n[-1]) in seen:  # a copy's buckets are those of its class
-                    keys.append(np.zeros(0, np.int64))
-                else:
-                    seen[cls[-1], n[-1]] = True
-                    keys.append(bucket_keys(found, join))
+                fresh = (cls[-1], n[-1]) not in seen  # a copy's buckets are those of its class
+                seen.add((cls[-1], n[-1]))
+                keys.append(bucket_keys(found, join) if fresh else np.zeros(0, np.int64))
+                sketches.append(parity_sketch(found).tolist() if len(keys[-1]) else [])
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "cls", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """cls, n, sketch, members (sorted hashes as bytes) of the classes (doc_id, cls) that take part in a pair."""
+    """cls, members (sorted hashes as bytes) of the classes (doc_id, cls)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows: list[list] = [[], [], [], []]
-            for i, found in _per_text(batch, join):
-                for column, value in zip(rows, (batch.column(2)[i].as_py(), len(found), parity_sketch(found).tolist(), found.tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.binary())], names=["cls", "n", "sketch", "members"])
+            own = batch.column(2).to_pylist()
+            # a doc_id that several texts share counts only with the text of the class
+            kept = [(own[i], found.tobytes()) for i, found in _per_text(batch, join) if class_id(found) == own[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.binary())], names=["cls", "members"])
 
     few = classes.count() <= BROADCAST_IDS
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(classes) if few else classes, "doc_id")
-    return chosen.select("doc_id", "text", "cls", "want").mapInArrow(_only_own(run, join), "cls long, n long, sketch array<long>, members binary").dropDuplicates(["cls"])
-
-
-def _only_own(run, join: Join):
-    """Rows of a doc_id that several texts share count only where the text is that of the class."""
-
-    def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        for batch in it:
-            for out in run(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], names=["doc_id", "text", "cls"])])):
-                true = pa.array([class_id(np.frombuffer(m, np.uint64)) for m in out.column("members").to_pylist()], pa.int64())
-                yield out.filter(pc.equal(true, out.column("cls")))
-
-    return own
+    return chosen.select("doc_id", "text", "cls").mapInArrow(run, "cls long, members binary")
 
 
 def _plausible(join: Join) -> Column:
@@ -208,8 +208,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
                 keep.append(100 * common >= p * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sketches = pairs.join(_side(sets, "a", "n", "sketch"), "a").join(_side(sets, "b", "n", "sketch"), "b").where(_plausible(join)).select("a", "b")
-    return sketches.join(_side(sets, "b", "members"), "b").join(_side(sets, "a", "members"), "a").select("a", "b", "a_members", "b_members").mapInArrow(run, "a long, b long")
+    return pairs.join(_side(sets, "b", "members"), "b").join(_side(sets, "a", "members"), "a").select("a", "b", "a_members", "b_members").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,16 +234,32 @@ def _representatives(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), cls and n_links (distinct classes found linked)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and cls."""
     arrow_limits(docs.sparkSession)
     held = materialize(sketched(docs, join), "sketches")
     rows = held.select("cls", F.explode("keys").alias("key"))
-    named = materialize(_representatives(rows, 0), "buckets")  # only buckets of two classes or more
-    taking_part = named.select("cls").distinct()
-    owner = held.join(taking_part, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).withColumn("want", F.lit(1))
-    sets = materialize(_sets(docs, materialize(owner, "owners"), join), "sets")
+    named = materialize(_representatives(rows, 0).distinct(), "buckets")  # only buckets of two classes or more
+    sketches = materialize(held.where(F.size("sketch") > 0).join(named.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sketch").dropDuplicates(["cls"]), "sketches-paired")
+    sets: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The verified ones of plausible pairs; sets that no earlier call made are made now."""
+        pairs = materialize(pairs, "plausible")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        for have in sets:
+            need = need.join(have.select("cls"), "cls", "left_anti")
+        owner = materialize(held.join(need, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "owners")
+        sets.append(materialize(_sets(docs, owner, join), "sets"))
+        every = sets[0]
+        for more in sets[1:]:
+            every = every.union(more)
+        return materialize(_verified(pairs, every, join), "verified")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b").where(_plausible(join)).select("a", "b")
+
     pair = lambda df: df.where("cls <> rep").select(F.least("cls", "rep").alias("a"), F.greatest("cls", "rep").alias("b")).distinct()
-    links = materialize(_verified(pair(named), sets, join), "verified")
+    links = linked(plausible(pair(named)))
     labels = components(links)
     rows = named.select("key", "cls")
     for turn in range(1, len(ORDERS)):
@@ -254,28 +269,27 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
             break
         last = turn == len(ORDERS) - 1 or size["pairs"] <= 16 * size["rows"]
         if last:  # what is left in several components, all of it
-            side = lambda s: rows.select("key", F.col("cls").alias(s), F.col("comp").alias(f"{s}_comp")).join(_side(sets, s, "n", "sketch"), s)
+            side = lambda s: rows.select("key", F.col("cls").alias(s), F.col("comp").alias(f"{s}_comp")).join(_side(sketches, s, "n", "sketch"), s)
             wanted = side("a").join(side("b"), "key").where(F.col("a_comp") < F.col("b_comp")).where(_plausible(join)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            wanted = pair(_representatives(rows.select("key", "cls"), turn))
-        more = materialize(_verified(wanted, sets, join), "verified")
+            wanted = plausible(pair(_representatives(rows.select("key", "cls"), turn)))
+        more = linked(wanted)
         if not more.isEmpty():
             links = links.union(more).distinct()
             labels = components(links)
         if last:
             break
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     groups = held.groupBy("cls", "n").agg(F.min("doc_id").alias("least")).where("n > 0")
-    known = groups.join(labels, "cls", "left").join(degree, "cls", "left").select("cls", "n", "least", F.coalesce("comp", "cls").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = groups.join(labels, "cls", "left").select("cls", "n", "least", F.coalesce("comp", "cls").alias("comp"))
     top = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    result = known.join(top, "comp").select("cls", "n", "component_id", "n_links")
-    return held.drop("keys").join(result, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    result = known.join(top, "comp").select("cls", "n", "component_id")
+    return held.select("doc_id", "n", "cls").join(result, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
 
 
 def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, cls, comp of the buckets whose classes lie in two components or more."""
+    """key, cls, comp of the buckets of three classes or more that lie in two components or more."""
     held = rows.select("key", "cls").join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+    mixed = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most and rows > 2").select("key")
     return held.join(mixed, "key", "left_semi")
 
 
