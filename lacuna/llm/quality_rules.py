@@ -26,6 +26,8 @@ from .common import materialize
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
 SAMPLE_ROWS = 256
+#: Repeated lines that a document may have for each hundred lines.
+DUP_LINE_PERCENT = 60
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,7 +96,7 @@ RULES = [
     Rule("few_words", lambda text, words: F.size(words) < 10),
     Rule("repeat_words", lambda text, words: 100 * n_repeat_words(words) > 20 * F.size(words)),
     Rule("symbols", lambda text, words: _share(n_symbols(text), words, 30)),
-    Rule("dup_lines", lambda text, words: F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)) * 30 < n_dup_lines(text) * 100),
+    Rule("dup_lines", lambda text, words: F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)) * DUP_LINE_PERCENT < n_dup_lines(text) * 100),
     Rule("upper_case", lambda text, words: F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{Lu}]+", "")) * 100 > word_chars(words) * 40),
     Rule("word_length", lambda text, words: (word_chars(words) < F.size(words) * 2) | (word_chars(words) > F.size(words) * 25)),
 ]
