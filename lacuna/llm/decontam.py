@@ -161,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         raise ValueError(f"mode {mode!r}")
     raw = F.encode("text", "utf-8")
     merged = F.aggregate("hit_bytes", F.struct(F.lit(0).alias("at"), F.expr("cast(x'' as binary)").alias("out")), lambda s, r: F.struct(F.greatest(s["at"], r["last"]).alias("at"), F.concat(s["out"], F.substring(raw, s["at"] + 1, F.greatest(F.lit(0), r["first"] - s["at"]))).alias("out")), lambda s: F.concat(s["out"], F.substring(raw, s["at"] + 1, F.octet_length("text"))))
-    text = F.when(F.size("hit_bytes") > 0, F.decode(merged, F.lit("utf-8"))).otherwise(F.col("text")).alias("text")
+    text = F.when(F.size("hit_bytes") > 0, F.decode(merged, "utf-8")).otherwise(F.col("text")).alias("text")
     return found.select([text if c == "text" else F.col(c) for c in docs.columns])
 
 
