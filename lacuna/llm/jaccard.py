@@ -228,9 +228,10 @@ def components(links: DataFrame) -> DataFrame:
 def _representatives(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b), a < b, of each class of a bucket with a representative of the bucket; rows: key, cls."""
     order = F.element_at(F.array(*(F.lit(x) for x in ORDERS)), (F.pmod(F.col("key") + turn, F.lit(len(ORDERS))) + 1).cast("int"))
-    low = rows.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(order)).alias("low"), F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", "low")
-    named = rows.join(low, "key").select("key", "cls", F.col("low").bitwiseXOR(order).alias("rep"))
-    return named
+    x = F.col("cls").bitwiseXOR(order)
+    low = materialize(rows.groupBy("key").agg(F.min(x).alias("low"), F.max(x).alias("high")).where("low < high").select("key", "low"), "shared-keys")
+    few = low.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(low) if few else low, "key").select("key", "cls", F.col("low").bitwiseXOR(order).alias("rep"))
 
 
 def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -296,10 +297,10 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One document of each component, with its own columns: that of the smallest doc_id, one row of it.
 
-    Documents without words are never in a group and stay, and so does a null doc_id without links.
+    Documents without words are never in a group and stay, and so does a null doc_id without links. Rows that share a
+    doc_id are one document and stay or go together; of rows that also share the text one stays.
     """
-    ids = docs.select("doc_id", "text")
-    found = similar_components(ids, join).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_comp"), F.col("n_shingles").alias("_n"))
-    stay = found.where("_n = 0 or _id is null and _comp is null or _id = _comp").select("_id").distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    found = similar_components(docs.select("doc_id", "text"), join)
+    stay = found.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_lacuna_id")).distinct()
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_lacuna_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)

@@ -270,7 +270,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     trees, thresholds = fit(docs.select(F.col("text").cast("string").alias("text")))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    held = docs.withColumn("_pii", spans_of(F.coalesce(F.col("text").cast("string"), F.lit("")), trees, thresholds))
+    held = docs.withColumn("_lacuna_pii", spans_of(F.coalesce(F.col("text").cast("string"), F.lit("")), trees, thresholds))
     text = F.col("text")
 
     def cut(spans: Column) -> Column:
@@ -279,4 +279,4 @@ def redact(docs: DataFrame) -> DataFrame:
         put = lambda a, p: F.struct(F.greatest(a["at"], -p["end"]).alias("at"), F.when(p["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, p["start"] - a["at"]), F.get(names, p["kind"])))).otherwise(a["out"]).alias("out")).cast(kind)
         return F.aggregate(ranked, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind), put, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
-    return held.withColumn("text", F.when(F.size("_pii") > 0, cut(F.col("_pii"))).otherwise(text)).select(docs.columns)
+    return held.withColumn("text", F.when(F.size("_lacuna_pii") > 0, cut(F.col("_lacuna_pii"))).otherwise(text)).select(docs.columns)

@@ -132,8 +132,8 @@ def first_failed(rules: list[Rule], text: Column, words: Column) -> Column:
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     plan = ordered(rules, measured(docs, rules, sample_rows))
-    held = docs.withColumn("_words", words_of(F.col("text")))
-    return held.where(first_failed(plan, F.col("text"), F.col("_words")).isNull()).select(docs.columns)
+    held = docs.withColumn("_lacuna_words", words_of(F.col("text")))
+    return held.where(first_failed(plan, F.col("text"), F.col("_lacuna_words")).isNull()).select(docs.columns)
 
 
 def judged(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

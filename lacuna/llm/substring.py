@@ -10,7 +10,8 @@ Counting is a map-side aggregate per hash, so a run that half the corpus holds i
 found twice or more are joined back. Within a document a run counts once for each place.
 
 Rows: a null text stays null and has no sentences; rows of equal doc_id and text are one document and get the same
-result; a null doc_id sorts last; an empty table gives no rows; other columns are carried along by `remove_repeats`.
+result; a null doc_id sorts last; an empty table gives no rows; other columns are carried along by
+`remove_repeats`, whose own columns (n_sentences, n_removed, n_chars_removed) take the place of any of the same name.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import arrow_limits
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+_K1, _K2, _COVERED = "_lacuna_k1", "_lacuna_k2", "_lacuna_covered"
 _END = re.compile(r"\n|(?<=[.!?])[^\S\n]+")
 
 
@@ -58,13 +60,13 @@ def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WOR
 
 
 def _key() -> list:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k1"), F.xxhash64("text").alias("k2")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(_K1), F.xxhash64("text").alias(_K2)]
 
 
 def find_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """k1, k2 (of the document), covered: ranges of sentences of non-first repeated runs; only documents that have any."""
+    """_K1, _K2 (of the document), _COVERED: ranges of sentences of non-first repeated runs; only documents that have any."""
     arrow_limits(docs.sparkSession)
-    names = ("h1", "h2", "k1", "k2", "first", "last")
+    names = ("h1", "h2", _K1, _K2, "first", "last")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +84,21 @@ def find_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, kinds[4]), pa.array(last, kinds[5])], names=list(names))
 
-    found = docs.select(*_key(), "text").mapInArrow(run, "h1 long, h2 long, k1 long, k2 long, first int, last int")
-    place = lambda: F.struct("k1", "k2", "first")
+    found = docs.select(*_key(), "text").mapInArrow(run, f"h1 long, h2 long, {_K1} long, {_K2} long, first int, last int")
+    place = lambda: F.struct(_K1, _K2, "first")
     # copies of a row give the same place: the number of places is what counts
-    repeated = found.groupBy("h1", "h2").agg(F.min("k1").alias("m1"), F.max("k1").alias("x1"), F.min("k2").alias("m2"), F.max("k2").alias("x2"), F.min("first").alias("mf"), F.max("first").alias("xf")).where("m1 < x1 or m2 < x2 or mf < xf").select("h1", "h2")
+    repeated = found.groupBy("h1", "h2").agg(F.min(_K1).alias("m1"), F.max(_K1).alias("x1"), F.min(_K2).alias("m2"), F.max(_K2).alias("x2"), F.min("first").alias("mf"), F.max("first").alias("xf")).where("m1 < x1 or m2 < x2 or mf < xf").select("h1", "h2")
     held = found.join(repeated, ["h1", "h2"])
     firsts = held.groupBy("h1", "h2").agg(F.min(place()).alias("at"))
     later = held.join(firsts, ["h1", "h2"]).where(place() > F.col("at"))
-    return later.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("covered"))
+    return later.groupBy(_K1, _K2).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias(_COVERED))
 
 
 def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with `text` cut, n_sentences, n_removed (sentences) and n_chars_removed."""
-    clash = {"n_sentences", "n_removed", "n_chars_removed", "k1", "k2", "covered"}
+    clash = {"n_sentences", "n_removed", "n_chars_removed"}
     docs = docs.select([c for c in docs.columns if c.lower() not in clash])
-    joined = docs.select("*", *_key()).join(find_repeats(docs, min_sentences, min_words), ["k1", "k2"], "left").drop("k1", "k2")
+    joined = docs.select("*", *_key()).join(find_repeats(docs, min_sentences, min_words), [_K1, _K2], "left").drop(_K1, _K2)
     at, names, carried = docs.columns.index("text"), docs.columns, len(docs.columns)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
