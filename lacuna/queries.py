@@ -514,7 +514,7 @@ def outcome_dimensions(spark, d):
 # scalar functions
 
 
-@query("""SELECT page_id, CASE WHEN regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'signal' ELSE regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') END AS stem, left(trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '-', 'g'), '\s+', ' ', 'g')), 160) AS file_name, sha256('page:' || page_id || ':' || url) AS ident FROM pages""")
+@query(r"""SELECT page_id, CASE WHEN regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'signal' ELSE regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') END AS stem, left(trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '-', 'g'), '\s+', ' ', 'g')), 160) AS file_name, sha256('page:' || page_id || ':' || url) AS ident FROM pages""")
 def names_and_identities(spark, d):
     p = views.read(spark, d, "pages")
     return p.select("page_id", text.safe_stem(F.col("url")).alias("stem"), text.clean_file_name(F.col("url")).alias("file_name"), text.identity(F.lit("page"), F.col("page_id"), F.col("url")).alias("ident"))
