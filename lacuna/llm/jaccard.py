@@ -32,13 +32,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED, Words, arrow_limits, batches, materialize, mix, utf8
 
-#: Ratio of the ends of a size band.
-RATIO = 1.25
 #: Bits of the second sketch, as 64-bit words.
 SKETCH_WORDS = 16
 BROADCAST_IDS = 1_000_000
@@ -56,19 +54,23 @@ class Join:
         p = self.percent
         return total - 2 * -(-p * total // (100 + p))
 
+    @property
+    def ratio(self) -> float:
+        """Of the ends of a size band: twice the ratio, in steps, that the sizes of linked sets can have."""
+        return (100 / self.percent) ** 2
+
     def band(self, n: int) -> int:
         """Band t holds the sizes from edge(t) to below edge(t + 1)."""
-        t = int(math.log(max(n, 1)) / math.log(RATIO))
+        t = int(math.log(max(n, 1)) / math.log(self.ratio))
         while self.edge(t + 1) <= n:
             t += 1
         while self.edge(t) > n:
             t -= 1
         return t
 
-    @staticmethod
     @lru_cache
-    def edge(t: int) -> int:
-        return math.ceil(RATIO**t - 1e-9)
+    def edge(self, t: int) -> int:
+        return math.ceil(self.ratio**t - 1e-9)
 
     @lru_cache
     def blocks(self, t: int) -> int:
@@ -297,8 +299,30 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One document of each component, with its own columns: that of the smallest doc_id, one row of it.
 
-    Documents without words are never in a group and stay, and so does a null doc_id without links. Rows that share a
-    doc_id are one document and stay or go together; of rows that also share the text one stays.
+    Documents without words are never in a group and stay; rows without a doc_id can't stand for a group and stay. Rows
+    that share a doc_id are one document and stay or go together; of rows that also share the text one stays.
+    """
+    found = similar_components(docs.select("doc_id", "text"), join)
+    stay = found.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").withColumn("_lacuna_hash", F.xxhash64("text")).join(stay, "doc_id", "left_semi")
+    # the same partitioning by doc_id serves the join and the window
+    once = F.row_number().over(Window.partitionBy("doc_id", "_lacuna_hash").orderBy("_lacuna_hash"))
+    kept = kept.withColumn("_lacuna_row", once).where("_lacuna_row = 1")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, cls, comp of the buckets of three classes or more that lie in two components or more."""
+    held = rows.select("key", "cls").join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most and rows > 2").select("key")
+    return held.join(mixed, "key", "left_semi")
+
+
+def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """One document of each component, with its own columns: that of the smallest doc_id, one row of it.
+
+    Documents without words are never in a group and stay; rows without a doc_id can't stand for a group and stay. Rows
+    that share a doc_id are one document and stay or go together; of rows that also share the text one stays.
     """
     found = similar_components(docs.select("doc_id", "text"), join)
     stay = found.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_lacuna_id")).distinct()
