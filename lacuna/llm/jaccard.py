@@ -40,6 +40,8 @@ from .common import SPACED, Words, arrow_limits, batches, materialize, mix, utf8
 #: Bits of the second sketch, as 64-bit words.
 SKETCH_WORDS = 16
 BROADCAST_IDS = 1_000_000
+#: Sketches (about 200 bytes each) that are sent to all executors; more are joined by a shuffle.
+BROADCAST_SKETCHES = 300_000
 #: Orders of classes by which a bucket can name its representative: the minimum of the id under exclusive or.
 ORDERS = (0x0000000000000000, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555)
 
@@ -243,6 +245,7 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     rows = held.select("cls", F.explode("keys").alias("key"))
     named = materialize(_representatives(rows, 0).distinct(), "buckets")  # only buckets of two classes or more
     sketches = materialize(held.where(F.size("sketch") > 0).join(named.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sketch").dropDuplicates(["cls"]), "sketches-paired")
+    filters = F.broadcast(sketches) if sketches.count() <= BROADCAST_SKETCHES else sketches
     sets: list[DataFrame] = []
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -259,7 +262,7 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
         return materialize(_verified(pairs, every, join), "verified")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(_side(sketches, "a", "n", "sketch"), "a").join(_side(sketches, "b", "n", "sketch"), "b").where(_plausible(join)).select("a", "b")
+        return pairs.join(_side(filters, "a", "n", "sketch"), "a").join(_side(filters, "b", "n", "sketch"), "b").where(_plausible(join)).select("a", "b")
 
     pair = lambda df: df.where("cls <> rep").select(F.least("cls", "rep").alias("a"), F.greatest("cls", "rep").alias("b")).distinct()
     links = linked(plausible(pair(named)))
