@@ -38,9 +38,40 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.word_end = self._word_ends()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Whether an id ends a word, for a vocabulary that marks the ends of words."""
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not mark:
+            return None
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            ends[i] = token.endswith(mark)
+        return ends
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks into the young generation. Where ids mark the ends of words, words of letters alone are encoded as
+        one text and parted at the marks; a text whose marks aren't as many as its words is encoded word by word."""
+        rest = chunks
+        if self.word_end is not None:
+            letters = [c for c in chunks if c.isalpha()]
+            rest = [c for c in chunks if not c.isalpha()]
+            groups = [letters[k : k + 256] for k in range(0, len(letters), 256)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                stops = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+                if len(stops) != len(group):
+                    rest += group
+                    continue
+                data, at = ids.tobytes(), 0
+                for c, stop in zip(group, stops.tolist(), strict=True):
+                    self.young[c] = data[at:stop]
+                    at = stop
+        self.young.update(zip(rest, self._encode(rest), strict=True))
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """A chunk without a newline in front had a blank there; one behind "\\0" had nothing."""
         texts = [c if c[:1] == "\n" else c[1:] if c[:1] == "\0" else f" {c}" for c in chunks]
@@ -77,8 +108,7 @@ class Encoder:
         if len(self.young) > CACHE_CHUNKS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        fresh = set().union(*texts)
-        fresh.difference_update(young)
+        fresh = set().union(*texts).difference(young)
         tails: dict[str, tuple[str, str]] = {}
         new: set[str] = set()
         for chunk in fresh:
@@ -97,8 +127,7 @@ class Encoder:
                             new.add(part)
             else:
                 new.add(chunk)
-        listed = list(new)
-        young.update(zip(listed, self._encode(listed), strict=True))
+        self._learn(list(new))
         for chunk, (core, tail) in tails.items():
             young[chunk] = young[core] + young[tail]
         out = [b"".join(map(young.__getitem__, parts)) for parts in texts]
