@@ -1,13 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: at line ends, and after `.`, `!` or `?` followed by white space. From every sentence a run
-of several consecutive sentences is taken: the shortest one of at least `min_sentences` sentences and `min_words` words. A
-run depends on its own words alone, so a shared passage gives the same runs wherever it stands. Runs are hashed (128 bits,
+A text is cut into sentences: at line ends, and after `.`, `!` or `?` followed by white space. Three kinds of runs of
+consecutive sentences are taken: from every sentence the shortest one of at least `min_sentences` sentences and
+`min_words` words, to every sentence the shortest such one that ends with it, and every single sentence of `min_words`
+words. A run depends on its own words alone, so a shared passage gives the same runs wherever it stands, and each sentence
+of a passage that long lies in one of its runs: one too near to the passage's end to start a run in it lies in a run that
+ends there. Runs of nothing but long sentences say no more than these do and are left out. Runs are hashed (128 bits,
 words joined by one blank, case kept) and joined over the whole corpus; the first occurrence, by (doc_id, hash of the text,
 place), stays, and every sentence that another occurrence covers is removed, together with the white space after it.
 
-Counting is a map-side aggregate per hash, so a run that half the corpus holds is one row for each map task; only runs
-found twice or more are joined back. Within a document a run counts once for each place.
+Two passes make the runs. The first counts by half of the hash, with a map-side aggregate, so a run that half the corpus
+holds is one row for each map task. The halves found at two places or more become a bitmap of 64 MB that
+is broadcast; the second pass sends on only runs that it has, and these are joined by the whole hash, so that a false find
+(about one in seven runs at 80 million repeated ones) changes nothing. Within a document a run counts once for each place.
 
 Rows: a null text stays null and has no sentences; rows of equal doc_id and text are one document and get the same
 result; a null doc_id sorts last; an empty table gives no rows; other columns are carried along by
@@ -17,17 +22,22 @@ result; a null doc_id sorts last; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, materialize, mix
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+#: Of the bitmap of hashes; 64 MB.
+BITS = 1 << 29
 _K1, _K2, _COVERED = "_lacuna_k1", "_lacuna_k2", "_lacuna_covered"
 _END = re.compile(r"\n|(?<=[.!?])[^\S\n]+")
 
@@ -45,20 +55,31 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, 16-byte hash) of the run from each sentence that has one."""
+    """(first sentence, sentence after the last, 16-byte hash) of the runs, in order of their places."""
     words = [text[a:b].split() for a, b in sentences(text)]
-    joined, out, end, held = [" ".join(w) for w in words], [], 0, 0
-    for start in range(len(words)):
-        while end < len(words) and (end - start < min_sentences or held < min_words):
-            held += len(words[end])
-            end += 1
-        if end - start < min_sentences or held < min_words:
-            break
-        out.append((start, end, xxhash.xxh3_128_digest(" ".join(joined[start:end]).encode("utf-8", "surrogatepass"))))
-        held -= len(words[start])
+    joined = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
+    n, held, long = len(words), [0, *accumulate(map(len, words))], [0, *accumulate(len(w) >= min_words for w in words)]
+    found = {(k, k + 1) for k in range(n) if long[k] < long[k + 1]}
+    for k in range(n):
+        found.add((k, max(k + min_sentences, bisect_left(held, held[k] + min_words))))
+        found.add((min(k + 1 - min_sentences, bisect_right(held, held[k + 1] - min_words) - 1), k + 1))
+    good = sorted((a, b) for a, b in found if a >= 0 and b <= n and (b == a + 1 or long[b] - long[a] < b - a))
+    return [(a, b, xxhash.xxh3_128_digest(b" ".join(joined[a:b]))) for a, b in good]
+
+
+def _bitmap(halves: DataFrame) -> np.ndarray:
+    """BITS bits, those at the high ends of the hashes set; at most BITS / 64 rows reach the driver."""
+    words = halves.groupBy(F.shiftrightunsigned("h1", 41).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h1, 35) & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def _in_bitmap(bitmap: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    at = halves.view(np.uint64) >> np.uint64(35)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _key() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(_K1), F.xxhash64("text").alias(_K2)]
 
@@ -67,28 +88,35 @@ def find_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     """_K1, _K2 (of the document), _COVERED: ranges of sentences of non-first repeated runs; only documents that have any."""
     arrow_limits(docs.sparkSession)
     names = ("h1", "h2", _K1, _K2, "first", "last")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    keyed = docs.select(*_key(), "text")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    def made(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Both halves of the hashes, rows, first and last."""
+        found = [(h, i, a, b) for i, text in enumerate(batch.column(2).to_pylist()) for a, b, h in runs(text or "", min_sentences, min_words)]
+        h = np.frombuffer(b"".join(f[0] for f in found), np.int64).reshape(-1, 2)
+        at = np.array([f[1:] for f in found], np.int64).reshape(-1, 3)
+        return h[:, 0].copy(), h[:, 1].copy(), at[:, 0].copy(), at[:, 1].astype(np.int32), at[:, 2].astype(np.int32)
 
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            hashes, at, first, last = [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for a, b, h in runs(text or "", min_sentences, min_words):
-                    hashes.append(h)
-                    at.append(i)
-                    first.append(a)
-                    last.append(b)
-            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, kinds[4]), pa.array(last, kinds[5])], names=list(names))
-
-    found = docs.select(*_key(), "text").mapInArrow(run, f"h1 long, h2 long, {_K1} long, {_K2} long, first int, last int")
-    place = lambda: F.struct(_K1, _K2, "first")
+            h1, _, rows, first, _ = made(batch)
+            k1, k2 = (batch.column(k).to_numpy().view(np.uint64)[rows] for k in (0, 1))
+            place = mix(mix(mix(k1) + k2) + first.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(place)], names=["h1", "place"])
+
     # copies of a row give the same place: the number of places is what counts
-    repeated = found.groupBy("h1", "h2").agg(F.min(_K1).alias("m1"), F.max(_K1).alias("x1"), F.min(_K2).alias("m2"), F.max(_K2).alias("x2"), F.min("first").alias("mf"), F.max("first").alias("xf")).where("m1 < x1 or m2 < x2 or mf < xf").select("h1", "h2")
-    held = found.join(repeated, ["h1", "h2"])
+    often = keyed.mapInArrow(places, "h1 long, place long").groupBy("h1").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most").select("h1")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            h1, h2, rows, first, last = made(batch)
+            keep = _in_bitmap(bitmap.value, h1)
+            of = pa.array(rows[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[keep]), pa.array(h2[keep]), batch.column(0).take(of), batch.column(1).take(of), pa.array(first[keep]), pa.array(last[keep])], names=list(names))
+
+    held = materialize(keyed.mapInArrow(run, f"h1 long, h2 long, {_K1} long, {_K2} long, first int, last int"), "runs")
+    place = lambda: F.struct(_K1, _K2, "first")
     firsts = held.groupBy("h1", "h2").agg(F.min(place()).alias("at"))
     later = held.join(firsts, ["h1", "h2"]).where(place() > F.col("at"))
     return later.groupBy(_K1, _K2).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias(_COVERED))

@@ -134,6 +134,26 @@ def test_substring_dedup(docs):
     assert sum(want.values()) > 0
 
 
+def test_substring_covers_a_repeated_passage(spark):
+    rng = random.Random(5)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) + "."
+    passages = [[plain(n) for n in sizes] for sizes in ([27, 12, 12, 11, 11, 4], [60], [5, 5, 5, 5], [30, 3, 3], [3, 3, 30], [25, 25], [1] * 30, [19, 1], [19], [8, 8])]
+    rows, want = [], {}
+    for k, p in enumerate(passages):
+        for copy in (0, 1):
+            around = [plain(9), plain(14)], [plain(4), plain(13)]
+            rows.append((2 * k + copy, " ".join([*around[0], *p, *around[1]])))
+        whole = sum(len(s.split()) for s in p) >= 20 and (len(p) > 1 or len(p[0].split()) >= 20)
+        want[2 * k], want[2 * k + 1] = 0, len(p) if whole else 0
+        if whole:  # nothing but the passage goes
+            rest = " ".join([*around[0], *around[1]])
+            want[2 * k + 1, "text"] = rest
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {k: n for k, n in want.items() if isinstance(k, int)}
+    for r in out:
+        assert r["text"] == want.get((r["doc_id"], "text"), r["text"])
+
+
 def test_packing_covers_every_id(docs):
     rows, df = docs
     path = public_tokenizers.path("byte_bpe_50k.json")
