@@ -15,7 +15,9 @@ not none, is one shingle; without words the set is empty and linked with nothing
    again from the texts, and the pairs are verified on them.
 5. Connected components by minimum labels. Buckets of two classes, and those whose classes all lie in one component, are
    done: no further link could change the result. For the others step 3 is repeated with other representatives while they are large, and then
-   all their pairs across components go through step 4, so that no link is lost.
+   all their pairs across components go through step 4, so that no link across components is lost.
+6. Links: a link lies within a component, so all pairs of classes of each component are verified on their sets and counted
+   by class. A component of many classes is split into blocks of `BLOCK`, and each two of its blocks are one task.
 
 Class ids are 64-bit hashes of a set.
 
@@ -42,6 +44,8 @@ SKETCH_WORDS = 16
 BROADCAST_IDS = 1_000_000
 #: Sketches (about 200 bytes each) that are sent to all executors; more are joined by a shuffle.
 BROADCAST_SKETCHES = 300_000
+#: Classes of a component whose sets meet those of another block at once.
+BLOCK = 512
 #: Orders of classes by which a bucket can name its representative: the minimum of the id under exclusive or.
 ORDERS = (0x0000000000000000, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555)
 
@@ -180,9 +184,18 @@ def _sets(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
             kept = [(own[i], found.tobytes()) for i, found in _per_text(batch, join) if class_id(found) == own[i]]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.binary())], names=["cls", "members"])
 
-    few = classes.count() <= BROADCAST_IDS
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(classes) if few else classes, "doc_id")
-    return chosen.select("doc_id", "text", "cls").mapInArrow(run, "cls long, members binary")
+    def nameless(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            kept = [(class_id(found), found.tobytes()) for _, found in _per_text(batch, join)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.binary())], names=["cls", "members"])
+
+    size = classes.agg(F.count("*").alias("all"), F.count("doc_id").alias("named")).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = texts.join(F.broadcast(classes) if size["all"] <= BROADCAST_IDS else classes, "doc_id")
+    made = chosen.select("doc_id", "text", "cls").mapInArrow(run, "cls long, members binary")
+    if size["named"] < size["all"]:  # classes all of whose texts lack a doc_id
+        made = made.union(texts.where("doc_id is null").mapInArrow(nameless, "cls long, members binary").join(classes.where("doc_id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    return made
 
 
 def _plausible(join: Join) -> Column:
@@ -238,8 +251,55 @@ def _representatives(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(F.broadcast(low) if few else low, "key").select("key", "cls", F.col("low").bitwiseXOR(order).alias("rep"))
 
 
-def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and cls."""
+def linked_within(members: list[np.ndarray], n_first: int, join: Join) -> np.ndarray:
+    """Links of each set with the others; if n_first is not their number, only those between the first ones and the rest."""
+    sizes = np.array([len(m) for m in members], np.int64)
+    owner = np.repeat(np.arange(len(members)), sizes)
+    _, at, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)  # no other shingle counts in an intersection
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[at]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    cross = n_first < len(members)
+    left, right = (slice(0, n_first), slice(n_first, None)) if cross else (slice(None), slice(None))
+    common = np.zeros((len(sizes[left]), len(sizes[right])), np.int64)
+    for lo in range(0, len(shared), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        held = np.zeros((len(members), min(4096, len(shared) - lo)), np.float32)
+        held[owner[a:b], column[a:b] - lo] = 1
+        common += (held[left] @ held[right].T).astype(np.int64)
+    link = 100 * common >= join.percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+    if cross:
+        return np.concatenate([link.sum(1), link.sum(0)])
+    np.fill_diagonal(link, False)
+    return link.sum(1)
+
+
+def _degrees(labels: DataFrame, sets: DataFrame, join: Join, block: int) -> DataFrame:
+    """cls, n_links (other classes that it links with) of the classes that have a link; labels: cls, comp."""
+    large = labels.groupBy("comp").count().where(F.col("count") > block).select("comp", F.ceil(F.col("count") / block).alias("blocks"))
+    placed = labels.join(F.broadcast(large), "comp", "left").select("cls", "comp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    tiles = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.select("cls", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        held = {c: (s, np.frombuffer(m.as_buffer(), np.uint64)) for c, s, m in zip(tile["cls"].to_pylist(), tile["second"].to_pylist(), tile["members"].combine_chunks(), strict=True)}
+        kept = sorted(held, key=lambda c: held[c][0])
+        n_first = sum(not held[c][0] for c in kept) if tile["x"][0].as_py() < tile["y"][0].as_py() else len(kept)
+        if n_first in (0, len(kept)) and tile["x"][0].as_py() < tile["y"][0].as_py():
+            return pa.table({"cls": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+        return pa.table({"cls": pa.array(kept, pa.int64()), "n_links": pa.array(linked_within([held[c][1] for c in kept], n_first, join), pa.int64())})
+
+    counts = tiles.join(sets, "cls").select("cls", "comp", "x", "y", "second", "members").groupBy("comp", "x", "y").applyInArrow(run, "cls long, n_links long")
+    return counts.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
+def similar_components(docs: DataFrame, join: Join = Join(), links_too: bool = True, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), cls and, if `links_too`, n_links (other classes linked)."""
     arrow_limits(docs.sparkSession)
     held = materialize(sketched(docs, join), "sketches")
     rows = held.select("cls", F.explode("keys").alias("key"))
@@ -289,7 +349,14 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     known = groups.join(labels, "cls", "left").select("cls", "n", "least", F.coalesce("comp", "cls").alias("comp"))
     top = known.groupBy("comp").agg(F.min("least").alias("component_id"))
     result = known.join(top, "comp").select("cls", "n", "component_id")
-    return held.select("doc_id", "n", "cls").join(result, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls"]
+    if links_too:
+        every = sets[0]
+        for more in sets[1:]:
+            every = every.union(more)
+        result = result.join(_degrees(labels, every, join, block), "cls", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return held.select("doc_id", "n", "cls").join(result, ["cls", "n"], "left").select(columns)
 
 
 def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -305,7 +372,7 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     Documents without words are never in a group and stay; rows without a doc_id can't stand for a group and stay. Rows
     that share a doc_id are one document and stay or go together; of rows that also share the text one stays.
     """
-    found = similar_components(docs.select("doc_id", "text"), join)
+    found = similar_components(docs.select("doc_id", "text"), join, links_too=False)
     stay = found.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").withColumn("_lacuna_hash", F.xxhash64("text")).join(stay, "doc_id", "left_semi")
     # the same partitioning by doc_id serves the join and the window
@@ -327,7 +394,7 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     Documents without words are never in a group and stay; rows without a doc_id can't stand for a group and stay. Rows
     that share a doc_id are one document and stay or go together; of rows that also share the text one stays.
     """
-    found = similar_components(docs.select("doc_id", "text"), join)
+    found = similar_components(docs.select("doc_id", "text"), join, links_too=False)
     stay = found.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_lacuna_id")).distinct()
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_lacuna_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
