@@ -189,3 +189,14 @@ def segment_violations(spark, d):
 def gap_rollup(spark, d):
     t = islands.gaps(views.gapped_series(spark, d), ["series"]).groupBy("series").agg(F.count("*").alias("gaps"), F.sum("length").alias("missing"))
     return t.withColumn("many", F.col("gaps") >= 20).rollup("many").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"), F.grouping("many").cast("long").alias("total")).withColumn("many", F.coalesce("many", F.lit(False)))
+
+
+# whole forms without SQL
+
+
+@query(None)
+def compact_pages(spark, d):
+    """All series, four to a page: page, local_sample, t and a column per channel."""
+    v = views.regular_series(spark, d).select(F.floor(F.col("series") / 4).alias("page"), F.concat(F.lit("c"), F.pmod("series", F.lit(4))).alias("channel"), F.col("sample").alias("local_sample"), "value")
+    wide = v.groupBy("page", "local_sample").pivot("channel", ["c0", "c1", "c2", "c3"]).agg(F.first("value", ignorenulls=True))
+    return wide.withColumn("t", F.col("local_sample") / F.lit(500.0))
