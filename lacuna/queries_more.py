@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import gates, text
-from lacuna.operators import evidence, islands
+from lacuna.operators import evidence, grouped, islands
 from lacuna.queries import V1, V2, V3, V7, query
 from lacuna.sources import views
 
@@ -200,3 +200,18 @@ def compact_pages(spark, d):
     v = views.regular_series(spark, d).select(F.floor(F.col("series") / 4).alias("page"), F.concat(F.lit("c"), F.pmod("series", F.lit(4))).alias("channel"), F.col("sample").alias("local_sample"), "value")
     wide = v.groupBy("page", "local_sample").pivot("channel", ["c0", "c1", "c2", "c3"]).agg(F.first("value", ignorenulls=True))
     return wide.withColumn("t", F.col("local_sample") / F.lit(500.0))
+
+
+#: Each label's series are dealt to so many blocks, and each two blocks meet in a task of their own.
+PAIR_BLOCKS = 8
+
+
+@query(None)
+def aligned_series(spark, d):
+    """The alignment search of the policy over all pairs of a label: a, b (a < b), scale, shift, offset, rmse."""
+    v = views.regular_series(spark, d)
+    ids = views.read(spark, d, "embeddings").select("vec_id", "label").distinct().withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(PAIR_BLOCKS)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long")))
+    a = ids.select("label", F.col("vec_id").alias("a"), F.col("own").alias("x"), other.alias("y"))
+    b = ids.select("label", F.col("vec_id").alias("b"), F.col("own").alias("y"), other.alias("x"))
+    return grouped.aligned_pairs(grouped.series_arrays(v, "series"), a.join(b, ["label", "x", "y"]).where("a < b").select("a", "b"))

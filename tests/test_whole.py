@@ -1,6 +1,13 @@
 """Queries that have no SQL, on small tables against plain versions."""
 
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
 from lacuna import queries, queries_more  # noqa: F401
+from lacuna.functions import kernels
 
 
 def embeddings(spark, tmp_path, rows):
@@ -17,3 +24,16 @@ def test_compact_pages(spark, tmp_path):
     got = queries.QUERIES["compact_pages"](spark, embeddings(spark, tmp_path, rows)).collect()
     assert {(r["page"], r["local_sample"]): [r["c0"], r["c1"], r["c2"], r["c3"]] for r in got} == want and len(got) == len(want)
     assert all(r["t"] == r["local_sample"] / 500.0 for r in got)
+
+
+def test_aligned_series(spark, tmp_path):
+    rng = random.Random(2)
+    wave = [rng.gauss(0, 1) for _ in range(90)]
+    rows = [(k, k % 2, [float(np.float32(x)) for x in (wave[7:71] if k == 4 else wave[:64] if k == 0 else [rng.gauss(0, 1) for _ in range(64)])]) for k in range(7)]
+    got = {(r["a"], r["b"]): r for r in queries.QUERIES["aligned_series"](spark, embeddings(spark, tmp_path, rows)).collect()}
+    values = {k: np.array(v) for k, _, v in rows}
+    assert set(got) == {(a, b) for a, b in combinations(range(7), 2) if a % 2 == b % 2}  # not neighbours alone
+    for (a, b), r in got.items():
+        scale, shift, offset, rmse = kernels.align(values[a], values[b])
+        assert (r["scale"], r["shift"]) == (scale, shift) and r["rmse"] == pytest.approx(rmse) and r["offset"] == pytest.approx(offset)
+    assert abs(got[0, 4]["shift"]) == 7 and got[0, 4]["scale"] == 1.0
