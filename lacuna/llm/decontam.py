@@ -6,8 +6,8 @@ equal. The set is broadcast in blocks of at most `block_windows` windows, so wha
 large the benchmark is: with one block (any usual benchmark) the scan is one pass without a shuffle; with more, each block
 scans the corpus and the hits of a document are merged by (doc_id, hash of the text).
 
-Rows: a null text has no words; a null item text has no window; repeated documents get the same result; repeated item ids
-count once; an empty benchmark hits nothing; other columns of the documents are carried along by `decontaminate`.
+Rows: a null text has no words; a null item text has no window; windows of an item without an id are hit, but it is not
+among the items; repeated documents get the same result; repeated item ids count once; an empty benchmark hits nothing; other columns of the documents are carried along by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ _ADDED = f"n_words long, hit_words {_RANGES}, hit_bytes {_RANGES}, items array<s
 def _blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[list[tuple[str, str | None]]]:
     """Items in blocks of bounded windows; an item of more windows than that is cut into overlapping parts."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = Words(utf8([row["text"]]), ALNUM)
         total = len(words.hash)
         for lo in range(0, max(1, total - n + 1), block_windows):
@@ -134,7 +134,7 @@ def _scanned(docs: DataFrame, items: list[tuple[str, str | None]], n: int) -> Da
             texts = utf8(batch.column(at).to_pylist())
             rows: list[tuple] = []
             for lo, hi in batches(texts):
-                rows += [(w, [{"first": a, "last": b} for a, b in r], [{"first": a, "last": b} for a, b in c], sorted({windows.items[k] for k in found})) for w, r, c, found in scan(texts[lo:hi], windows)]
+                rows += [(w, [{"first": a, "last": b} for a, b in r], [{"first": a, "last": b} for a, b in c], sorted({windows.items[k] for k in found} - {None})) for w, r, c, found in scan(texts[lo:hi], windows)]
             added = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), ranges, ranges, pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "n_words", "hit_words", "hit_bytes", "items"])
 
