@@ -31,6 +31,8 @@ COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 BLOCK = 1024
 SHARD_IDS = 8_000_000
+#: Tasks that read shards; beyond so many files a task reads several.
+MAX_READERS = 20_000
 _PAD = 64
 _STEP = 1 << 21
 
@@ -49,18 +51,38 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     return join(words, np.uint64), np.concatenate([[0], np.cumsum(join(sizes, np.int64))]).astype(np.uint64), join(escapes, np.uint64)
 
 
+#: Distinct widths in order; the place of a selector's width among them.
+_WIDTHS = np.unique(BITS[1:15])
+_LANE = np.searchsorted(_WIDTHS, BITS)
+_SMALL = np.searchsorted(np.uint64(1) << _WIDTHS.astype(np.uint64), np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _lanes(ids: np.ndarray) -> np.ndarray:
+    """For each id the place of the least width that holds it; one past the last if none does."""
+    out = _SMALL[np.minimum(ids, np.uint64(0xFFFF)).astype(np.int64)]
+    large = ids > 0xFFFF
+    if large.any():
+        out[large] = np.searchsorted(np.uint64(1) << _WIDTHS.astype(np.uint64), ids[large], side="right")
+    return out
+
+
 def _encode_blocks(ids: np.ndarray, block: int, known: int):
     rows = -(-len(ids) // block)
     grid = np.zeros((rows, block + _PAD), np.uint64)
     grid[:, :block] = np.concatenate([ids, np.zeros(rows * block - len(ids), np.uint64)]).reshape(rows, block)
     counts = np.full(rows, block)
     counts[-1] = len(ids) - (rows - 1) * block
-    selector = np.zeros((rows, block), np.int8)
+    need = _lanes(grid)
+    selector, widest = np.zeros((rows, block), np.int8), {1: need}
     for s in range(14, 0, -1):  # what packs more ids overwrites what packs fewer
-        n, b = int(COUNT[s]), np.uint64(BITS[s])
-        big = np.zeros((rows, block + _PAD + 1), np.int32)
-        np.cumsum((grid >> b) != 0, axis=1, out=big[:, 1:])
-        selector[big[:, n : n + block] == big[:, :block]] = s
+        n = int(COUNT[s])
+        if n not in widest:  # the widest of n ids from two overlapping stretches of fewer
+            half = next(k for k in sorted(widest, reverse=True) if k < n)
+            while 2 * half < n:
+                widest[2 * half] = np.maximum(widest[half][:, :-half], widest[half][:, half:])
+                half *= 2
+            widest[n] = np.maximum(widest[half][:, : grid.shape[1] - n + 1], widest[half][:, n - half : grid.shape[1] - half + 1])
+        selector[widest[n][:, :block] <= _LANE[s]] = s
     at, chain, row = np.zeros(rows, np.int64), [], np.arange(rows)
     while True:
         live = at < counts
@@ -203,5 +225,5 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     listed = manifest.select("shard", "part", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    spread = listed.repartition("path").select("path", "before")
+    spread = listed.repartition(min(max(1, manifest.count()), MAX_READERS)).select("path", "before")  # a task for each file
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
