@@ -1,15 +1,20 @@
 """Main text of web pages by composite text density.
 
 The page is read into a tree by one tokenising expression (void elements, implied ends of p, li, td and the like, raw text
-elements, comments). For every node with C characters, LC of them in links, T tags, LT of them links, the composite text
-density is
+elements, comments). For every node with C
+characters, LC of them link-like, T tags, LT of them link-like, the composite text density is
 
     C / T * log_b((C / LC) * (T / LT)),  b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
-with counts of zero taken as one. The density sum of a node adds up its children's densities. The node of the largest sum
-is the core; the smallest density on the path from the body to the core is the threshold, and the core's subtrees whose
-blocks fall below it are dropped if they are mostly links. Elements that are never main text (menus, headers of the page,
-footers, sidebars, forms, scripts, notices, adverts, comments) are cut off by tag, role and class before the counting.
+with counts of zero taken as one (and b = e on a page without any such characters). The density sum of a node adds up its children's densities. The node of the largest sum
+is the core; the smallest density on the path from the body to the core is the threshold, and blocks inside the core whose
+density falls below it are dropped if they are mostly link-like.
+
+What counts: elements that are no text (scripts, styles, forms, ...) or that the tag itself names as something else (nav,
+footer, aside, a header outside the article) are left out. Text in links is link-like, and so is text in an element whose
+role, or a whole class or id, names it as a menu, notice, advert, reader comment and the like: such text lowers a density,
+and it is the density that decides. An `article` or `main` is the place to look in unless the text outside of it is more
+than three times its own; it is then taken as a whole, so that a title beside the densest part stays.
 
 Text: character references decoded, white space inside a block one blank, trimmed, blocks joined in page order by one \\n.
 
@@ -37,105 +42,114 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form header button dialog menu head script style noscript template textarea title svg math iframe object canvas select xmp audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Class and id words of parts that are not main text.
-BOILER = frozenset("ad ads adv advert advertisement advertising adsbygoogle banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond newsletter subscribe signup login cookie cookies consent gdpr notice popup modal overlay widget pagination pager tags metadata byline copyright disclaimer skip hidden".split())
+#: Whole classes and ids whose text is link-like.
+BOILER = frozenset("ad ads adv advert advertisement advertising adsbygoogle banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond newsletter subscribe signup login cookie cookies consent gdpr notice popup modal overlay widget pagination pager tags metadata byline copyright disclaimer skip hidden ad-banner ad-slot cookie-banner cookie-notice comment-list related-posts share-buttons social-links site-header site-footer".split())
 CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}), "body": frozenset({"head"}),
 }
 _ENDS_P = BLOCK - frozenset("br body html td th tr tbody thead tfoot caption li dd dt option optgroup legend summary".split())
+_P, _NONE = frozenset({"p"}), frozenset()
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _SCOPE = frozenset("ul ol dl table div article section main aside nav header footer form blockquote td th body html".split())
-INLINE_KEPT = frozenset({"article", "main", "body", "html"})
+_WALL = frozenset("article main body table td".split())
+_HOME = frozenset({"article", "main"})
+#: The text outside an article that makes the whole page the place to look in, as a multiple of the article's.
+OUTSIDE = 3
 
 
 class Node:
-    __slots__ = ("tag", "parts", "chars", "link_chars", "tags", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parts", "parent", "chars", "link_chars", "tags", "link_tags", "density", "total", "dropped", "linkish")
 
-    def __init__(self, tag: str, dropped: bool) -> None:
-        self.tag, self.dropped, self.parts = tag, dropped, []
+    def __init__(self, tag: str, dropped: bool = False, linkish: bool = False, parent: Node | None = None) -> None:
+        self.tag, self.dropped, self.linkish, self.parent, self.parts = tag, dropped, linkish, parent, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
+    def nodes(self) -> list[Node]:
+        return [p for p in self.parts if isinstance(p, Node) and not p.dropped]
+
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in NEVER and not (tag == "header" and inside_article):
-        return True
-    if not attributes or tag in INLINE_KEPT and "role" not in attributes:
-        return False
+def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden; whether its role, class or id makes its text link-like."""
+    hidden = linkish = False
     for m in _ATTR.finditer(attributes):
         name = (m[1] or m[3]).lower()
         value = (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id") and tag not in INLINE_KEPT and not BOILER.isdisjoint(re.split(r"[\s_\-]+", value)):
-            return True
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name in ("class", "id") and tag not in ("article", "main", "body"):
+            linkish |= not BOILER.isdisjoint(value.split())
+        linkish |= name == "role" and value in ROLES
+        hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value))
+    return hidden, linkish
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; text stands in `parts` between the children."""
-    root = Node("html", False)
-    stack, at, articles = [root], 0, 0
-
-    def close(count: int) -> None:
-        nonlocal articles
-        for _ in range(count):
-            articles -= stack.pop().tag in ("article", "main")
-
-    def text(piece: str) -> None:
-        if piece:
-            stack[-1].parts.append(piece)
+    """The tree of a page; text stands in `parts` between the children. Open elements are found by tag, not by search."""
+    root = Node("html")
+    stack, at = [root], 0
+    places: dict[str, list[int]] = {"html": [0]}
+    walls, scopes = [0], [0]
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            places[tag].pop()
+            for edge in (walls, scopes):
+                if edge and edge[-1] == len(stack):
+                    edge.pop()
+
+    def innermost(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
 
     while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
+        if m.start() > at:
+            stack[-1].parts.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                stack[-1].parts.append(Node("br", False))
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(len(stack) - depth)
-                    break
-                if stack[depth].tag in ("article", "main", "body", "table", "td") and tag not in BLOCK:
-                    break
+                stack[-1].parts.append(Node("br", parent=stack[-1]))
+            depth = innermost(tag)
+            if depth and (tag in BLOCK or not walls or walls[-1] <= depth):
+                close(depth)
             continue
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             continue
-        ends = CLOSES.get(tag, frozenset({"p"}) if tag in _ENDS_P else frozenset())
-        if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ends:
-                    close(len(stack) - depth)
-                    break
-                if stack[depth].tag in _SCOPE:
-                    break
-        node = Node(tag, _boilerplate(tag, m[3], articles > 0))
+        ends = CLOSES.get(tag, _P if tag in _ENDS_P else _NONE)
+        if ends and (depth := max(innermost(t) for t in ends)) and depth >= (scopes[-1] if scopes else 0):
+            close(depth)
+        hidden, linkish = _named(tag, m[3]) if m[3] else (False, False)
+        inside = any(places.get(t) for t in _HOME)
+        node = Node(tag, hidden or tag in NEVER and not (tag == "header" and inside), linkish, stack[-1])
         stack[-1].parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _RAW_ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
             node.dropped = True
             continue
-        articles += tag in ("article", "main")
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _WALL:
+            walls.append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append(node)
-    text(page[at:])
+    if at < len(page):
+        stack[-1].parts.append(page[at:])
     return root
 
 
-def _count(root: Node) -> None:
-    """Characters and tags of every subtree, without what is dropped; children before parents, without recursion."""
+def _count(root: Node) -> list[Node]:
+    """Characters, tags and densities of every subtree without what is dropped; the nodes, parents before children."""
     order, todo = [], [(root, False)]
     while todo:
         node, link = todo.pop()
+        link = link or node.linkish or node.tag == "a"
         order.append((node, link))
-        for part in node.parts:
-            if isinstance(part, Node) and not part.dropped:
-                todo.append((part, link or part.tag == "a"))
+        todo += [(part, link) for part in node.nodes()]
     for node, link in reversed(order):
         for part in node.parts:
             if isinstance(part, str):
@@ -146,33 +160,52 @@ def _count(root: Node) -> None:
                 node.chars += part.chars
                 node.link_chars += part.link_chars
                 node.tags += part.tags + 1
-                node.link_tags += part.link_tags + (part.tag == "a")
+                node.link_tags += part.tags + 1 if link else part.link_tags + (part.tag == "a" or part.linkish)
     ratio = root.link_chars / max(root.chars, 1)
     for node, _ in order:
         c, lc, t, lt = node.chars, max(node.link_chars, 1), max(node.tags, 1), max(node.link_tags, 1)
         if c:
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
+            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e) if ratio else math.e
             inner = (c / lc) * (t / lt)
             node.density = c / t * (math.log(inner) / math.log(base) if inner > 1 and base > 1 else 0.0)
     for node, _ in order:
-        node.total = sum(part.density for part in node.parts if isinstance(part, Node) and not part.dropped)
+        node.total = sum(part.density for part in node.nodes())
+    return [node for node, _ in order]
 
 
 def _core(root: Node) -> tuple[Node, float]:
-    """The node of the largest density sum and the smallest density on its path; an article or main of it, if there is."""
-    best, path, todo = root, [root], [(root, [root])]
-    while todo:
-        node, way = todo.pop()
-        if node.total > best.total:
-            best, path = node, way
-        todo.extend((p, [*way, p]) for p in node.parts if isinstance(p, Node) and not p.dropped and p.tag not in VOID)
-    home = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), None)
-    if home is not None:
-        path = path[: home + 1]
-    elif best.tag not in ("div", "section", "body", "html", "td"):
-        while len(path) > 1 and path[-1].tag not in ("div", "section", "body", "html", "td"):
-            path.pop()
-    return path[-1], min(n.density for n in path)
+    """The node of the largest density sum and the smallest density on its path; the article it lies in, if that is where to look."""
+    nodes = _count(root)
+    homes = [n for n in nodes if n.tag in _HOME and not _within(n.parent, _HOME)]
+    home = max(homes, key=lambda n: n.chars - n.link_chars, default=None)
+    own = home.chars - home.link_chars if home else 0
+    if own and own * OUTSIDE >= root.chars - root.link_chars - own:
+        nodes = _count_below(home)
+    else:
+        home = None
+    best = max(nodes, key=lambda n: n.total)
+    while best.parent and best.tag not in ("div", "section", "body", "html", "td", "article", "main"):
+        best = best.parent
+    threshold, node = best.density, best
+    while node.parent:
+        node = node.parent
+        threshold = min(threshold, node.density)
+    return home or best, threshold
+
+
+def _within(node: Node | None, tags: frozenset[str]) -> bool:
+    while node:
+        if node.tag in tags:
+            return True
+        node = node.parent
+    return False
+
+
+def _count_below(top: Node) -> list[Node]:
+    out = [top]
+    for node in out:
+        out += node.nodes()
+    return out
 
 
 def _linky(node: Node, threshold: float) -> bool:
@@ -183,9 +216,7 @@ def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    root = parse(page)
-    _count(root)
-    core, threshold = _core(root)
+    core, threshold = _core(parse(page))
     blocks: list[list[str]] = [[]]
     todo: list = [core]
     while todo:

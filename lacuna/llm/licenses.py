@@ -1,11 +1,16 @@
 """License scans by patience alignment.
 
-A text is compared with license templates word by word (words are runs of letters and digits, A-Z lower-cased). Where a
-template can occur is found without loss: an occurrence that covers a share c of a template's words has at least that
-many of its word positions filled by words of the text, so only windows of the text that hold enough words of the
-template are looked at. In a window, words that are unique to both text and template are anchors; the longest increasing
-subsequence of them is kept, and the gaps between anchors are aligned in the same way until nothing unique is left, where
-equal words at the gap's ends are matched. Coverage is the matched share of the template's words.
+A text is compared with license templates word by word (words are runs of letters and digits, A-Z lower-cased). In a window
+of the text, words that are unique to both window and template are anchors; the longest increasing subsequence of them is
+kept, and the gaps between anchors are aligned in the same way until nothing unique is left, where equal words at the
+gap's ends are matched. Coverage is the matched share of the template's words.
+
+Every occurrence is found. A window begins at a word of the template and holds `STRETCH` words for each of the template's;
+it is aligned wherever it holds enough of the template's words (counted no more often than in the template), which an
+alignment of the wanted coverage needs. From the first window that reaches the coverage on, the best one (most matches,
+then the tightest) of those that begin within it is a finding, cut to its first and last match; the words before and after
+it are searched again, so notices side by side, edited or not, are findings of their own. Windows are found in one pass over
+a text's template words, so the time follows the text's length and the notices in it.
 
 A finding is (license, coverage, first and last character); of findings that overlap, the one with the largest coverage
 stays, then the longer template, then the name. `license` is the best one of a text.
@@ -16,7 +21,7 @@ an empty table gives no rows; memory follows the longest text.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,10 +50,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("proprietary", "All rights reserved."),
 ]
@@ -109,8 +121,61 @@ class Templates:
         self.of_word = {int(h): [i for i, (_, w) in enumerate(self.all) if int(h) in set(w)] for h in self.vocabulary}
 
 
+def _starts(at: np.ndarray, held: list[int], template: list[int], least: int, reach: int) -> list[int]:
+    """Places of the hits whose windows hold at least `least` of the template's words; at, held: places and words of the hits."""
+    near = np.searchsorted(at, at + reach)
+    if not (near - np.arange(len(at)) >= least).any():
+        return []
+    room, common, out, hi = Counter(template), 0, [], 0
+    for lo, end in enumerate(near.tolist()):
+        for h in held[hi:end]:
+            common += room[h] > 0
+            room[h] -= 1
+        hi = end
+        if common >= least:
+            out.append(int(at[lo]))
+        room[held[lo]] += 1
+        common -= room[held[lo]] > 0
+    return out
+
+
+def occurrences(hashes: np.ndarray, starts: list[int], template: list[int], least: int, end: int) -> list[tuple[int, int, int]]:
+    """(matches, first word, word after the last) of the findings of a template; starts: places where windows may begin."""
+    reach, out = _reach(template), []
+
+    def best(at: list[int], last: int) -> tuple[int, int, int] | None:
+        found = None
+        for k in at:
+            matched = align(hashes[k : min(k + reach, last)].tolist(), template)
+            if len(matched) >= least:
+                one = (-len(matched), matched[-1][0] + 1 - matched[0][0], k + matched[0][0], k + matched[-1][0] + 1)
+                found = min(found or one, one)
+            if found and found[0] == -len(template) and found[1] == len(template):
+                break  # nothing can be better
+        return found and (-found[0], found[2], found[3])
+
+    todo = [(0, len(starts), end)]
+    while todo:
+        lo, hi, last = todo.pop()
+        while lo < hi:
+            one = best(starts[lo : lo + 1], last)
+            lo += 1
+            if not one:
+                continue
+            inside = bisect_left(starts, starts[lo - 1] + reach, lo, hi)
+            one = best(starts[lo - 1 : inside], last)
+            out.append(one)
+            todo.append((lo - 1, bisect_left(starts, one[1], lo - 1, hi), one[1]))  # before it
+            lo = bisect_left(starts, one[2], lo - 1, hi)
+    return out
+
+
+def _reach(template: list[int]) -> int:
+    return int(len(template) * STRETCH) + 1
+
+
 def scan(words: Words, i: int, known: np.ndarray, templates: Templates) -> list[tuple[str, float, int, int]]:
-    """Findings in text i; known: places of the words that any template has."""
+    """Findings in text i, in bytes of it; known: places of the words that any template has."""
     a, b = np.searchsorted(known, [words.first[i], words.last[i]])
     places = known[a:b]
     if not len(places):
@@ -123,40 +188,30 @@ def scan(words: Words, i: int, known: np.ndarray, templates: Templates) -> list[
     found = []
     for t, ks in by.items():
         name, template = templates.all[t]
-        least, reach = templates.least[t], int(len(template) * STRETCH) + 1
-        counts = Counter(template)
-        if len(ks) < least or sum(min(n, counts[h]) for h, n in Counter(held[k] for k in ks).items()) < least:
+        if len(ks) < templates.least[t]:
             continue
-        at = places[ks]
-        near = np.searchsorted(at, at + reach)  # windows of `reach` words from each hit
-        start = None
-        regions = []
-        for s in np.flatnonzero(near - np.arange(len(at)) >= least).tolist():
-            end = int(at[near[s] - 1]) + 1
-            if start is not None and int(at[s]) < regions[-1][1]:
-                regions[-1][1] = end
-            else:
-                regions.append([int(at[s]), end])
-            start = s
-        while regions:
-            lo, hi = regions.pop()
-            window = words.hash[lo:hi].tolist()
-            if hi - lo > 2 * reach:  # several notices, or a stretch of common words: look at windows one by one
-                step = reach // 2 + 1
-                regions += [[x, min(hi, x + reach + step)] for x in range(lo, hi, step)]
-                continue
-            matched = align(window, template)
-            if len(matched) < least and hi - lo > len(template):  # notices that repeat each other's words: one start at a time
-                starts = [k for k in range(len(window) - least + 1) if window[k] in counts]
-                matched = next((m for k in starts if len(m := [(x + k, y) for x, y in align(window[k : k + len(template) + 2], template)]) >= least), matched)
-            if len(matched) >= least:
-                first, last = lo + matched[0][0], lo + matched[-1][0]
-                found.append((len(matched) / len(template), len(template), name, int(words.start[first] - words.text_start[i]), int(words.end[last] - words.text_start[i])))
-    kept: list[tuple[str, float, int, int]] = []
+        starts = _starts(places[ks], [held[k] for k in ks], template, templates.least[t], _reach(template))
+        for matches, first, after in occurrences(words.hash, starts, template, templates.least[t], int(words.last[i])):
+            found.append((matches / len(template), len(template), name, int(words.start[first] - words.text_start[i]), int(words.end[after - 1] - words.text_start[i])))
+    kept: list[tuple[int, int, str, float]] = []
     for coverage, _, name, first, last in sorted(set(found), key=lambda f: (-f[0], -f[1], f[2], f[3])):
-        if all(last <= x or first >= y for _, _, x, y in kept):
-            kept.append((name, coverage, first, last))
-    return sorted(kept, key=lambda f: f[2])
+        at = bisect_left(kept, (first,))
+        if (at == 0 or kept[at - 1][1] <= first) and (at == len(kept) or kept[at][0] >= last):
+            insort(kept, (first, last, name, coverage))
+    return [(name, coverage, first, last) for first, last, name, coverage in kept]
+
+
+def _points(text: bytes, found: list[tuple[str, float, int, int]]) -> list[dict]:
+    """Findings, in order and apart, with code points instead of bytes."""
+    out, at, n = [], 0, 0
+    for name, coverage, first, last in found:
+        ends = []
+        for to in (first, last):
+            n += len(text[at:to].decode("utf-8", "surrogatepass"))
+            at = to
+            ends.append(n)
+        out.append({"license": name, "coverage": round(coverage, 6), "first": ends[0], "last": ends[1]})
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -172,9 +227,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 words = Words(texts[lo:hi], ALNUM)
                 at = np.searchsorted(known.vocabulary, words.hash)
                 places = np.flatnonzero(known.vocabulary[np.minimum(at, len(known.vocabulary) - 1)] == words.hash)
-                for i in range(hi - lo):
-                    points = lambda n, data=texts[lo + i]: len(data[:n].decode("utf-8", "surrogatepass"))
-                    out.append([{"license": n, "coverage": round(c, 6), "first": points(x), "last": points(y)} for n, c, x, y in scan(words, i, places, known)])
+                out += [_points(texts[lo + i], scan(words, i, places, known)) for i in range(hi - lo)]
             best = [max(f, key=lambda x: (x["coverage"], x["last"] - x["first"], x["license"])) if f else None for f in out]
             kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
             columns = [pa.array([b and b["license"] for b in best], pa.string()), pa.array([b["coverage"] if b else 0.0 for b in best], pa.float64()), pa.array([len(f) for f in out], pa.int64()), pa.array(out, kind)]

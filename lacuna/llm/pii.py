@@ -1,23 +1,25 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 1. Generators propose spans with high recall: one expression for each kind of the base (e-mail, IP, card, phone) and
-   looser ones (spelt-out e-mail addresses, phone numbers without a country code). Proposals may overlap.
-2. Every proposal has features of its format (digits, separators, variety of digits, signs) and its context (characters
-   on either side, a keyword in the 24 characters before). Features are small integers.
-3. Boosted trees of depth two are fitted to weak labels: a base proposal that passes its check is positive, one that fails
-   is negative; a short list of seed examples adds formats that the checks can't label. One aggregate over all documents
-   counts the labels of each combination of features, so the fit sees the whole corpus as a table whose size depends on
-   the features alone (at most `max_combinations` rows, the most frequent ones, reach the driver). The trees become one
-   SQL expression.
-4. For each kind the threshold is the smallest score from which on `precision` of the labelled proposals are positive.
-   Base spans that pass their check always stay; others are added if their score reaches the threshold and they overlap
-   no base span and no better one.
+   looser ones (spelt-out e-mail addresses, phone numbers without a country code, runs of letters and digits that may be
+   a key or token, private key blocks, IBAN, IPv6). Proposals may overlap.
+2. Every proposal has features of its format (length, digits, separators, variety of signs) and its context (characters on
+   either side, a keyword in the 24 characters before, whether a value is assigned). Features are small integers.
+3. Boosted trees of depth two are fitted to weak labels: a proposal with a check of its own (range, Luhn, number of digits,
+   IBAN remainder) is positive if it passes; for the others a rule of context or form says yes, no or nothing, and the
+   trees carry that over to proposals of like format. Some forty seed examples are added. One aggregate over all documents
+   counts the labels of each combination of features, so all documents are counted; the fit itself takes at most
+   `max_combinations` combinations, the most frequent ones. The trees become one SQL expression.
+4. Calibration: documents of one in four hashes are left out of the fit, and on their labels the threshold of each kind is
+   the smallest score from which on `precision` of the proposals are positive. Base spans that pass their check always
+   stay and base matches that fail it go; others are added if their score reaches the threshold and they overlap no base span and no better one.
 
 Positions are code points, end exclusive. Base matches are leftmost and do not overlap within a kind; a failing match is
 dropped and not tried again from a later start.
 
 Rows: a null text is empty and has no span; repeated rows are searched each by itself; nulls in other columns don't
-matter; an empty table fits the seeds alone and gives no rows; columns of clashing names are kept by `redact`.
+matter; an empty table fits the seeds alone and gives no rows; columns of clashing names are kept by `redact`, and `pii` of
+`find_pii` takes the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .quality_rules import let
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "secret", "iban", "ipv6"]
 #: Generators: kind, expression, what a text must have for it to be tried, whether it belongs to the base. Possessive
 #: repeats and the look-behinds change no match; they keep long runs linear and off the stack.
-_LOCAL = "A-Za-z0-9._%+-"
+_LOCAL, _KEY = "A-Za-z0-9._%+-", "A-Za-z0-9+/_-"
 GENERATORS = [
     ("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True),
@@ -40,16 +43,26 @@ GENERATORS = [
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", True),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}+){1,4}", r"[\[(](?:at|AT)[\])]", False),
     ("phone", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}", False),
+    ("secret", rf"(?<![{_KEY}])(?=[A-Za-z+/_-]{{0,120}}[0-9])(?=[0-9+/_-]{{0,120}}[A-Za-z])[{_KEY}]{{12,}}+={{0,2}}", rf"(?<![{_KEY}])[{_KEY}]{{12,}}+", False),
+    ("secret", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----", "PRIVATE KEY", False),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False),
+    ("ipv6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "[0-9A-Fa-f:]:[0-9A-Fa-f]", False),
 ]
 #: Keywords before a proposal, by group.
-KEYWORDS = [r"\b(?:phone|tel|call|mobile|cell|fax|whatsapp|contact)\b", r"\b(?:e-?mail|mail|write|address)\b", r"\b(?:card|visa|mastercard|amex|credit|debit|pay(?:ment)?)\b", r"\b(?:ip|host|server|client|addr|login)\b", r"\b(?:order|invoice|ref|reference|id|no|number|version|isbn|ticket|case|sku|part)\b"]
+KEYWORDS = [r"\b(?:phone|tel|call|mobile|cell|fax|whatsapp|contact)\b", r"\b(?:e-?mail|mail|write|address)\b", r"\b(?:card|visa|mastercard|amex|credit|debit|pay(?:ment)?)\b", r"\b(?:ip|host|server|client|addr|login)\b", r"(?:token|secret|passw(?:or)?d|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)", r"\b(?:order|invoice|ref|reference|id|no|number|version|isbn|ticket|case|sku|part|commit|sha1?|sha256|md5|hash|checksum|digest)\b"]
+_ASSIGNED = r"(?:=|:|=>)\s*[\"'`]?$"
+#: Endings of a spelt-out address that are taken for a domain.
+_DOMAIN = r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|it|nl|ch|eu|uk)$"
 #: Seed examples: a text with one proposal and whether it is personal data.
 SEEDS = [
     ("call me at (212) 555-0187 today", 1), ("phone 415-555-0134", 1), ("tel 646.555.0199", 1), ("mobile (303) 555-0142", 1), ("contact 702 555 0111", 1), ("fax (212) 555-0100", 1),
     ("order 212-555-0187 shipped", 0), ("invoice 415.555.0134", 0), ("part 702 555 0111", 0), ("id 303-555-0142", 0), ("ref 646-555-0199", 0), ("isbn 978-316-1484", 0), ("x 100 200 3000", 0), ("sum 111 111 1111", 0),
     ("write to jane.roe (at) example (dot) org", 1), ("mail jroe[at]example.org", 1), ("e-mail j.roe [at] example [dot] com", 1), ("look (at) home . now", 0), ("meet [at] noon . then", 0), ("arrive (at) gate . 12", 0),
+    ("pay to DE89370400440532013000 soon", 1), ("iban GB29 NWBK 6016 1331 9268 19", 1), ("account FR1420041010050500013M02606", 1), ("part DE89370400440532013001", 0), ("ref GB29 NWBK 6016 1331 9268 18", 0), ("AB12 CDEF 3456 GHIJ 7890", 0),
+    ("host 2001:db8:0:0:8:800:200c:417a up", 1), ("from fe80::1ff:fe23:4567:890a today", 1), ("at 12:34:56 sharp", 0), ("ratio 1:2:3", 0), ("a 10:20:30:40 b", 0),
+    ('api_key: "sk-Ab39dkQ8s7Fj2kLmPq0Zx"', 1), ("password=Tr0ub4dor-and-3-more", 1), ("secret = 'x9Kq2LmN8pR4sT6vW1yZ'", 1), ("sha256 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", 0), ("see chapter-section-12 there", 0), ("path /usr/lib/python3/dist", 0), ("id 550e8400-e29b-41d4-a716-446655440000", 0), ("file image-final-2 of", 0),
 ]
-FEATURES = ["kind", "loose", "digits", "before", "after", "word", "separators", "variety", "sign", "letters"]
+FEATURES = ["kind", "loose", "digits", "before", "after", "word", "separators", "variety", "sign", "letters", "assigned", "mix"]
 PRECISION = 0.95
 MAX_COMBINATIONS = 20_000
 TREES = 24
@@ -86,11 +99,44 @@ def _passes(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: p.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     count = F.length(_digits(match))
+    if kind not in BASE_KINDS:
+        return F.lit(False)
     if kind == "card":
         return F.when(count.between(13, 19), _luhn(_digits(match))).otherwise(F.lit(False))
     return count.between(9, 15)
 
 
+def _remainder(match: Column) -> Column:
+    """IBAN: the number with its first four signs at the end, letters as 10 to 35, modulo 97."""
+    signs = F.split(F.regexp_replace(match, " ", ""), "")
+    turned = F.concat(F.slice(signs, F.lit(5), F.size(signs)), F.slice(signs, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(turned, F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _weak_label(g: int, match: Column, tail: Column) -> Column:
+    """1, 0 or null: what the form or the context of a looser proposal says; tail: lower-cased text before it."""
+    kind, expression, _, _ = GENERATORS[g]
+    says = lambda yes, no: F.when(yes, 1).when(no, 0)
+    if kind == "email":
+        return F.when(match.rlike(_DOMAIN), 1).otherwise(0)
+    if kind == "phone":
+        return says(tail.rlike(KEYWORDS[0]), tail.rlike(KEYWORDS[5]))
+    if kind == "iban":
+        return (_remainder(match) == 1).cast("int")
+    if kind == "ipv6":
+        groups = F.size(F.split(match, ":"))
+        return F.when((groups == 8) & ~match.contains("::") | (groups >= 4) & match.contains("::"), 1).otherwise(0)
+    if "BEGIN" in expression:
+        return F.lit(1)
+    named = tail.rlike(KEYWORDS[4]) & tail.rlike(_ASSIGNED)
+    return says(named & (_variety(match) >= 8), tail.rlike(KEYWORDS[5]) | match.rlike("^[A-Za-z]+[0-9]{1,4}$|^[0-9]+[A-Za-z]+$|/.*/"))
+
+
+def _variety(match: Column) -> Column:
+    return F.size(F.array_distinct(F.split(match, "")))
+
+
 def _side(char: Column) -> Column:
     """0 nothing, 1 white space, 2 a digit, 3 a letter, 4 anything else."""
     return F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike("[0-9]"), 2).when(char.rlike(r"\p{L}"), 3).otherwise(4)
@@ -106,6 +152,7 @@ def _features(g: int, match: Column, before: Column, after: Column) -> Column:
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), F.lit(int(not base)).alias("loose"), F.least(F.length(digits), F.lit(20)).alias("digits"), _side(F.substring(before, -1, 1)).alias("before"), _side(F.substring(after, 1, 1)).alias("after"), word.alias("word"),
         F.least(F.length(F.regexp_replace(match, "[^ .()-]", "")), F.lit(5)).alias("separators"), F.least(F.size(F.array_distinct(F.split(digits, ""))), F.lit(6)).alias("variety"), F.when(match.startswith("+"), 1).when(match.contains("("), 2).otherwise(0).alias("sign"), F.least((F.length(F.regexp_replace(match, "[^A-Za-z]", "")) / 8).cast("int"), F.lit(4)).alias("letters"),
+        tail.rlike(_ASSIGNED).cast("int").alias("assigned"), F.least((_variety(match) / 4).cast("int"), F.lit(6)).alias("mix"),
     )
 
 
@@ -122,7 +169,7 @@ def _proposals(text: Column, g: int) -> Column:
             def one(m: Column, i: Column) -> Column:
                 start = F.get(starts, i) + F.length(F.get(pieces, i))
                 passes = _passes(kind, m)
-                label = passes.cast("int") if base else F.lit(None).cast("int")
+                label = passes.cast("int") if base else _weak_label(g, m, F.lower(F.substring(F.get(pieces, i), -24, 24)))
                 return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), (passes if base else F.lit(False)).alias("base"), label.alias("label"), _features(g, m, F.get(pieces, i), F.get(pieces, i + 1)).alias("f"))
 
             return F.transform(matches, one)
@@ -137,7 +184,7 @@ def _proposals(text: Column, g: int) -> Column:
 def proposals(text: Column) -> Column:
     """All proposals of a text; empty for a null text."""
     some = F.concat(*(_proposals(text, g) for g in range(len(GENERATORS))))
-    return F.when(text.rlike("[0-9@]|[(\\[](?:at|AT)[)\\]]"), some).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike("[0-9@:]|[(\\[](?:at|AT)[)\\]]"), some).otherwise(F.array().cast(_SPAN))
 
 
 class Trees:
@@ -202,31 +249,34 @@ class Trees:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
 
     def thresholds(self, rows: list[tuple[tuple[int, ...], float, float]], precision: float) -> list[float]:
-        """For each kind the smallest score from which on the precision holds; 2 (never) if none does."""
+        """For each kind a score from which on the precision holds, halfway to the next smaller one; 2 (never) if none does."""
         out = []
         for k in range(len(KINDS)):
             best, p, n = 2.0, 0.0, 0.0
             scored = sorted(((self.score(x), a, b) for x, a, b in rows if x[0] == k), reverse=True)
             for i, (s, a, b) in enumerate(scored):
                 p, n = p + a, n + b
-                if (i + 1 == len(scored) or scored[i + 1][0] < s) and p / (p + n) >= precision:
-                    best = s
+                below = scored[i + 1][0] if i + 1 < len(scored) else 0.0
+                if below < s and p / (p + n) >= precision:
+                    best = (s + below) / 2
             out.append(max(best, 0.5))
         return out
 
 
 def fit(docs: DataFrame, precision: float = PRECISION, max_combinations: int = MAX_COMBINATIONS) -> tuple[Trees, list[float]]:
-    """Trees and thresholds from the weak labels of all documents and the seeds."""
+    """Trees from the weak labels of three quarters of the documents and the seeds, thresholds from those of the last quarter."""
     spark = docs.sparkSession
-    counts = lambda df: df.select(F.explode("p").alias("p")).select("p.f.*", "p.label").where("label is not null").groupBy(*FEATURES).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    weak = counts(docs.select(proposals(F.col("text")).alias("p"))).orderBy(F.desc(F.col("pos") + F.col("neg")), *FEATURES).limit(max_combinations).collect()
-    rows = {tuple(r[f] for f in FEATURES): [float(r["pos"]), float(r["neg"])] for r in weak}
-    seeds = spark.createDataFrame(SEEDS, "text string, truth int").select("truth", F.explode(F.filter(proposals(F.col("text")), lambda p: p["label"].isNull())).alias("p")).select("truth", "p.f.*").collect()
+    labelled = docs.select((F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held"), F.explode(proposals(F.col("text"))).alias("p")).where("p.label is not null")
+    counted = labelled.select("held", "p.f.*", "p.label").groupBy(*FEATURES).agg(*(F.sum(F.when(F.col("held") == held, F.col("label") == label).cast("int")).alias(name) for name, held, label in (("pos", False, 1), ("neg", False, 0), ("pos_held", True, 1), ("neg_held", True, 0))))
+    total = sum((F.coalesce(c, F.lit(0)) for c in ("pos", "neg", "pos_held", "neg_held")), F.lit(0))
+    weak = counted.orderBy(total.desc(), *FEATURES).limit(max_combinations).collect()
+    seeds = spark.createDataFrame(SEEDS, "text string, truth int").select("truth", F.explode(F.filter(proposals(F.col("text")), lambda p: ~p["base"])).alias("p")).select("truth", "p.f.*").collect()
+    rows, held = ({tuple(r[f] for f in FEATURES): [float(r[f"pos{part}"] or 0), float(r[f"neg{part}"] or 0)] for r in weak} for part in ("", "_held"))
     for r in seeds:
-        rows.setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])[1 - r["truth"]] += 5.0
-    table = [(x, p, n) for x, (p, n) in sorted(rows.items())]
-    trees = Trees(table)
-    return trees, trees.thresholds(table, precision)
+        for part in (rows, held):
+            part.setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])[1 - r["truth"]] += 5.0
+    trees = Trees([(x, p, n) for x, (p, n) in sorted(rows.items()) if p + n])
+    return trees, trees.thresholds([(x, p, n) for x, (p, n) in sorted(held.items()) if p + n], precision)
 
 
 def spans_of(text: Column, trees: Trees, thresholds: list[float]) -> Column:
@@ -235,7 +285,7 @@ def spans_of(text: Column, trees: Trees, thresholds: list[float]) -> Column:
     def chosen(found: Column) -> Column:
         base = F.filter(found, lambda p: p["base"])
         limit = F.array(*(F.lit(float(t)) for t in thresholds))
-        scored = F.transform(F.filter(found, lambda p: ~p["base"]), lambda p: F.struct((-trees.column(p["f"])).alias("s"), p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind")))
+        scored = F.transform(F.filter(found, lambda p: p["f"]["loose"] == 1), lambda p: F.struct((-trees.column(p["f"])).alias("s"), p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind")))
         over = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
 
         def added(kept: Column) -> Column:

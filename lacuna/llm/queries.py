@@ -52,7 +52,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of_kind(k: int) -> Column:
         return F.size(F.filter(base, lambda p: p["kind"] == k)).cast("long")
 
-    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
