@@ -7,6 +7,7 @@ pieces of about a megabyte, cut at a non-word byte, so that memory follows the n
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 PIECE = 1 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -24,13 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that the driver and all executors share.
+
+    Where none is configured, a session in one process (tests) gets a temporary one; on a cluster that is an error, since
+    each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lacuna-shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,9 +52,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """A mark for `remove`: how many tables this process has written so far."""
+    return len(_MADE)
+
+
+def remove(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but for those that `keep` reads; frames that read the others end here."""
+    needed = {f.rsplit("/", 1)[0].rstrip("/") for f in keep.inputFiles()}
+    for path in [p for p in _MADE[since:] if not any(n.endswith(p.rsplit("/", 1)[1]) for n in needed)]:
+        _MADE.remove(path)
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     x = x ^ (x >> np.uint64(33))
@@ -154,5 +180,9 @@ def utf8(texts) -> list[bytes]:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Arrow batches by bytes besides rows, so that long texts don't make one batch of gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "24m")
+    """Arrow batches by bytes besides rows, so that long texts don't make one batch of gigabytes.
+
+    The frame that is returned runs later, so the session keeps the setting; one that the caller has made stays.
+    """
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, "24m")

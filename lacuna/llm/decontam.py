@@ -12,7 +12,10 @@ among the items; repeated documents get the same result; repeated item ids count
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +82,9 @@ def scan(texts: list[bytes], windows: WindowSet) -> Iterator[tuple[int, list[tup
 
 
 _RANGES = "array<struct<first:int,last:int>>"
-_ADDED = f"n_words long, hit_words {_RANGES}, hit_bytes {_RANGES}, items array<string>"
+_OWN, _NAMES = "_lacuna_", ("n_words", "hit_words", "hit_bytes", "items")
+_ADDED = f"{_OWN}n_words long, {_OWN}hit_words {_RANGES}, {_OWN}hit_bytes {_RANGES}, {_OWN}items array<string>"
+_SETS: dict[str, WindowSet] = {}
 
 
 def _blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -100,22 +105,26 @@ def _blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[list[t
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents' own columns with n_words, hit_words and hit_bytes (ranges, end exclusive) and items (ids, as strings)."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    blocks = list(_blocks(benchmark, n, block_windows))
-    clash = {"n_words", "hit_words", "hit_bytes", "items"}
-    docs = docs.select([c for c in docs.columns if c.lower() not in clash])
-    if len(blocks) == 1:
-        return _scanned(docs, blocks[0], n)
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("k1"), F.xxhash64("text").alias("k2"), F.xxhash64(F.lit(7), "text").alias("k3")]
-    found = None
-    for block in blocks:
-        part = _scanned(docs.select("doc_id", "text"), block, n).select(*key, "n_words", "hit_words", "hit_bytes", "items").dropDuplicates(["k1", "k2", "k3"])
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("k1", "k2", "k3").agg(F.max("n_words").alias("n_words"), *(_union(c) for c in ("hit_words", "hit_bytes")), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    keyed = docs.select("*", *key)
-    return keyed.join(merged, ["k1", "k2", "k3"], "left").drop("k1", "k2", "k3")
+    """The documents' own columns with n_words, hit_words and hit_bytes (ranges, end exclusive) and items (ids, as strings).
+
+    These take the place of columns of the same name.
+    """
+    found = _found(docs.select([c for c in docs.columns if c.lower() not in _NAMES]), benchmark, n, block_windows)
+    return found.withColumnsRenamed({_OWN + c: c for c in _NAMES})
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, block_windows: int) -> DataFrame:
+    """All columns of the documents with those of the scan, under names of its own."""
+    arrow_limits(docs.sparkSession)
+    blocks = _blocks(benchmark, n, block_windows)  # one at a time on the driver
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scanned(docs, first, n)
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_lacuna_k1"), F.xxhash64("text").alias("_lacuna_k2"), F.xxhash64(F.lit(7), "text").alias("_lacuna_k3")]
+    keys, names = ["_lacuna_k1", "_lacuna_k2", "_lacuna_k3"], [_OWN + c for c in _NAMES]
+    parts = (_scanned(docs.select("doc_id", "text"), block, n).select(*key, *names).dropDuplicates(keys) for block in chain((first, second), blocks))
+    merged = reduce(DataFrame.unionByName, parts).groupBy(keys).agg(F.max(names[0]).alias(names[0]), *(_union(c) for c in names[1:3]), F.array_distinct(F.flatten(F.collect_list(names[3]))).alias(names[3]))
+    return docs.select("*", *key).join(merged, keys, "left").drop(*keys)
 
 
 def _union(name: str) -> Column:
@@ -124,19 +133,22 @@ def _union(name: str) -> Column:
 
 
 def _scanned(docs: DataFrame, items: list[tuple[str, str | None]], n: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     at, names = docs.columns.index("text"), docs.columns
     ranges = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(held.value, n)
+        if name not in _SETS:  # a worker keeps the set of the last block that it has scanned
+            _SETS.clear()
+            _SETS[name] = WindowSet(held.value, n)
+        windows = _SETS[name]
         for batch in it:
             texts = utf8(batch.column(at).to_pylist())
             rows: list[tuple] = []
             for lo, hi in batches(texts):
                 rows += [(w, [{"first": a, "last": b} for a, b in r], [{"first": a, "last": b} for a, b in c], sorted({windows.items[k] for k in found} - {None})) for w, r, c, found in scan(texts[lo:hi], windows)]
             added = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), ranges, ranges, pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "n_words", "hit_words", "hit_bytes", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *(_OWN + c for c in _NAMES)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, {_ADDED}")
@@ -154,14 +166,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     mode "documents" drops every hit document; mode "spans" cuts the hit words (from the first to the last character of a
     range) out of the text and keeps the rest.
     """
-    found = find_benchmark(docs, benchmark, n)
+    found = _found(docs, benchmark, n, BLOCK_WINDOWS)
     if mode == "documents":
-        return found.where(F.size("hit_words") == 0).select(docs.columns)
+        return found.where(F.size(f"{_OWN}hit_words") == 0).select(docs.columns)
     if mode != "spans":
         raise ValueError(f"mode {mode!r}")
     raw = F.encode("text", "utf-8")
-    merged = F.aggregate("hit_bytes", F.struct(F.lit(0).alias("at"), F.expr("cast(x'' as binary)").alias("out")), lambda s, r: F.struct(F.greatest(s["at"], r["last"]).alias("at"), F.concat(s["out"], F.substring(raw, s["at"] + 1, F.greatest(F.lit(0), r["first"] - s["at"]))).alias("out")), lambda s: F.concat(s["out"], F.substring(raw, s["at"] + 1, F.octet_length("text"))))
-    text = F.when(F.size("hit_bytes") > 0, F.decode(merged, "utf-8")).otherwise(F.col("text")).alias("text")
+    merged = F.aggregate(f"{_OWN}hit_bytes", F.struct(F.lit(0).alias("at"), F.expr("cast(x'' as binary)").alias("out")), lambda s, r: F.struct(F.greatest(s["at"], r["last"]).alias("at"), F.concat(s["out"], F.substring(raw, s["at"] + 1, F.greatest(F.lit(0), r["first"] - s["at"]))).alias("out")), lambda s: F.concat(s["out"], F.substring(raw, s["at"] + 1, F.octet_length("text"))))
+    text = F.when(F.size(f"{_OWN}hit_bytes") > 0, F.decode(merged, "utf-8")).otherwise(F.col("text")).alias("text")
     return found.select([text if c == "text" else F.col(c) for c in docs.columns])
 
 

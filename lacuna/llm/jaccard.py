@@ -10,16 +10,20 @@ not none, is one shingle; without words the set is empty and linked with nothing
    near the band's lower end, for the band below.
 2. Classes: documents of equal sets are one class, so copies are never paired.
 3. Buckets (band, block, bits) with two or more classes: each bucket names one of four representatives by a map-side
-   minimum, every other class of the bucket is paired with it; pairs are distinct, their number is linear in the rows.
-4. Pairs survive if sizes and a second 1,024-bit parity sketch allow a link; the sets of their classes alone are made
-   again from the texts, and the pairs are verified on them.
+   minimum, every other class of the bucket is paired with it; pairs are distinct, their number is linear in the rows. A
+   bitmap of the keys that two classes share keeps all other bucket rows from a second shuffle.
+4. Pairs survive if sizes and a second parity sketch allow a link. That sketch has at least two bits for each shingle, so
+   it tells sets apart at every size, and the wider of two is folded. Only for the pairs left are the sets of their classes
+   made again from the texts, and the pairs verified on them.
 5. Connected components by minimum labels. Buckets of two classes, and those whose classes all lie in one component, are
-   done: no further link could change the result. For the others step 3 is repeated with other representatives while they are large, and then
-   all their pairs across components go through step 4, so that no link across components is lost.
+   done: no further link could change the result. For the others step 3 is repeated with other representatives while they
+   are large, and then all their pairs across components go through step 4, so that no link across components is lost;
+   a bucket of many classes is split into blocks, and each two of its blocks are compared at once on their sketches.
 6. Links: a link lies within a component, so all pairs of classes of each component are verified on their sets and counted
    by class. A component of many classes is split into blocks of `BLOCK`, and each two of its blocks are one task.
 
-Class ids are 64-bit hashes of a set.
+A set is known by a hash of 128 bits. A row is known by a hash of doc_id and text, so rows without a doc_id link and are
+verified like all others.
 
 Rows: a null text is an empty set; repeated rows and equal doc_ids are each kept; a null doc_id is kept (and is never
 the smallest id unless a component has no other); an empty table gives no rows; other columns are ignored.
@@ -30,7 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +43,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, arrow_limits, batches, materialize, mix, utf8
 
-#: Bits of the second sketch, as 64-bit words.
-SKETCH_WORDS = 16
-BROADCAST_IDS = 1_000_000
-#: Sketches (about 200 bytes each) that are sent to all executors; more are joined by a shuffle.
-BROADCAST_SKETCHES = 300_000
-#: Classes of a component whose sets meet those of another block at once.
+#: Rows of 8 to 32 bytes, and bytes of sketches, that are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+BROADCAST_SKETCHES = 8 << 20
+#: Classes of a component, or of a bucket, that meet those of another block at once.
 BLOCK = 512
+#: Classes of a bucket up to which its pairs are made by a join.
+NARROW = 16
 #: Orders of classes by which a bucket can name its representative: the minimum of the id under exclusive or.
 ORDERS = (0x0000000000000000, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555)
 
@@ -63,7 +67,7 @@ class Join:
     @property
     def ratio(self) -> float:
         """Of the ends of a size band: twice the ratio, in steps, that the sizes of linked sets can have."""
-        return (100 / self.percent) ** 2
+        return max((100 / self.percent) ** 2, 1.02)
 
     def band(self, n: int) -> int:
         """Band t holds the sizes from edge(t) to below edge(t + 1)."""
@@ -108,7 +112,8 @@ def shingles(words: Words, i: int, grams: np.ndarray, n: int) -> np.ndarray:
 def bucket_keys(found: np.ndarray, join: Join) -> np.ndarray:
     """Keys (signed) of the blocks of all bands that a set takes part in; sets that link with equal ones only have none.
 
-    A block has 2**16 bits and is kept as an exclusive-or hash of its bits, which is zero for an empty block. Blocks that
+    A block has a bit for every hash of a shingle and is kept as an exclusive-or hash of its set bits, which is zero for an
+    empty block, so unrelated shingles don't agree by chance however many documents there are. Blocks that
     are empty in both sets agree without saying anything: the sketch has `spare` blocks more than the pigeonhole needs,
     and a set with at most so many empty blocks leaves them out, since some other block must then agree as well.
     """
@@ -124,7 +129,7 @@ def bucket_keys(found: np.ndarray, join: Join) -> np.ndarray:
         h = mix(found ^ np.uint64(0xA5A5_0000 + band))
         block = ((h >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         bits = np.zeros(k, np.uint64)
-        np.bitwise_xor.at(bits, block.astype(np.int64), mix((h & np.uint64(0xFFFF)) + np.uint64(0x51ED_0000)))
+        np.bitwise_xor.at(bits, block.astype(np.int64), mix(h + np.uint64(0x51ED_0000)))
         places = np.arange(k)
         if np.count_nonzero(bits == 0) <= join.spare(band):
             places = places[bits != 0]
@@ -132,78 +137,110 @@ def bucket_keys(found: np.ndarray, join: Join) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def sketch_words(n: int) -> int:
+    """64-bit words of the second sketch of a set: a power of two with at least two bits for each shingle."""
+    return max(4, 1 << max(0, (2 * n - 1) >> 6).bit_length())
+
+
 def parity_sketch(found: np.ndarray) -> np.ndarray:
-    h = mix(found ^ np.uint64(0x5EED))
-    out = np.zeros(SKETCH_WORDS, np.uint64)
-    np.bitwise_xor.at(out, ((h >> np.uint64(6)) % np.uint64(SKETCH_WORDS)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    """The two halves of a sketch, combined by exclusive or, are the sketch of half the width."""
+    h, words = mix(found ^ np.uint64(0x5EED)), sketch_words(len(found))
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
     return out.view(np.int64)
 
 
-def class_id(found: np.ndarray) -> int:
+def set_hash(found: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set; zeros for the empty one."""
     if not len(found):
-        return 0
-    return int(mix(mix(found).sum(keepdims=True) + np.bitwise_xor.reduce(found, keepdims=True) + np.uint64(len(found))).view(np.int64)[0]) or 1
+        return 0, 0
+    halves = [mix(mix(found ^ np.uint64(salt)).sum(keepdims=True) + np.bitwise_xor.reduce(found, keepdims=True) + np.uint64(len(found))) for salt in (0, 0x3C6EF372FE94F82B)]
+    first, second = (int(h.view(np.int64)[0]) for h in halves)
+    return first or 1, second
 
 
-def _per_text(batch: pa.RecordBatch, join: Join) -> Iterator[tuple[int, np.ndarray]]:
-    texts = utf8(batch.column(1).to_pylist())
-    for lo, hi in batches(texts):
-        words = Words(texts[lo:hi], SPACED)
+def _per_text(texts: pa.Array, join: Join) -> Iterator[np.ndarray]:
+    whole = utf8(texts.to_pylist())
+    for lo, hi in batches(whole):
+        words = Words(whole[lo:hi], SPACED)
         grams = words.grams(join.shingle)
         for i in range(hi - lo):
-            yield lo + i, shingles(words, i, grams, join.shingle)
+            yield shingles(words, i, grams, join.shingle)
+
+
+def _row_key() -> Column:
+    """Where a text stands: rows of equal key have equal doc_id and text (a chance hit is told apart by the set's hash)."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text").cast("string")).alias("row")
 
 
 def sketched(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set), keys (of its buckets), sketch; the last two once a batch and class."""
+    """doc_id, row, n (size of the set), h1, h2 (hash of the set), keys (of its buckets), sketch; the last two once a batch and set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, cls, keys, sketches, seen = [], [], [], [], set()
-            for _, found in _per_text(batch, join):
+            n, hashes, keys, sketches, seen = [], [], [], [], set()
+            for found in _per_text(batch.column(2), join):
                 n.append(len(found))
-                cls.append(class_id(found))
-                fresh = (cls[-1], n[-1]) not in seen  # a copy's buckets are those of its class
-                seen.add((cls[-1], n[-1]))
+                hashes.append(set_hash(found))
+                fresh = hashes[-1] not in seen  # a copy's buckets are those of its class
+                seen.add(hashes[-1])
                 keys.append(bucket_keys(found, join) if fresh else np.zeros(0, np.int64))
-                sketches.append(parity_sketch(found).tolist() if len(keys[-1]) else [])
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "keys", "sketch"])
+                sketches.append(parity_sketch(found) if len(keys[-1]) else keys[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in held])]), pa.int32()), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64), pa.int64())) for held in (keys, sketches)]
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n", "h1", "h2", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls long, keys array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), _row_key(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, n long, h1 long, h2 long, keys array<long>, sketch array<long>")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """cls, members (sorted hashes as bytes) of the classes (doc_id, cls)."""
+def classed(held: DataFrame) -> DataFrame:
+    """The sketched rows with `cls`, the id of a set: its first hash, or a mixture of both where two sets share the first one."""
+    clash = materialize(held.groupBy("h1").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least < most").select("h1", F.lit(True).alias("clash")), "clash")
+    if clash.isEmpty():
+        return held.withColumn("cls", F.col("h1"))
+    # of 10**11 sets some hundred are expected here
+    return held.join(F.broadcast(clash), "h1", "left").withColumn("cls", F.when(F.col("clash"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("clash")
+
+
+def _sets(docs: DataFrame, owners: DataFrame, join: Join) -> DataFrame:
+    """cls, members (sorted hashes as bytes) of owners (row, cls, h1, h2), made again from the texts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in it:
-            own = batch.column(2).to_pylist()
-            # a doc_id that several texts share counts only with the text of the class
-            kept = [(own[i], found.tobytes()) for i, found in _per_text(batch, join) if class_id(found) == own[i]]
+            want = list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True))
+            kept = []
+            for (cls, *hashes), found in zip(want, _per_text(batch.column(0), join), strict=True):
+                if cls not in done and set_hash(found) == tuple(hashes):  # repeated rows give a set once
+                    done.add(cls)
+                    kept.append((cls, found.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.binary())], names=["cls", "members"])
 
-    def nameless(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            kept = [(class_id(found), found.tobytes()) for _, found in _per_text(batch, join)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.binary())], names=["cls", "members"])
+    few = owners.count() <= BROADCAST_IDS
+    texts = docs.select(_row_key(), F.col("text").cast("string"))
+    made = texts.join(F.broadcast(owners) if few else owners, "row").select("text", "cls", "h1", "h2").mapInArrow(run, "cls long, members binary")
+    made = materialize(made, "sets")
+    return made if made.count() == owners.count() else materialize(made.dropDuplicates(["cls"]), "sets")  # rows that repeat in other tasks
 
-    size = classes.agg(F.count("*").alias("all"), F.count("doc_id").alias("named")).first()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = texts.join(F.broadcast(classes) if size["all"] <= BROADCAST_IDS else classes, "doc_id")
-    made = chosen.select("doc_id", "text", "cls").mapInArrow(run, "cls long, members binary")
-    if size["named"] < size["all"]:  # classes all of whose texts lack a doc_id
-        made = made.union(texts.where("doc_id is null").mapInArrow(nameless, "cls long, members binary").join(classes.where("doc_id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
-    return made
+
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; the wider one is folded first. Sizes of linked sets allow one fold at most."""
+
+    def fold(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    def bits(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+
+    return F.when(F.size(a) > F.size(b), bits(fold(a), b)).when(F.size(a) < F.size(b), bits(a, fold(b))).otherwise(bits(a, b))
 
 
 def _plausible(join: Join) -> Column:
     """Sizes and sketches of sides a and b allow a link."""
     p = join.percent
     apart = F.col("a_n") + F.col("b_n") - 2 * F.ceil((F.col("a_n") + F.col("b_n")) * p / float(100 + p) - 1e-9)
-    differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("a_sketch")[0].bitwiseXOR(F.col("b_sketch")[0])))
-    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * p) & (differ <= apart)
+    return F.when(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * p, _apart(F.col("a_sketch"), F.col("b_sketch")) <= apart).otherwise(F.lit(False))
 
 
 def _side(sets: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -242,13 +279,101 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _order(turn: int) -> Column:
+    return F.element_at(F.array(*(F.lit(x) for x in ORDERS)), (F.pmod(F.col("key") + turn, F.lit(len(ORDERS))) + 1).cast("int"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, low of the buckets of two classes or more; rows: key, cls."""
+    x = F.col("cls").bitwiseXOR(_order(0))
+    return materialize(rows.groupBy("key").agg(F.min(x).alias("low"), F.max(x).alias("high")).where("low < high").select("key", "low"), "shared-keys")
+
+
+def _in_shared(held: DataFrame, shared: DataFrame) -> DataFrame:
+    """key, cls of the buckets in `shared` and of some by chance: a bitmap of their keys, of at most 64 MB, saves
+    the other rows the shuffle."""
+    # about 16 bits for each key; beyond 2**29 bits more rows pass by chance
+    log = min(max(20, (16 * shared.count()).bit_length()), 29)
+    word = shared.groupBy(F.shiftrightunsigned("key", 70 - log).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - log}) & 63 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (log - 6), np.uint64)
+    bitmap[word.column("word").to_numpy()] = word.column("bits").to_numpy().view(np.uint64)
+    sent = held.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in it:
+            keys = batch.column(1)
+            flat, owner = keys.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), keys.value_lengths().to_numpy())
+            at = flat.view(np.uint64) >> np.uint64(64 - log)
+            kept = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(owner[kept])], names=["key", "cls"])
+
+    return held.select("cls", "keys").mapInArrow(run, "key long, cls long")
+
+
+def _with_low(rows: DataFrame, low: DataFrame, turn: int) -> DataFrame:
+    """key, cls, rep: each class of a bucket with the bucket's representative."""
+    return rows.join(F.broadcast(low) if low.count() <= BROADCAST_IDS else low, "key").select("key", "cls", F.col("low").bitwiseXOR(_order(turn)).alias("rep"))
+
+
 def _representatives(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b), a < b, of each class of a bucket with a representative of the bucket; rows: key, cls."""
-    order = F.element_at(F.array(*(F.lit(x) for x in ORDERS)), (F.pmod(F.col("key") + turn, F.lit(len(ORDERS))) + 1).cast("int"))
-    x = F.col("cls").bitwiseXOR(order)
-    low = materialize(rows.groupBy("key").agg(F.min(x).alias("low"), F.max(x).alias("high")).where("low < high").select("key", "low"), "shared-keys")
-    few = low.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(low) if few else low, "key").select("key", "cls", F.col("low").bitwiseXOR(order).alias("rep"))
+    x = F.col("cls").bitwiseXOR(_order(turn))
+    return _with_low(rows, materialize(rows.groupBy("key").agg(F.min(x).alias("low")), "lows"), turn)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a class and its bucket's representative; rows: key, cls, rep."""
+    return rows.where("cls <> rep").select(F.least("cls", "rep").alias("a"), F.greatest("cls", "rep").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, cls, comp of the buckets of three classes or more that lie in two components or more."""
+    held = rows.select("key", "cls").join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most and rows > 2").select("key")
+    return held.join(mixed, "key", "left_semi")
+
+
+def close_in_tile(sizes: np.ndarray, sketches: list[np.ndarray], comps: np.ndarray, second: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different components whose sizes and sketches allow a link; if any is `second`, pairs across only."""
+    width = min(map(len, sketches))  # sets of a band differ in width by one fold at most
+    held = np.stack([np.bitwise_xor.reduce(s.view(np.uint64).reshape(-1, width), axis=0) for s in sketches])
+    p, found = join.percent, []
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if second.any() else left
+    for i in left.tolist():
+        other = right[comps[right] != comps[i]]
+        if right is left:
+            other = other[other > i]
+        other = other[(np.minimum(sizes[other], sizes[i]) * 100 >= np.maximum(sizes[other], sizes[i]) * p)]
+        total = sizes[other] + sizes[i]
+        apart = np.bitwise_count(held[other] ^ held[i]).sum(axis=1, dtype=np.int64)
+        found.append((i, other[apart <= total - 2 * -(-p * total // (100 + p))]))
+    a = np.concatenate([np.full(len(o), i) for i, o in found]) if found else np.zeros(0, np.int64)
+    return a.astype(np.int64), np.concatenate([o for _, o in found]) if found else np.zeros(0, np.int64)
+
+
+def _wide_pairs(rows: DataFrame, sketches: DataFrame, wide: DataFrame, join: Join) -> DataFrame:
+    """Plausible pairs (a, b) across components of the buckets in `wide` (key, blocks); rows: key, cls, comp.
+
+    A bucket is cut into blocks of about `BLOCK` classes and each two of its blocks are one task's group, so no group grows
+    with the bucket.
+    """
+    placed = rows.join(wide, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.select("key", "cls", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        columns = {c: tile[c].combine_chunks() for c in ("cls", "comp", "n", "second", "sketch")}
+        cls, comps, sizes, second = (columns[c].to_numpy(zero_copy_only=False) for c in ("cls", "comp", "n", "second"))
+        ends = columns["sketch"].value_lengths().to_numpy().cumsum()
+        parts = np.split(columns["sketch"].flatten().to_numpy(), ends[:-1])
+        if tile["x"][0].as_py() < tile["y"][0].as_py() and (second.all() or not second.any()):
+            a = b = np.zeros(0, np.int64)
+        else:
+            a, b = close_in_tile(sizes, parts, comps, second, join)
+        return pa.table({"a": np.minimum(cls[a], cls[b]), "b": np.maximum(cls[a], cls[b])})
+
+    return tiles.join(sketches, "cls").select("key", "x", "y", "second", "cls", "comp", "n", "sketch").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def linked_within(members: list[np.ndarray], n_first: int, join: Join) -> np.ndarray:
@@ -281,7 +406,8 @@ def linked_within(members: list[np.ndarray], n_first: int, join: Join) -> np.nda
 def _degrees(labels: DataFrame, sets: DataFrame, join: Join, block: int) -> DataFrame:
     """cls, n_links (other classes that it links with) of the classes that have a link; labels: cls, comp."""
     large = labels.groupBy("comp").count().where(F.col("count") > block).select("comp", F.ceil(F.col("count") / block).alias("blocks"))
-    placed = labels.join(F.broadcast(large), "comp", "left").select("cls", "comp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    large = materialize(large, "large-components")
+    placed = labels.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "comp", "left").select("cls", "comp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     tiles = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.select("cls", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
@@ -298,34 +424,36 @@ def _degrees(labels: DataFrame, sets: DataFrame, join: Join, block: int) -> Data
     return counts.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
 
 
-def similar_components(docs: DataFrame, join: Join = Join(), links_too: bool = True, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), cls and, if `links_too`, n_links (other classes linked)."""
+def grouped(docs: DataFrame, join: Join = Join(), links_too: bool = False, block: int = BLOCK) -> DataFrame:
+    """doc_id, row (key), n (size of the set), cls, comp (of the class) and, if `links_too`, n_links (other classes linked)."""
     arrow_limits(docs.sparkSession)
-    held = materialize(sketched(docs, join), "sketches")
-    rows = held.select("cls", F.explode("keys").alias("key"))
-    named = materialize(_representatives(rows, 0).distinct(), "buckets")  # only buckets of two classes or more
+    held = classed(materialize(sketched(docs, join), "sketches"))
+    shared = _shared(held.select("cls", F.explode("keys").alias("key")))
+    named = materialize(_with_low(_in_shared(held, shared), shared, 0).distinct(), "buckets")  # only buckets of two classes or more
     sketches = materialize(held.where(F.size("sketch") > 0).join(named.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sketch").dropDuplicates(["cls"]), "sketches-paired")
-    filters = F.broadcast(sketches) if sketches.count() <= BROADCAST_SKETCHES else sketches
+    few = (sketches.agg(F.sum(F.size("sketch") + 4)).first()[0] or 0) * 8 <= BROADCAST_SKETCHES
     sets: list[DataFrame] = []
 
+    def every() -> DataFrame:
+        return reduce(DataFrame.union, sets)
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The verified ones of plausible pairs; sets that no earlier call made are made now."""
         pairs = materialize(pairs, "plausible")
         need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         for have in sets:
             need = need.join(have.select("cls"), "cls", "left_anti")
-        owner = materialize(held.join(need, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "owners")
-        sets.append(materialize(_sets(docs, owner, join), "sets"))
-        every = sets[0]
-        for more in sets[1:]:
-            every = every.union(more)
-        return materialize(_verified(pairs, every, join), "verified")
+        owners = materialize(held.join(need, "cls", "left_semi").groupBy("cls", "h1", "h2").agg(F.min("row").alias("row")).select("row", "cls", "h1", "h2"), "owners")
+        sets.append(_sets(docs, owners, join))
+        return materialize(_verified(pairs, every(), join), "verified")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(_side(filters, "a", "n", "sketch"), "a").join(_side(filters, "b", "n", "sketch"), "b").where(_plausible(join)).select("a", "b")
+        sides = [_side(sketches, s, "n", "sketch") for s in "ab"]
+        for s, side in zip("ab", sides, strict=True):
+            pairs = pairs.join(F.broadcast(side) if few else side, s)
+        return pairs.where(_plausible(join)).select("a", "b")
 
-    pair = lambda df: df.where("cls <> rep").select(F.least("cls", "rep").alias("a"), F.greatest("cls", "rep").alias("b")).distinct()
-    links = linked(plausible(pair(named)))
+    links = linked(plausible(_pairs(named)))
     labels = components(links)
     rows = named.select("key", "cls")
     for turn in range(1, len(ORDERS)):
@@ -335,66 +463,46 @@ def similar_components(docs: DataFrame, join: Join = Join(), links_too: bool = T
             break
         last = turn == len(ORDERS) - 1 or size["pairs"] <= 16 * size["rows"]
         if last:  # what is left in several components, all of it
-            side = lambda s: rows.select("key", F.col("cls").alias(s), F.col("comp").alias(f"{s}_comp")).join(_side(sketches, s, "n", "sketch"), s)
-            wanted = side("a").join(side("b"), "key").where(F.col("a_comp") < F.col("b_comp")).where(_plausible(join)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            counts = rows.groupBy("key").agg(F.count("*").alias("c"))
+            wide = materialize(counts.where(F.col("c") > NARROW).select("key", F.ceil(F.col("c") / BLOCK).alias("blocks")), "wide")
+            narrow = rows.join(F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide, "key", "left_anti")
+            side = lambda s: narrow.select("key", F.col("cls").alias(s), F.col("comp").alias(f"{s}_comp")).join(_side(sketches, s, "n", "sketch"), s)
+            wanted = side("a").join(side("b"), "key").where(F.col("a_comp") < F.col("b_comp")).where(_plausible(join)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            wanted = wanted.union(_wide_pairs(rows, sketches, wide, join)).distinct()
         else:
-            wanted = plausible(pair(_representatives(rows.select("key", "cls"), turn)))
+            wanted = plausible(_pairs(_representatives(rows.select("key", "cls"), turn)))
         more = linked(wanted)
         if not more.isEmpty():
             links = links.union(more).distinct()
             labels = components(links)
         if last:
             break
-    groups = held.groupBy("cls", "n").agg(F.min("doc_id").alias("least")).where("n > 0")
-    known = groups.join(labels, "cls", "left").select("cls", "n", "least", F.coalesce("comp", "cls").alias("comp"))
-    top = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    result = known.join(top, "comp").select("cls", "n", "component_id")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls"]
+    labels = labels.withColumnRenamed("comp", "found")
     if links_too:
-        every = sets[0]
-        for more in sets[1:]:
-            every = every.union(more)
-        result = result.join(_degrees(labels, every, join, block), "cls", "left")
-        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return held.select("doc_id", "n", "cls").join(result, ["cls", "n"], "left").select(columns)
+        labels = labels.join(_degrees(labels.select("cls", F.col("found").alias("comp")), every(), join, block), "cls", "left")
+    columns = ["doc_id", "row", "n", "cls", F.coalesce("found", "cls").alias("comp")] + [F.coalesce("n_links", F.lit(0)).alias("n_links")] * links_too
+    return held.select("doc_id", "row", "n", "cls").join(labels, "cls", "left").select(columns)
 
 
-def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, cls, comp of the buckets of three classes or more that lie in two components or more."""
-    held = rows.select("key", "cls").join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most and rows > 2").select("key")
-    return held.join(mixed, "key", "left_semi")
-
-
-def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One document of each component, with its own columns: that of the smallest doc_id, one row of it.
-
-    Documents without words are never in a group and stay; rows without a doc_id can't stand for a group and stay. Rows
-    that share a doc_id are one document and stay or go together; of rows that also share the text one stays.
-    """
-    found = similar_components(docs.select("doc_id", "text"), join, links_too=False)
-    stay = found.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").withColumn("_lacuna_hash", F.xxhash64("text")).join(stay, "doc_id", "left_semi")
-    # the same partitioning by doc_id serves the join and the window
-    once = F.row_number().over(Window.partitionBy("doc_id", "_lacuna_hash").orderBy("_lacuna_hash"))
-    kept = kept.withColumn("_lacuna_row", once).where("_lacuna_row = 1")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, cls, comp of the buckets of three classes or more that lie in two components or more."""
-    held = rows.select("key", "cls").join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).where("least < most and rows > 2").select("key")
-    return held.join(mixed, "key", "left_semi")
+def similar_components(docs: DataFrame, join: Join = Join(), block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), cls and n_links (other classes linked)."""
+    found = materialize(grouped(docs, join, True, block), "grouped")
+    least = found.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    joined = found.join(least, (found["comp"] == least["comp"]) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "cls", "n_links")
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One document of each component, with its own columns: that of the smallest doc_id, one row of it.
+    """One row of each component, with its own columns: that of the smallest doc_id (null last), then of the smallest row key.
 
-    Documents without words are never in a group and stay; rows without a doc_id can't stand for a group and stay. Rows
-    that share a doc_id are one document and stay or go together; of rows that also share the text one stays.
+    Rows without words are never in a group and all stay. Of rows that share doc_id and text the first one by the other
+    columns (as JSON) stays. Texts are shuffled once, by the row key, for the join and the choice among repeated rows.
     """
-    found = similar_components(docs.select("doc_id", "text"), join, links_too=False)
-    stay = found.where("n_shingles = 0 or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_lacuna_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_lacuna_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    found = grouped(docs.select("doc_id", "text"), join)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    chosen = found.where("n > 0").groupBy("comp").agg(first.alias("first")).select(F.col("first.row").alias("_lacuna_row"), F.lit(False).alias("_lacuna_wordless"))
+    chosen = chosen.union(found.where("n = 0").select("row", F.lit(True)).distinct())
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    once = F.row_number().over(Window.partitionBy("_lacuna_row").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0)))
+    held = docs.select("*", _row_key().alias("_lacuna_row")).join(chosen, "_lacuna_row")
+    return held.withColumn("_lacuna_rank", once).where("_lacuna_wordless or _lacuna_rank = 1").select(docs.columns)

@@ -313,7 +313,7 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every accepted span replaced by [EMAIL], [IP], [CARD] or [PHONE]; their columns are unchanged.
+    """The documents with every accepted span replaced by its kind, such as [EMAIL] or [SECRET]; their columns are unchanged.
 
     Spans of different kinds may overlap: the one that starts first (then the longer one) is replaced and the others'
     remainder is cut.
