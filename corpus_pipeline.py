@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import decontam, jaccard, packing, pii, quality_rules
-from lacuna.llm.common import materialize, table
+from lacuna.llm.common import made, materialize, remove, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows the text."""
+    """All documents, personal data replaced by its kind, such as [EMAIL] or [SECRET]; n_chars follows the text."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
@@ -44,5 +44,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        since = made()
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(spark, since, docs)  # what the stage wrote on its way
     return docs
