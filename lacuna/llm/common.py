@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE = 1 << 20
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -70,6 +71,22 @@ def remove(spark: SparkSession, since: int, keep: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+class Bitmap:
+    """Which 64-bit hashes may be in a column: about 16 bits for each of them, 64 MB at most, so that beyond some 30 million
+    hashes more of the others pass by chance. Spark sets the bits; the driver puts the words together."""
+
+    def __init__(self, keys: DataFrame, name: str, most: int = 29) -> None:
+        self.log = min(max(20, (16 * keys.count()).bit_length()), most)
+        bit = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(`{name}`, {64 - self.log}) & 63 as int)))")
+        word = keys.groupBy(F.shiftrightunsigned(name, 70 - self.log).alias("word")).agg(bit.alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.log - 6), np.uint64)
+        self.words[word.column("word").to_numpy()] = word.column("bits").to_numpy().view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.log)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     x = x ^ (x >> np.uint64(33))

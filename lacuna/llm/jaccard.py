@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, arrow_limits, batches, materialize, mix, utf8
+from .common import SPACED, Bitmap, Words, arrow_limits, batches, materialize, mix, utf8
 
 #: Rows of 8 to 32 bytes, and bytes of sketches, that are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -292,20 +292,14 @@ def _shared(rows: DataFrame) -> DataFrame:
 def _in_shared(held: DataFrame, shared: DataFrame) -> DataFrame:
     """key, cls of the buckets in `shared` and of some by chance: a bitmap of their keys, of at most 64 MB, saves
     the other rows the shuffle."""
-    # about 16 bits for each key; beyond 2**29 bits more rows pass by chance
-    log = min(max(20, (16 * shared.count()).bit_length()), 29)
-    word = shared.groupBy(F.shiftrightunsigned("key", 70 - log).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - log}) & 63 as int)))").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (log - 6), np.uint64)
-    bitmap[word.column("word").to_numpy()] = word.column("bits").to_numpy().view(np.uint64)
-    sent = held.sparkSession.sparkContext.broadcast(bitmap)
+    sent = held.sparkSession.sparkContext.broadcast(Bitmap(shared, "key"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bitmap = sent.value
         for batch in it:
             keys = batch.column(1)
             flat, owner = keys.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), keys.value_lengths().to_numpy())
-            at = flat.view(np.uint64) >> np.uint64(64 - log)
-            kept = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            kept = bitmap.has(flat)
             yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(owner[kept])], names=["key", "cls"])
 
     return held.select("cls", "keys").mapInArrow(run, "key long, cls long")

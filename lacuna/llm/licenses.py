@@ -8,12 +8,12 @@ gap's ends are matched. Coverage is the matched share of the template's words.
 Every occurrence is found. A window begins at a word of the template and holds `STRETCH` words for each of the template's;
 it is aligned wherever it holds enough of the template's words (counted no more often than in the template), which an
 alignment of the wanted coverage needs. From the first window that reaches the coverage on, the best one (most matches,
-then the tightest) of those that begin within it is a finding, cut to its first and last match; the words before and after
+then the tightest) of those that begin within it is a finding, cut to the run of matches that outweighs the words between them; the words before and after
 it are searched again, so notices side by side, edited or not, are findings of their own. Windows are found in one pass over
 a text's template words, so the time follows the text's length and the notices in it.
 
-A finding is (license, coverage, first and last character); of findings that overlap, the one with the largest coverage
-stays, then the longer template, then the name. `license` is the best one of a text.
+A finding is (license, coverage, first and last character); of findings that overlap, the one with the most matches stays,
+then the one with the larger coverage, then the name. `license` is the best one of a text.
 
 Rows: a null or empty text has no finding; repeated rows are scanned each by itself; nulls in other columns don't matter;
 an empty table gives no rows; memory follows the longest text.
@@ -34,6 +34,8 @@ from .common import ALNUM, Words, arrow_limits, batches, utf8
 COVERAGE = 0.8
 #: Text words that a window may have for each template word.
 STRETCH = 1.5
+#: What a word between two matches takes off.
+GAP = 0.5
 
 #: Usual notices, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -112,6 +114,19 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def dense(matched: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of matches that is worth most, a match counting one and a word of the text between two matches less GAP."""
+    best, here, start, found = 0.0, 0.0, 0, (0, 0)
+    for k, (place, _) in enumerate(matched):
+        here -= GAP * (place - matched[k - 1][0] - 1) if k else 0
+        if here < 0:
+            here, start = 0.0, k
+        here += 1
+        if here > best:
+            best, found = here, (start, k + 1)
+    return matched[found[0] : found[1]]
+
+
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], coverage: float) -> None:
         words = Words(utf8([t for _, t in templates]), ALNUM)
@@ -146,7 +161,7 @@ def occurrences(hashes: np.ndarray, starts: list[int], template: list[int], leas
     def best(at: list[int], last: int) -> tuple[int, int, int] | None:
         found = None
         for k in at:
-            matched = align(hashes[k : min(k + reach, last)].tolist(), template)
+            matched = dense(align(hashes[k : min(k + reach, last)].tolist(), template))
             if len(matched) >= least:
                 one = (-len(matched), matched[-1][0] + 1 - matched[0][0], k + matched[0][0], k + matched[-1][0] + 1)
                 found = min(found or one, one)
@@ -192,9 +207,9 @@ def scan(words: Words, i: int, known: np.ndarray, templates: Templates) -> list[
             continue
         starts = _starts(places[ks], [held[k] for k in ks], template, templates.least[t], _reach(template))
         for matches, first, after in occurrences(words.hash, starts, template, templates.least[t], int(words.last[i])):
-            found.append((matches / len(template), len(template), name, int(words.start[first] - words.text_start[i]), int(words.end[after - 1] - words.text_start[i])))
+            found.append((matches, matches / len(template), name, int(words.start[first] - words.text_start[i]), int(words.end[after - 1] - words.text_start[i])))
     kept: list[tuple[int, int, str, float]] = []
-    for coverage, _, name, first, last in sorted(set(found), key=lambda f: (-f[0], -f[1], f[2], f[3])):
+    for _, coverage, name, first, last in sorted(set(found), key=lambda f: (-f[0], -f[1], f[2], f[3])):
         at = bisect_left(kept, (first,))
         if (at == 0 or kept[at - 1][1] <= first) and (at == len(kept) or kept[at][0] >= last):
             insort(kept, (first, last, name, coverage))

@@ -61,7 +61,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_license_scan, op5_vector_packing, op6_pii, op7_quality_classifier, op8_decontamination, op9_simple8b, op10_jaccard_join)}
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of instruction data, with loss on the answers."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_license_scan, op5_vector_packing, op6_pii, op7_quality_classifier, op8_decontamination, op9_simple8b, op10_jaccard_join, packed_conversations)}
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {

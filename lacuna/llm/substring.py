@@ -10,9 +10,10 @@ words joined by one blank, case kept) and joined over the whole corpus; the firs
 place), stays, and every sentence that another occurrence covers is removed, together with the white space after it.
 
 Two passes make the runs. The first counts by half of the hash, with a map-side aggregate, so a run that half the corpus
-holds is one row for each map task. The halves found at two places or more become a bitmap of 64 MB that
-is broadcast; the second pass sends on only runs that it has, and these are joined by the whole hash, so that a false find
-(about one in seven runs at 80 million repeated ones) changes nothing. Within a document a run counts once for each place.
+holds is one row for each map task. The halves found at two places or more become a bitmap that is broadcast; the second
+pass sends on only runs that it has, and these are joined by the whole hash, so that a false find changes nothing. Runs of
+more than `HOT` places don't meet by hash: their first occurrences come from a map-side minimum and are broadcast, at most
+`MOST_HOT` of them, the most frequent ones; the rest takes the join. Within a document a run counts once for each place.
 
 Rows: a null text stays null and has no sentences; rows of equal doc_id and text are one document and get the same
 result; a null doc_id sorts last; an empty table gives no rows; other columns are carried along by
@@ -32,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, materialize, mix
+from .common import Bitmap, arrow_limits, materialize, mix
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-#: Of the bitmap of hashes; 64 MB.
-BITS = 1 << 29
+#: Places of a run from which on it is hot, and hot runs whose first occurrences (44 bytes) are broadcast.
+HOT = 5_000
+MOST_HOT = 100_000
 _K1, _K2, _COVERED = "_lacuna_k1", "_lacuna_k2", "_lacuna_covered"
 _END = re.compile(r"\n|(?<=[.!?])[^\S\n]+")
 
@@ -67,21 +69,9 @@ def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WOR
     return [(a, b, xxhash.xxh3_128_digest(b" ".join(joined[a:b]))) for a, b in good]
 
 
-def _bitmap(halves: DataFrame) -> np.ndarray:
-    """BITS bits, those at the high ends of the hashes set; at most BITS / 64 rows reach the driver."""
-    words = halves.groupBy(F.shiftrightunsigned("h1", 41).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h1, 35) & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITS >> 6, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _in_bitmap(bitmap: np.ndarray, halves: np.ndarray) -> np.ndarray:
-    at = halves.view(np.uint64) >> np.uint64(35)
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _key() -> list:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(_K1), F.xxhash64("text").alias(_K2)]
+    null = F.col("doc_id").isNull()  # apart from the largest doc_id by the second part
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias(_K1), F.when(null, F.xxhash64(F.lit(1), "text")).otherwise(F.xxhash64("text")).alias(_K2)]
 
 
 def find_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -105,20 +95,24 @@ def find_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(place)], names=["h1", "place"])
 
     # copies of a row give the same place: the number of places is what counts
-    often = keyed.mapInArrow(places, "h1 long, place long").groupBy("h1").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most").select("h1")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
+    counted = keyed.mapInArrow(places, "h1 long, place long").groupBy("h1").agg(F.min("place").alias("least"), F.max("place").alias("most"), F.count("*").alias("c"))
+    often = materialize(counted.where("least < most").select("h1", "c"), "repeated-runs")
+    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap(often, "h1"))
+    hot = F.broadcast(materialize(often.where(F.col("c") > HOT).orderBy(F.desc("c"), "h1").limit(MOST_HOT).select("h1"), "hot-runs"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             h1, h2, rows, first, last = made(batch)
-            keep = _in_bitmap(bitmap.value, h1)
+            keep = bitmap.value.has(h1)
             of = pa.array(rows[keep])
             yield pa.RecordBatch.from_arrays([pa.array(h1[keep]), pa.array(h2[keep]), batch.column(0).take(of), batch.column(1).take(of), pa.array(first[keep]), pa.array(last[keep])], names=list(names))
 
     held = materialize(keyed.mapInArrow(run, f"h1 long, h2 long, {_K1} long, {_K2} long, first int, last int"), "runs")
     place = lambda: F.struct(_K1, _K2, "first")
-    firsts = held.groupBy("h1", "h2").agg(F.min(place()).alias("at"))
-    later = held.join(firsts, ["h1", "h2"]).where(place() > F.col("at"))
+    firsts = lambda rows: rows.groupBy("h1", "h2").agg(F.min(place()).alias("at"))
+    usual, frequent = held.join(hot, "h1", "left_anti"), held.join(hot, "h1", "left_semi")
+    joined = usual.join(firsts(usual), ["h1", "h2"]).unionByName(frequent.join(F.broadcast(materialize(firsts(frequent), "hot-firsts")), ["h1", "h2"]))
+    later = joined.where(place() > F.col("at"))
     return later.groupBy(_K1, _K2).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias(_COVERED))
 
 
