@@ -87,9 +87,26 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(coalesce({_FOLD.format("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS gram FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
-x AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
-h AS (SELECT r, i, sizes.n, item FROM x, sizes JOIN bw ON bw.n = sizes.n AND bw.gram = array_to_string(x.ws[x.i : x.i + sizes.n - 1], ' ') WHERE x.i + sizes.n - 1 <= len(x.ws)),
+x AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+l AS (SELECT r, i, list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS next FROM x),
+h AS (SELECT r, i, n, item FROM (SELECT r, i, n, array_to_string(next[1:n], ' ') AS gram FROM l, sizes WHERE len(next) >= n) JOIN bw USING (n, gram)),
 q AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
 t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN q USING (r) LEFT JOIN t USING (r)""",
+    "op10_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_FOLD.format("text")}, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT r, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS gram FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT DISTINCT r, gram FROM g WHERE gram IS NOT NULL UNION ALL SELECT r, array_to_string(ws, ' ') FROM d WHERE len(ws) IN (1, 2)),
+n AS (SELECT r, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS cls FROM s GROUP BY 1),
+c AS (SELECT cls, min(r) AS r, any_value(n) AS n FROM n GROUP BY 1),
+e AS (SELECT c.cls, c.n, s.gram FROM c JOIN s USING (r)),
+pairs AS (SELECT a.cls AS a, b.cls AS b, count(*) AS common, any_value(a.n) AS an, any_value(b.n) AS bn FROM e AS a JOIN e AS b ON a.gram = b.gram AND a.cls < b.cls AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 90 * (an + bn - common)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+owners AS (SELECT cls, min(doc_id) AS own FROM n JOIN d USING (r) GROUP BY 1),
+comp AS (SELECT cls, least(min(o.own), any_value(l.own)) AS component_id FROM owners AS l LEFT JOIN (SELECT a, own FROM reach JOIN owners ON owners.cls = reach.b) AS o ON o.a = l.cls GROUP BY 1),
+deg AS (SELECT a AS cls, count(*) AS n_links FROM sides GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n USING (r) LEFT JOIN comp USING (cls) LEFT JOIN deg USING (cls)""",
 }
