@@ -28,3 +28,11 @@ TRANSITION = 0.15
 GIB = 1 << 30
 MIN_FREE = 5 * GIB
 RESERVE_FACTOR = 16
+CONSERVATIVE_THRESHOLD = 0.1
+REVIEW_LAYOUT = 0.75
+NATIVE_LAYOUT = 0.3
+NATIVE_MEDIAN = 0.7
+NATIVE_P10 = 0.2
+REVIEW_LEADS = 0.9
+LOW_RESOLUTION = {"max_edge": 600, "median_rmse": 60.0, "lead_rmse": 75.0, "leads": 9, "jump_margin": 2}
+LEADS = 12
