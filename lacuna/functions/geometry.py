@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def matrix(*cells: Column) -> Column:
     return F.array(*(c.cast("double") for c in cells))
 
 
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def compose(a: Column, b: Column) -> Column:
     """a after b."""
     return F.array(*(sum((a[3 * i + k] * b[3 * k + j] for k in range(1, 3)), a[3 * i] * b[j]) for i in range(3) for j in range(3)))
