@@ -58,9 +58,11 @@ def in_intervals(samples: DataFrame, intervals: DataFrame, by: list[str], width:
     """samples with `covered`: whether an interval of the same key has them.
 
     Intervals are dealt to buckets of `width` samples, so that the join is an equi-join with a residual range and a long
-    series is no single group.
+    series is no single group. Repeated samples stay as many as they are.
     """
-    dealt = merged(intervals, by).select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_b")).where("_e > _s")
-    keyed = samples.withColumn("_b", F.floor(F.col(sample) / width))
-    joined = keyed.join(dealt, [*by, "_b"], "left").withColumn("_in", F.coalesce((F.col(sample) >= F.col("_s")) & (F.col(sample) < F.col("_e")), F.lit(False)))
-    return joined.groupBy(*samples.columns).agg(F.max("_in").alias("covered"))
+    whole = merged(intervals, by).where("end > start")
+    dealt = whole.select(*by, F.struct("start", "end").alias("_i"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_b"))
+    held = dealt.groupBy(*by, "_b").agg(F.collect_list("_i").alias("_held"))  # apart from each other, so at most `width` in a bucket
+    joined = samples.withColumn("_b", F.floor(F.col(sample) / width)).join(held, [*by, "_b"], "left")
+    inside = F.exists("_held", lambda i: (F.col(sample) >= i["start"]) & (F.col(sample) < i["end"]))
+    return joined.select(*(F.col(c) for c in samples.columns), F.coalesce(inside, F.lit(False)).alias("covered"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.plans import policy
@@ -42,13 +42,15 @@ def without_boundaries(df: DataFrame, n: Column, local: Column, first: float = p
 def mapped_boxes(boxes: DataFrame, rows: DataFrame, width: int, columns: int, margin: int) -> DataFrame:
     """Boxes (box, x0, x1, cy) as sample intervals of the nearest row: box, row, col, start, end."""
     cx = (F.col("x0") + F.col("x1")) / 2.0
-    near = boxes.crossJoin(F.broadcast(rows)).groupBy("box", "x0", "x1", "cy").agg(F.min_by("row", F.struct(F.abs(F.col("cy") - F.col("center")), F.col("row"))).alias("row"))
-    return near.select("box", "row", F.least(F.lit(columns - 1), F.floor(cx / width * columns)).cast("int").alias("col"), F.greatest(F.lit(0), F.col("x0") - margin).alias("start"), F.least(F.lit(width), F.col("x1") + margin).alias("end"))
+    centers = rows.agg(F.collect_list(F.struct("center", "row")).alias("_rows"))  # the rows of one page
+    near = F.array_min(F.transform("_rows", lambda r: F.struct(F.abs(F.col("cy") - r["center"]).alias("far"), r["row"].alias("row"))))
+    placed = boxes.crossJoin(F.broadcast(centers)).withColumn("row", near["row"]).where("row is not null")
+    return placed.select("box", "row", F.least(F.lit(columns - 1), F.floor(cx / width * columns)).cast("int").alias("col"), F.greatest(F.lit(0), F.col("x0") - margin).alias("start"), F.least(F.lit(width), F.col("x1") + margin).alias("end"))
 
 
-def compact(df: DataFrame, channels: list[str], rate: float) -> DataFrame:
-    """Wide table of panels re-based to local samples: local_sample, t, a column per channel."""
-    return df.groupBy("local_sample").pivot("channel", channels).agg(F.first("value", ignorenulls=True)).withColumn("t", F.col("local_sample") / F.lit(rate))
+def compact(df: DataFrame, channels: list[str], rate: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Wide table of panels re-based to local samples: by, local_sample, t, a column per channel."""
+    return df.groupBy(*by, "local_sample").pivot("channel", channels).agg(F.first("value", ignorenulls=True)).withColumn("t", F.col("local_sample") / F.lit(rate))
 
 
 def affine_correction(df: DataFrame, by: list[str], n: Column) -> DataFrame:
@@ -59,6 +61,3 @@ def affine_correction(df: DataFrame, by: list[str], n: Column) -> DataFrame:
     scale = (F.col("n") - 1) / (F.col("b") - F.col("a"))
     return rows.select(*by, "refs", F.when((F.col("refs") >= 2) & scale.between(1.005, 1.2) & (F.col("da") <= 0.05 * F.col("n")) & (F.col("db") <= 0.05 * F.col("n")), scale).alias("scale"))
 
-
-def order_window(by: list[str], *order: Column) -> Window:
-    return Window.partitionBy(*by).orderBy(*order)

@@ -36,3 +36,5 @@ NATIVE_P10 = 0.2
 REVIEW_LEADS = 0.9
 LOW_RESOLUTION = {"max_edge": 600, "median_rmse": 60.0, "lead_rmse": 75.0, "leads": 9, "jump_margin": 2}
 LEADS = 12
+CORE = 5
+NEURAL = 12

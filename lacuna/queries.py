@@ -87,14 +87,14 @@ def merged_intervals(spark, d):
 # panels
 
 
-LAYOUT = "l AS (SELECT DISTINCT series, CASE series % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS n_cols, series % 10 = 0 AS rhythm FROM v1), b AS (SELECT series, n_cols, rhythm, series % n_cols AS col, 61 // n_cols AS part FROM l), p AS (SELECT series, CAST(CASE WHEN rhythm THEN 0 ELSE col * part END AS INT) AS \"start\", CAST(CASE WHEN rhythm OR col = n_cols - 1 THEN 61 ELSE (col + 1) * part END AS INT) AS \"end\" FROM b)"
+LAYOUT = "l AS (SELECT series, count(*) AS n, CASE series % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS n_cols, series % 10 = 0 AS rhythm FROM v1 GROUP BY 1), b AS (SELECT series, n, n_cols, rhythm, series % n_cols AS col, n // n_cols AS part FROM l), p AS (SELECT series, CAST(CASE WHEN rhythm THEN 0 ELSE col * part END AS INT) AS \"start\", CAST(CASE WHEN rhythm OR col = n_cols - 1 THEN n ELSE (col + 1) * part END AS INT) AS \"end\" FROM b)"
 
 
 def _paneled(spark: SparkSession, d: str) -> DataFrame:
-    """61 samples of each regular series with its panel: four, two or one columns by series, every tenth at full width."""
-    v = views.regular_series(spark, d).where("sample < 61")
-    columns = F.when(F.col("series") % 3 == 0, 4).when(F.col("series") % 3 == 1, 2).otherwise(1)
-    start, end = panels.panel_bounds(F.lit(61), columns, F.col("series") % columns, F.col("series") % 10 == 0)
+    """Each regular series with its panel: four, three or one columns by series, every tenth at full width."""
+    v = views.regular_series(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("series")).cast("int"))
+    columns = F.when(F.col("series") % 3 == 0, 4).when(F.col("series") % 3 == 1, 3).otherwise(1)
+    start, end = panels.panel_bounds(F.col("n"), columns, F.col("series") % columns, F.col("series") % 10 == 0)
     return v.withColumn("start", start).withColumn("end", end)
 
 
@@ -103,7 +103,7 @@ def panel_slices(spark, d):
     return panels.sliced(_paneled(spark, d)).select("series", "local_sample", "value")
 
 
-@query(f'WITH {V1}, {LAYOUT} SELECT series, sample, CASE WHEN sample >= "start" AND sample < "end" THEN value END AS value FROM v1 JOIN p USING (series) WHERE sample < 61')
+@query(f'WITH {V1}, {LAYOUT} SELECT series, sample, CASE WHEN sample >= "start" AND sample < "end" THEN value END AS value FROM v1 JOIN p USING (series)')
 def sanitized_panels(spark, d):
     return panels.sanitized(_paneled(spark, d)).select("series", "sample", "value")
 
@@ -119,10 +119,10 @@ def panel_boundary_masks(spark, d):
     return panels.without_boundaries(inside, F.col("end") - F.col("start"), F.col("local_sample")).select("series", "sample", "value")
 
 
-@query(f"""WITH {V1} SELECT sample AS local_sample, sample / 500.0::DOUBLE AS t, max(value) FILTER (series = 0) AS c0, max(value) FILTER (series = 1) AS c1, max(value) FILTER (series = 2) AS c2, max(value) FILTER (series = 3) AS c3 FROM v1 WHERE series < 4 GROUP BY 1""")
+@query(f"""WITH {V1} SELECT series // 4 AS page, sample AS local_sample, sample / 500.0::DOUBLE AS t, max(value) FILTER (series % 4 = 0) AS c0, max(value) FILTER (series % 4 = 1) AS c1, max(value) FILTER (series % 4 = 2) AS c2, max(value) FILTER (series % 4 = 3) AS c3 FROM v1 GROUP BY 1, 2""")
 def compact_segments(spark, d):
-    v = views.regular_series(spark, d).where("series < 4").select(F.concat(F.lit("c"), "series").alias("channel"), F.col("sample").alias("local_sample"), "value")
-    return panels.compact(v, ["c0", "c1", "c2", "c3"], 500.0)
+    v = views.regular_series(spark, d).select(F.floor(F.col("series") / 4).alias("page"), F.concat(F.lit("c"), F.pmod("series", F.lit(4))).alias("channel"), F.col("sample").alias("local_sample"), "value")
+    return panels.compact(v, ["c0", "c1", "c2", "c3"], 500.0, ("page",))
 
 
 @query(f"""WITH {V2}, {GAPS}, a AS (SELECT series, sample, value FROM v2), i AS (SELECT series, "start" - 3 AS s, "start" AS e FROM g) SELECT a.series, a.sample, EXISTS (SELECT 1 FROM i WHERE i.series = a.series AND a.sample >= i.s AND a.sample < i.e) AS covered, CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.series = a.series AND a.sample >= i.s AND a.sample < i.e) THEN NULL ELSE value END AS kept FROM a""")
@@ -257,15 +257,15 @@ def limb_identity(spark, d):
 
 
 @query(f"""WITH {V1}, m AS (SELECT series, avg(value) AS mu FROM v1 GROUP BY 1), c AS (SELECT series, sample, value - mu AS z FROM v1 JOIN m USING (series)), e AS (SELECT series, sum(z * z) AS e FROM c GROUP BY 1),
-l AS (SELECT a.series, b.sample - a.sample AS lag, sum(a.z * b.z) / any_value(e) AS r FROM c a JOIN c b ON a.series = b.series AND b.sample - a.sample BETWEEN 2 AND 8 JOIN e ON e.series = a.series WHERE e > 0 GROUP BY 1, 2),
+l AS (SELECT a.series, b.sample - a.sample AS lag, sum(a.z * b.z) / any_value(e) AS r FROM c a JOIN c b ON a.series = b.series AND b.sample - a.sample BETWEEN 2 AND 31 JOIN e ON e.series = a.series WHERE e > 0 GROUP BY 1, 2),
 k AS (SELECT *, lag(r) OVER o AS r0, lead(r) OVER o AS r1 FROM l WINDOW o AS (PARTITION BY series ORDER BY lag)) SELECT series, min(lag) AS period FROM k WHERE round(r, 9) >= 0.18 AND r > r0 AND r > r1 GROUP BY 1""")
 def grid_period(spark, d):
     v = views.regular_series(spark, d)
     w = Window.partitionBy("series")
     z = v.withColumn("z", F.col("value") - F.avg("value").over(w)).withColumn("e", F.sum(F.col("z") * F.col("z")).over(w)).where("e > 0")
     o = w.orderBy("sample")
-    lags = z.select("series", "e", *[(F.col("z") * F.lead("z", k).over(o)).alias(f"p{k}") for k in range(2, 9)])
-    sums = lags.groupBy("series", "e").agg(*[(F.sum(f"p{k}")).alias(f"p{k}") for k in range(2, 9)]).unpivot(["series", "e"], [f"p{k}" for k in range(2, 9)], "name", "p")
+    lags = z.select("series", "e", *[(F.col("z") * F.lead("z", k).over(o)).alias(f"p{k}") for k in range(2, 32)])
+    sums = lags.groupBy("series", "e").agg(*[(F.sum(f"p{k}")).alias(f"p{k}") for k in range(2, 32)]).unpivot(["series", "e"], [f"p{k}" for k in range(2, 32)], "name", "p")
     r = sums.select("series", F.substring("name", 2, 2).cast("int").alias("lag"), (F.col("p") / F.col("e")).alias("r")).where("r is not null")
     ow = Window.partitionBy("series").orderBy("lag")
     return r.withColumn("r0", F.lag("r").over(ow)).withColumn("r1", F.lead("r").over(ow)).where((F.round("r", 9) >= 0.18) & (F.col("r") > F.col("r0")) & (F.col("r") > F.col("r1"))).groupBy("series").agg(F.min("lag").alias("period"))
@@ -274,13 +274,15 @@ def grid_period(spark, d):
 # resampling, alignment, repair
 
 
-@query(f"""WITH {V1}, h AS (SELECT CAST((i * 5 + k + 2) AS INT) AS hyp, sc AS scale, CAST(k AS INT) AS shift FROM (SELECT unnest([0, 1, 2]) AS i, unnest([1.0::DOUBLE, 0.99::DOUBLE, 1.01::DOUBLE]) AS sc), (SELECT unnest(range(-2, 3)) AS k)),
-x AS (SELECT series, hyp, sample, 31.5::DOUBLE + (sample - 31.5::DOUBLE) * scale + shift AS pos FROM v1, h), y AS (SELECT *, CAST(floor(pos) AS INT) AS lo FROM x WHERE pos <= 63 AND pos >= 0)
-SELECT y.series, y.hyp, y.sample, round(CASE WHEN pos = lo THEN p.value ELSE p.value + (q.value - p.value) * (pos - lo) END, 6) AS value FROM y JOIN v1 p ON p.series = y.series AND p.sample = y.lo LEFT JOIN v1 q ON q.series = y.series AND q.sample = y.lo + 1""")
+@query(f"""WITH {V1}, h AS (SELECT CAST((i * 41 + k + 20) AS INT) AS hyp, sc AS scale, CAST(k AS INT) AS shift FROM (SELECT unnest(range(5)) AS i, unnest([1.0::DOUBLE, 0.99::DOUBLE, 1.01::DOUBLE, 0.98::DOUBLE, 1.02::DOUBLE]) AS sc), (SELECT unnest(range(-20, 21)) AS k)),
+x AS (SELECT series, hyp, sample, 31.5::DOUBLE + (sample - 31.5::DOUBLE) * scale + shift AS pos FROM v1, h), y AS (SELECT *, CAST(floor(pos) AS INT) AS lo FROM x WHERE pos <= 63 AND pos >= 0),
+s AS (SELECT y.series, y.hyp, y.sample, CASE WHEN pos = lo THEN p.value ELSE p.value + (q.value - p.value) * (pos - lo) END AS value FROM y JOIN v1 p ON p.series = y.series AND p.sample = y.lo LEFT JOIN v1 q ON q.series = y.series AND q.sample = y.lo + 1)
+SELECT series, hyp, count(value) AS n, round(sum(value), 5) AS total, round(max(value), 6) AS top FROM s GROUP BY 1, 2""")
 def affine_samples(spark, d):
-    hyp = resample.hypothesis_table(spark, 2, [1.0, 0.99, 1.01])
+    """All hypotheses of the policy; of each its samples counted, summed and their largest."""
     v = views.regular_series(spark, d).select("series", "sample", "value")
-    return resample.affine_sample(v, ["series"], hyp, F.lit(31.5), F.lit(64)).select("series", "hyp", "sample", F.round("value", 6).alias("value"))
+    made = resample.affine_sample(v, ["series"], resample.hypothesis_table(spark), F.lit(31.5), F.lit(64))
+    return made.groupBy("series", "hyp").agg(F.count("value").alias("n"), F.round(F.sum("value"), 5).alias("total"), F.round(F.max("value"), 6).alias("top"))
 
 
 @query(f"""WITH {V1}, p AS (SELECT a.series AS a, b.series AS b, a.sample, b.value - a.value AS df FROM v1 a JOIN v1 b ON b.grp = a.grp AND b.sample = a.sample JOIN (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) n ON n.vec_id = a.series AND n.nxt = b.series),
@@ -327,11 +329,11 @@ def peer_gap_repair(spark, d):
     return selection.repaired(mine, peers, islands.gaps(mine, ["series"]), ["series"], 3, 500.0).withColumn("value", F.round("value", 6))
 
 
-@query("""WITH o AS (SELECT c_nationkey AS k, CAST(floor(c_acctbal) AS INT) % 100 AS center, c_custkey FROM customer), s AS (SELECT k, center, row_number() OVER (PARTITION BY k ORDER BY c_custkey) - 1 AS r FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY c_custkey) <= 12)
+@query("""WITH o AS (SELECT c_nationkey AS k, CAST(floor(c_acctbal) AS INT) % 100 AS center, c_custkey FROM customer), s AS (SELECT k, center, row_number() OVER (PARTITION BY k ORDER BY c_custkey) - 1 AS r FROM o)
 SELECT k, r, CASE WHEN lag(center) OVER w IS NULL THEN NULL ELSE (center + lag(center) OVER w) / 2.0::DOUBLE END AS lo, CASE WHEN lead(center) OVER w IS NULL THEN NULL ELSE (center + lead(center) OVER w) / 2.0::DOUBLE END AS hi FROM s WINDOW w AS (PARTITION BY k ORDER BY r)""")
 def row_bounds(spark, d):
     w = Window.partitionBy("k").orderBy("c_custkey")
-    s = views.read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), (F.floor("c_acctbal").cast("int") % 100).alias("center"), "c_custkey").withColumn("r", (F.row_number().over(w) - 1).cast("long")).where("r < 12")
+    s = views.read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), (F.floor("c_acctbal").cast("int") % 100).alias("center"), "c_custkey").withColumn("r", (F.row_number().over(w) - 1).cast("long"))
     o = Window.partitionBy("k").orderBy("r")
     return s.select("k", "r", ((F.col("center") + F.lag("center").over(o)) / 2.0).alias("lo"), ((F.col("center") + F.lead("center").over(o)) / 2.0).alias("hi"))
 
@@ -438,11 +440,12 @@ def contract_violations(spark, d):
     return evidence.violations(o, ["run"], {"price": F.col("o_totalprice") > 100000, "status": F.col("o_orderstatus").isin("F", "O"), "priority": F.col("o_orderpriority").like("%-%") & (F.length("o_orderpriority") < 9)})
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, count(*) AS l FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS r FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, count(*) AS l FROM orders GROUP BY 1), b AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN l_orderkey + 1000000000000 ELSE l_orderkey END AS k, count(*) AS r FROM lineitem GROUP BY 1)
 SELECT k, CASE WHEN l IS NULL THEN 'not_published' WHEN r IS NULL THEN 'not_described' WHEN l > 1 OR r > 1 THEN 'duplicate' END AS rule FROM a FULL JOIN b USING (k) WHERE l IS NULL OR r IS NULL OR l > 1 OR r > 1""")
 def uncertainty_index(spark, d):
-    o = views.read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).where("k % 3 <> 0")
-    li = views.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).where("k % 5 <> 0")
+    changed = lambda key, step, other: F.when(key % step == 0, other).otherwise(key).alias("k")
+    o = views.read(spark, d, "orders").select(changed(F.col("o_orderkey"), 3, -F.col("o_orderkey")))
+    li = views.read(spark, d, "lineitem").select(changed(F.col("l_orderkey"), 5, F.col("l_orderkey") + 1_000_000_000_000))
     return evidence.matched_index(o, li, ["k"])
 
 

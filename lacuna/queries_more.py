@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import gates, text
 from lacuna.operators import evidence, grouped, islands
+from lacuna.plans import policy
 from lacuna.queries import V1, V2, V3, V7, query
 from lacuna.sources import views
 
@@ -44,12 +45,12 @@ def input_quality(spark, d):
     return p.select("p_partkey", F.array_join(why, ",").alias("reasons"), F.when(F.col("p_size") < 4, "insufficient").when(F.size(why) > 0, "review").otherwise("acceptable").alias("quality"), checks[0]["status"].alias("edge_check"), checks[1]["status"].alias("light_check"))
 
 
-@query(f"""WITH {V7}, p AS (SELECT *, CASE WHEN kind = 'N' AND warnings <= 3 THEN 'core' WHEN kind = 'N' OR layout = 'F' THEN 'recovery' ELSE 'exhaustive' END AS phase FROM v7), r AS (SELECT *, row_number() OVER (PARTITION BY run, phase ORDER BY warnings, candidate, crop) AS k FROM p) SELECT run, candidate, phase FROM r WHERE k <= CASE phase WHEN 'core' THEN 5 ELSE 2 END""")
+@query(f"""WITH {V7}, p AS (SELECT *, CASE WHEN kind = 'N' AND warnings <= 3 THEN 'core' WHEN kind = 'N' OR layout = 'F' THEN 'recovery' ELSE 'exhaustive' END AS phase FROM v7), r AS (SELECT *, row_number() OVER (PARTITION BY run, phase ORDER BY warnings, candidate, crop) AS k FROM p) SELECT run, candidate, phase FROM r WHERE k <= CASE phase WHEN 'core' THEN 5 ELSE 12 END""")
 def candidate_plan(spark, d):
     p = views.pools(spark, d)
     phase = F.when((F.col("kind") == "N") & (F.col("warnings") <= 3), "core").when((F.col("kind") == "N") | (F.col("layout") == "F"), "recovery").otherwise("exhaustive")
     ranked = p.withColumn("phase", phase).withColumn("k", F.row_number().over(Window.partitionBy("run", "phase").orderBy("warnings", "candidate", "crop")))
-    return ranked.where(F.col("k") <= F.when(F.col("phase") == "core", 5).otherwise(2)).select("run", "candidate", "phase")
+    return ranked.where(F.col("k") <= F.when(F.col("phase") == "core", policy.CORE).otherwise(policy.NEURAL)).select("run", "candidate", "phase")
 
 
 @query(f"""WITH {V3}, w AS (SELECT *, max(value) OVER (PARTITION BY series, sample) - min(value) OVER (PARTITION BY series, sample) AS spread FROM v3) SELECT series, candidate, round(quantile_cont(spread, 0.5) + 40 * (1 - count(*) / 30.0::DOUBLE) + CASE WHEN candidate = 'click' THEN 12 ELSE 0 END, 5) AS score FROM w GROUP BY 1, 2""")
@@ -71,12 +72,12 @@ def densest_window(spark, d):
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id AS k, CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'), e AS (SELECT DISTINCT user_id AS k, CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS t FROM events WHERE event_type = 'view'),
-h AS (SELECT unnest(range(-3, 4)) AS shift), n AS (SELECT a.k, h.shift, a.t, (SELECT min(abs(e.t - a.t - h.shift)) FROM e WHERE e.k = a.k) AS gap FROM a, h), s AS (SELECT k, shift, count(*) FILTER (gap <= 1) AS matches, coalesce(sum(gap) FILTER (gap <= 1), 0) AS cost FROM n GROUP BY 1, 2)
+h AS (SELECT unnest(range(-20, 21)) AS shift), n AS (SELECT a.k, h.shift, a.t, (SELECT min(abs(e.t - a.t - h.shift)) FROM e WHERE e.k = a.k) AS gap FROM a, h), s AS (SELECT k, shift, count(*) FILTER (gap <= 1) AS matches, coalesce(sum(gap) FILTER (gap <= 1), 0) AS cost FROM n GROUP BY 1, 2)
 SELECT k, CAST(shift AS INT) AS shift, matches FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY matches DESC, cost, abs(shift), shift) AS r FROM s) WHERE r = 1""")
 def anchor_shift(spark, d):
     e = views.read(spark, d, "events").select(F.col("user_id").alias("k"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)).cast("long").alias("t"), "event_type")
     a, b = (e.where(F.col("event_type") == x).select("k", "t").distinct() for x in ("purchase", "view"))
-    moved = a.select("k", "t", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("shift"))
+    moved = a.select("k", "t", F.explode(F.sequence(F.lit(-policy.ALIGN_RADIUS), F.lit(policy.ALIGN_RADIUS))).alias("shift"))
     near = moved.select("k", "shift", "t", F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1)))).alias("off")).withColumn("at", F.col("t") + F.col("shift") + F.col("off"))
     gap = near.join(b.withColumnRenamed("t", "at"), ["k", "at"], "left_semi").groupBy("k", "shift", "t").agg(F.min(F.abs("off")).alias("gap"))
     full = moved.join(gap, ["k", "shift", "t"], "left").groupBy("k", "shift").agg(F.count("gap").alias("matches"), F.coalesce(F.sum("gap"), F.lit(0)).alias("cost"))
@@ -84,14 +85,12 @@ def anchor_shift(spark, d):
     return full.groupBy("k").agg(best.alias("b")).select("k", "b.shift", "b.matches")
 
 
-@query("""WITH c AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS x, CAST(floor(c_acctbal) AS BIGINT) % 500 AS y FROM customer), w AS (SELECT k, max(y) FILTER (x = 1) AS y1, max(y) FILTER (x = 2) AS y2, max(y) FILTER (x = 3) AS y3 FROM c WHERE x <= 3 GROUP BY 1 HAVING count(*) = 3)
-SELECT k, (y3 - y1) / 2.0::DOUBLE AS slope, round((y1 + y2 + y3) / 3.0::DOUBLE - 2 * (y3 - y1) / 2.0::DOUBLE, 6) AS at_zero, abs(y1 - 2 * y2 + y3) AS bend FROM w""")
+@query("""WITH c AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS x, CAST(floor(c_acctbal) AS BIGINT) % 500 AS y FROM customer)
+SELECT k, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS at_zero FROM c GROUP BY 1""")
 def centroid_line(spark, d):
     x = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    c = views.read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), x.alias("x"), (F.floor("c_acctbal").cast("long") % 500).alias("y")).where("x <= 3")
-    w = c.groupBy("k").agg(*(F.max(F.when(F.col("x") == i, F.col("y"))).alias(f"y{i}") for i in (1, 2, 3)), F.count("*").alias("n")).where("n = 3")
-    rise = (F.col("y3") - F.col("y1")) / F.lit(2.0)
-    return w.select("k", rise.alias("slope"), F.round((F.col("y1") + F.col("y2") + F.col("y3")) / F.lit(3.0) - 2 * rise, 6).alias("at_zero"), F.abs(F.col("y1") - 2 * F.col("y2") + F.col("y3")).alias("bend"))
+    c = views.read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), x.alias("x"), (F.floor("c_acctbal").cast("long") % 500).alias("y"))
+    return c.groupBy("k").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 5).alias("at_zero"))
 
 
 @query("""SELECT l_suppkey AS k, count(*) AS n, count(*) FILTER (l_quantity >= 10) AS measured, count(*) FILTER (l_quantity >= 10) >= 8 AND count(*) FILTER (l_quantity >= 10) / count(*)::DOUBLE >= 0.8 AS passed, round(quantile_cont(l_quantity, 0.5), 6) AS middle, max(l_quantity) - min(l_quantity) <= 0.9 * quantile_cont(l_quantity, 0.5) AS narrow FROM lineitem GROUP BY 1""")
@@ -194,14 +193,6 @@ def gap_rollup(spark, d):
 # whole forms without SQL
 
 
-@query(None)
-def compact_pages(spark, d):
-    """All series, four to a page: page, local_sample, t and a column per channel."""
-    v = views.regular_series(spark, d).select(F.floor(F.col("series") / 4).alias("page"), F.concat(F.lit("c"), F.pmod("series", F.lit(4))).alias("channel"), F.col("sample").alias("local_sample"), "value")
-    wide = v.groupBy("page", "local_sample").pivot("channel", ["c0", "c1", "c2", "c3"]).agg(F.first("value", ignorenulls=True))
-    return wide.withColumn("t", F.col("local_sample") / F.lit(500.0))
-
-
 #: Each label's series are dealt to so many blocks, and each two blocks meet in a task of their own.
 PAIR_BLOCKS = 8
 
