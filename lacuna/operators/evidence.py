@@ -39,6 +39,11 @@ def availability(assets: Column, removed: Column, key: str, applicable: Column)
     return F.when(~applicable, "not_applicable").when(F.array_contains(assets, key), "recorded").when(F.array_contains(removed, key), "unavailable_historical").otherwise("not_recorded")
 
 
+def listed(runs: DataFrame, by: list[str], at: str, ident: str) -> DataFrame:
+    """runs with `place`: the newest of an owner first, then by id; a list of all is a sort by the same keys."""
+    return runs.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(at), ident)).cast("long"))
+
+
 def reservation(size: Column) -> Column:
     return F.greatest(F.lit(policy.GIB), F.ceil(size * policy.RESERVE_FACTOR))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +45,50 @@ def write_wide(wide: DataFrame, path: str, channels: list[str], n_samples: int,
         frame = wide.select(*keys).distinct().crossJoin(F.broadcast(frame)) if n_samples <= 100_000 else wide.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
     dense = frame.join(wide, [*keys, "sample"], "left").select(*keys, "sample", *(F.round(F.col(f"`{c}`"), decimals).alias(c) for c in channels))
     dense.repartitionByRange(*keys, "sample").sortWithinPartitions(*keys, "sample").drop("sample").write.csv(path, header=True, emptyValue="", nullValue="")
+
+
+#: The columns of an uncertainty table, in the order of its file.
+UNCERTAINTY = "lead string, lead_sample int, t_s_at_500hz double, canonical_sample int, value_uv double, review_estimate_uv double, status string, annotation_overlap int, candidate_count int, candidate_spread_uv double"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name below spark.checkpoint.dir; below a temporary folder only for a session of one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_uncertainty(rows: DataFrame, path: str | None = None) -> str:
+    """Write an uncertainty table as CSV, a lead's samples together and in order; missing numbers are empty. Returns the path."""
+    path = path or scratch(rows.sparkSession, "uncertainty")
+    names = [c.split()[0] for c in UNCERTAINTY.split(", ")]
+    rows.select(names).repartitionByRange("lead", "lead_sample").sortWithinPartitions("lead", "lead_sample").write.csv(path, header=True, emptyValue="", nullValue="")
+    return path
+
+
+def read_uncertainty(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=UNCERTAINTY)
+
+
+def write_records(rows: DataFrame, key: str, path: str) -> None:
+    """Metadata or provenance records as JSON lines, one for each row, with the fields in alphabetical order; a folder for each `key` prefix keeps listings small."""
+    fields = sorted(rows.columns)
+    held = rows.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2).alias("shard"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    held.write.partitionBy("shard").text(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records as columns; a line that is no such record is left out here and counted by `broken_records`."""
+    return _parsed(spark, path, schema).where("record is not null").select("record.*")
+
+
+def broken_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return _parsed(spark, path, schema).where("record is null").select("value")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    found = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select("value", found.alias("record")).withColumn("record", F.when(F.col("record._bad").isNull(), F.col("record").dropFields("_bad")))
