@@ -449,13 +449,15 @@ def grouped(docs: DataFrame, join: Join = Join(), links_too: bool = False, block
 
     links = linked(plausible(_pairs(named)))
     labels = components(links)
-    rows = named.select("key", "cls")
+    rows, before = named.select("key", "cls"), None
     for turn in range(1, len(ORDERS)):
         rows = materialize(_across(rows, labels), "across")
         size = rows.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
         if not size["rows"]:
             break
-        last = turn == len(ORDERS) - 1 or size["pairs"] <= 16 * size["rows"]
+        # another turn of representatives is for large buckets that the last one has made smaller
+        last = turn == len(ORDERS) - 1 or size["pairs"] <= BLOCK * size["rows"] or before is not None and size["rows"] > 0.9 * before
+        before = size["rows"]
         if last:  # what is left in several components, all of it
             counts = rows.groupBy("key").agg(F.count("*").alias("c"))
             wide = materialize(counts.where(F.col("c") > NARROW).select("key", F.ceil(F.col("c") / BLOCK).alias("blocks")), "wide")
