@@ -145,8 +145,9 @@ def first_failed(rules: list[Rule], text: Column, words: Column) -> Column:
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     plan = ordered(rules, measured(docs, rules, sample_rows))
-    held = docs.withColumn("_lacuna_words", words_of(F.col("text")))
-    return held.where(first_failed(plan, F.col("text"), F.col("_lacuna_words")).isNull()).select(docs.columns)
+    text = F.col("text").cast("string")
+    # words are made once in the row: a column of them would be put in place of each of its uses in the condition
+    return docs.where(let(words_of(text), lambda words: first_failed(plan, text, words)).isNull())
 
 
 def judged(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
