@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import kernels
-from lacuna.plans import policy
 
 
 def aligned_pairs(series: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -52,17 +51,22 @@ def clusters(events: DataFrame, by: str, tolerance: float, least: int) -> DataFr
     return events.select(by, "time", "series").groupBy(by).applyInPandas(run, f"{by} long, time double, n int")
 
 
-def traced(panels: DataFrame, linear: float = 0.035, square: float = 0.0018) -> DataFrame:
-    """panel, x, y of the cheapest path; panels: panel, x, evidence (array by row)."""
+def traced(panels: DataFrame, center_weight: float = 0.35, transition: float = 1.0) -> DataFrame:
+    """panel, x, y of the cheapest path; panels: panel, x, y_start, row_center, evidence (array by row from y_start).
+
+    A pixel costs 7 for missing evidence and, by the fourth power, its distance from the row's centre in half heights. A panel
+    is one row's band of an image, which bounds the group.
+    """
 
     def run(pdf):
         pdf = pdf.sort_values("x")
         grid = np.array(pdf["evidence"].tolist(), float).T
-        rows = np.linspace(-1, 1, grid.shape[0])[:, None]
-        y = kernels.best_path(7 * (1 - grid) + rows**4, linear, square)
+        start, half = int(pdf["y_start"].iloc[0]), max(grid.shape[0] / 2, 1.0)
+        far = np.abs(np.arange(start, start + grid.shape[0]) - float(pdf["row_center"].iloc[0])) / half
+        y = kernels.best_path(7 * (1 - grid) + center_weight * far[:, None] ** 4, 0.035 * transition, 0.0018 * transition) + start
         return pd.DataFrame({"panel": pdf["panel"].iloc[0], "x": pdf["x"].to_numpy(), "y": y.astype(np.int32)})
 
-    return panels.select("panel", "x", "evidence").groupBy("panel").applyInPandas(run, "panel long, x int, y int")
+    return panels.select("panel", "x", "y_start", "row_center", "evidence").groupBy("panel").applyInPandas(run, "panel long, x int, y int")
 
 
 def periods(df: DataFrame, by: str) -> DataFrame:
@@ -88,5 +92,3 @@ def series_arrays(df: DataFrame, by: str) -> DataFrame:
     """series, values in sample order; the alignment window of the policy bounds what a series should hold."""
     return df.groupBy(F.col(by).alias("series")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda x: x["value"]).alias("values"))
 
-
-RADIUS = policy.ALIGN_RADIUS

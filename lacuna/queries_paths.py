@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lacuna.functions import geometry, paper
-from lacuna.operators import paths
+from lacuna.operators import grouped, paths
 from lacuna.queries import V1, query
 from lacuna.sources import views
 
@@ -166,3 +166,18 @@ def composed_pages(spark, d):
     sides = v.select(F.floor(F.col("series") / 2).alias("page"), (F.col("series") % 2).alias("side"), F.col("grp").alias("lead"), "sample", F.when((F.col("series") + F.col("sample")) % 11 != 4, F.col("value")).alias("value"))
     out = paths.composed(sides, ["page", "lead"], F.col("side") == F.col("lead") % 2, F.when(F.col("lead") % 2 == 0, 0).otherwise(100), 64, 100)
     return out.select("page", "lead", "sample", F.round("value", 6).alias("value"))
+
+
+# the cheapest path over eight columns of eight rows, column by column
+
+_FAR = "pow(abs(r - 3.5::DOUBLE) / 4, 4)"
+_LOCAL = f"lc AS (SELECT vec_id AS panel, x, r, 7 * (1 - (abs(embedding[x * 8 + r + 1])::DOUBLE - floor(abs(embedding[x * 8 + r + 1])::DOUBLE))) + 0.35::DOUBLE * {_FAR} AS c FROM embeddings, (SELECT unnest(range(8)) AS x), (SELECT unnest(range(8)) AS r))"
+_STEP = "s{k} AS (SELECT l.panel, l.r, min(p.c + 0.035::DOUBLE * abs(l.r - p.r) + 0.0018::DOUBLE * (l.r - p.r) * (l.r - p.r)) + any_value(l.c) AS c, arg_min(p.path, p.c + 0.035::DOUBLE * abs(l.r - p.r) + 0.0018::DOUBLE * (l.r - p.r) * (l.r - p.r)) || [l.r] AS path FROM lc l JOIN s{p} p ON p.panel = l.panel WHERE l.x = {k} GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_LOCAL}, s0 AS (SELECT panel, r, c, [r] AS path FROM lc WHERE x = 0), {', '.join(_STEP.format(k=k, p=k - 1) for k in range(1, 8))}, b AS (SELECT panel, arg_min(path, c) AS path FROM s7 GROUP BY 1)
+SELECT panel, CAST(generate_subscripts(path, 1) - 1 AS INT) AS x, CAST(unnest(path) + 10 AS INT) AS y FROM b""")
+def traced_panels(spark, d):
+    e = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("panel"), F.transform("embedding", lambda v: F.abs(v).cast("double") - F.floor(F.abs(v).cast("double"))).alias("ink"))
+    each = e.select("panel", "ink", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x"))
+    return grouped.traced(each.select("panel", "x", F.lit(10).alias("y_start"), F.lit(13.5).alias("row_center"), F.slice("ink", F.col("x") * 8 + 1, F.lit(8)).alias("evidence")))

@@ -75,12 +75,26 @@ def test_grouped_forms(spark):
     assert grouped.peaks(df, "series", 3, 50.0, 10.0).count() > 10
     ev = df.select(F.lit(1).cast("long").alias("page"), F.col("sample").cast("double").alias("time"), "series").where("sample % 20 = 0")
     assert [r["n"] for r in grouped.clusters(ev, "page", 2.0, 2).orderBy("time").collect()] == [2, 2, 2, 2]
-    pn = spark.createDataFrame([(1, x, [0.0, 1.0, 0.0]) for x in range(5)], "panel long, x int, evidence array<double>")
-    assert {r["y"] for r in grouped.traced(pn).collect()} == {1}
+    pn = spark.createDataFrame([(1, x, 20, 20.0, [0.0, 1.0, 0.0]) for x in range(5)] + [(2, x, 0, 2.0, [0.5, 0.5, 0.5]) for x in range(3)], "panel long, x int, y_start int, row_center double, evidence array<double>")
+    assert {(r["panel"], r["y"]) for r in grouped.traced(pn).collect()} == {(1, 21), (2, 2)}  # where the ink is; without any, at the centre
     ex = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 2.0)], "k long, position double, value double")
     assert grouped.exact(ex, "k").count() == 21
 
 
+def test_seven_rows_of_a_page():
+    rng = np.random.default_rng(4)
+    profile = rng.random(900) * 0.2
+    rows = 100 + 115 * np.arange(7)
+    profile[rows] = 1 + rng.random(7) * 0.1
+    others = np.array([37, 333, 511, 640])
+    profile[others] = 0.9
+    chosen, score = kernels.seven_rows(profile, np.sort(np.concatenate([rows, others])), 900)
+    assert chosen == tuple(rows.tolist()) and score > 0.8
+    assert kernels.seven_rows(profile, rows[:6], 900) == (None, 0.0)
+    low, _ = kernels.seven_rows(profile, np.sort(np.concatenate([rows, others])), 9000)
+    assert low is not None  # every choice ends too high on so tall a page, the spacing still decides
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 2, "accepted"), (1, 1, "rejected"), (2, 1, "rejected")], "run long, seq int, decision string").write.parquet(f"{tmp_path}/in")
     src = spark.readStream.schema("run long, seq int, decision string").parquet(f"{tmp_path}/in")
