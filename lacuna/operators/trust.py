@@ -116,3 +116,26 @@ def low_resolution_corroboration(candidates: DataFrame, leads: DataFrame, pairs:
     agree = agree.where((F.col("n") == policy.LEADS) & (F.col("middle") <= limit["median_rmse"]) & (F.col("near") >= limit["leads"]))
     met = own.join(agree, ["run", "id"]).join(_as(sound.where(F.col("jumps") <= F.col("maximum_jumps")), "p", "crop", "layout"), ["run", "peer"]).where(_same("p"))
     return met.groupBy("run", "id").agg(F.count("*").alias("peers"))
+
+
+def confirmation_sources(selected: DataFrame, sources: DataFrame, leads: DataFrame, pairs: DataFrame, declared: DataFrame) -> DataFrame:
+    """run, lead, source: which candidate repeats a lead of the selected one.
+
+    sources (run, id, rank) are those that may; first the declared one (run, lead, id), then the selected one itself if it
+    may and its lead is complete, then the best ranked one whose lead is complete and agrees.
+    """
+    complete = leads.where("complete").select("run", "id", "lead")
+    stated = declared.join(sources, ["run", "id"]).select("run", "lead", "id", F.struct(F.lit(0).alias("tier"), F.lit(0.0).alias("rank"), "id").alias("order"))
+    own = selected.join(sources, ["run", "id"], "left_semi").join(complete, ["run", "id"]).select("run", "lead", "id", F.struct(F.lit(1).alias("tier"), F.lit(0.0).alias("rank"), "id").alias("order"))
+    near = directed(pairs).where(F.col("rmse") <= policy.DISAGREEMENT).join(selected, ["run", "id"]).select("run", "lead", F.col("peer").alias("id"))
+    other = near.join(complete, ["run", "id", "lead"]).join(sources, ["run", "id"]).select("run", "lead", "id", F.struct(F.lit(2).alias("tier"), F.col("rank").cast("double").alias("rank"), "id").alias("order"))
+    return stated.unionByName(own).unionByName(other).groupBy("run", "lead").agg(F.min_by("id", "order").alias("source"))
+
+
+def merged_tokens(primary: DataFrame, secondary: DataFrame, by: list[str]) -> DataFrame:
+    """by, slot, place, token: the primary observations of a slot (by, slot, seq, token) in order, then the secondary ones."""
+    from pyspark.sql import Window
+
+    both = primary.withColumn("_tier", F.lit(0)).unionByName(secondary.withColumn("_tier", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(*by, "slot").orderBy("_tier", "seq", "token"))
+    return both.select(*by, "slot", (place - 1).cast("long").alias("place"), "token")

@@ -38,3 +38,7 @@ LOW_RESOLUTION = {"max_edge": 600, "median_rmse": 60.0, "lead_rmse": 75.0, "lead
 LEADS = 12
 CORE = 5
 NEURAL = 12
+GEOMETRY_3X4 = 0.6
+GEOMETRY_6X2 = 0.5
+UPSCALE = 1200
+PREPARATION = {"sharpness": 200.0, "long_edge": 1200, "trace": 0.35, "weak_grid": 0.50, "smooth_trace": 0.90, "smooth_grid": 0.40}
