@@ -71,14 +71,16 @@ def pair_rmse(df: DataFrame, by: list[str], ident: str, on: list[str]) -> DataFr
     left = df.select(*keys, F.col(ident).alias("a"), F.col("value").alias("va"))
     right = df.select(*keys, F.col(ident).alias("b"), F.col("value").alias("vb"))
     both = left.join(right, keys).where("a < b and va is not null and vb is not null").withColumn("d", F.col("vb") - F.col("va"))
-    mid = both.groupBy(*by, "a", "b").agg(F.expr("percentile(d, 0.5)").alias("m"))
-    return both.join(mid, [*by, "a", "b"]).groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.sqrt(F.avg((F.col("d") - F.col("m")) * (F.col("d") - F.col("m")))).alias("rmse"))
+    # around the median in one aggregate: the variance and the mean's distance from the median
+    off = F.avg("d") - F.expr("percentile(d, 0.5)")
+    return both.groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.sqrt(F.var_pop("d") + off * off).alias("rmse"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    other = [F.col("b").alias("a"), F.col("a").alias("b")]
+    """Each pair in both directions, from one reading of the pairs."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.select("a", "b", *rest).unionByName(pairs.select(*other, *rest))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(*rest, ends.alias("_ends")).select("_ends.a", "_ends.b", *rest)
 
 
 def disagreement(pairs: DataFrame, by: list[str], weight: float = policy.DISAGREEMENT_WEIGHT) -> DataFrame:

@@ -46,6 +46,17 @@ def prioritised(sources: list[tuple[int, str, DataFrame]], by: list[str], order:
     return top(every, by, [F.col("priority"), *(F.col(c) for c in order), F.col("_place")]).drop("_place")
 
 
+def first_source(df: DataFrame, by: list[str], sources: list[tuple[int, str, Column, Column]], order: list[str]) -> DataFrame:
+    """`prioritised` for sources that are conditions on one table: (priority, name, condition, rank). One scan of df.
+
+    Returns df's rows that win, with source and rank.
+    """
+    each = F.array(*(F.when(rule, F.struct(F.lit(p).alias("priority"), rank.alias("rank"), F.lit(k).alias("place"), F.lit(name).alias("source"))) for k, (p, name, rule, rank) in enumerate(sources)))
+    dealt = df.withColumn("_each", F.explode(F.filter(each, lambda x: x.isNotNull()))).drop("rank")
+    rows = dealt.select("*", F.col("_each.rank").alias("rank"), F.col("_each.source").alias("source"))
+    return top(rows, by, [F.col("_each.priority"), F.col("rank"), *(F.col(c) for c in order), F.col("_each.place")]).drop("_each")
+
+
 def first_match(df: DataFrame, levels: list[tuple[str, DataFrame, list[str]]], value: str) -> DataFrame:
     """df with `value` and `level` of the first lookup that has it: a chain of left joins and coalesce."""
     found, names = [], []

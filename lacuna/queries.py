@@ -381,9 +381,9 @@ def largest_compatible_group(spark, d):
 u AS (SELECT *, 0 AS pl FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c UNION ALL SELECT *, 3 FROM e) SELECT run, source, rank, candidate FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY priority, rank, candidate, pl) AS k FROM u) WHERE k = 1""")
 def publication_decision(spark, d):
     s = _scored(spark, d).select("run", "candidate", "kind", "layout", "wp", F.round("rank", 4).alias("rank"))
-    part = lambda df: df.select("run", "rank", "candidate")
-    sources = [(0, "timing", part(s.where("kind = 'A' and wp = 0"))), (1, "verified", part(s.where("kind = 'N'"))), (1, "fused", part(s.where("layout = 'F'").withColumn("rank", F.col("rank") + 1))), (2, "partial", part(s))]
-    return selection.prioritised(sources, ["run"], ["rank", "candidate"]).select("run", "source", "rank", "candidate")
+    kind, rank = F.col("kind"), F.col("rank")
+    sources = [(0, "timing", (kind == "A") & (F.col("wp") == 0), rank), (1, "verified", kind == "N", rank), (1, "fused", F.col("layout") == "F", rank + 1), (2, "partial", F.lit(True), rank)]
+    return selection.first_source(s, ["run"], sources, ["candidate"]).select("run", "source", "rank", "candidate")
 
 
 @query(f"""WITH {V7}, x AS (SELECT kind, layout, crop, avg(score) AS p FROM v7 WHERE crop < 2 GROUP BY 1, 2, 3), y AS (SELECT kind, layout, avg(score) AS p FROM v7 WHERE layout = 'F' GROUP BY 1, 2), z AS (SELECT layout, avg(score) AS p FROM v7 GROUP BY 1), b AS (SELECT min(p) AS best FROM z),
