@@ -67,3 +67,39 @@ def composed(sides: DataFrame, by: list[str], wanted: Column, offset: Column, n_
     """
     made = resample.resample_runs(sides.where(wanted).select(*by, "sample", "value"), by, (n - 1) / (n_source - 1))
     return made.where(F.col("target").between(0, n - 1)).select(*by, (F.col("target") + offset).alias("sample"), "value")
+
+
+def rhythm(path: DataFrame, ranges: DataFrame, by: list[str], samples: int, pixels_per_mm: Column, gain: Column) -> DataFrame:
+    """by, target, value: a path over several touching ranges (by.., part, left, right) of a page, each with `samples` samples.
+
+    All parts share the baseline of the whole path, so nothing steps where they meet.
+    """
+    base = path.where("valid").groupBy(*by).agg(F.percentile("y", F.lit(0.5)).alias("_base"))
+    parts = linked(path, by).join(ranges, by).where((F.col("x") >= F.col("left")) & (F.col("x") < F.col("right")))
+    w = Window.partitionBy(*by, "part").orderBy("x")
+    at = (F.col("x") - F.col("left")) / F.greatest(F.col("right") - F.col("left") - 1, F.lit(1)) * (samples - 1)
+    uv = -(F.col("y") - F.col("_base")) * (1000.0 / gain / pixels_per_mm)
+    held = parts.join(base, by).withColumn("joined", F.col("joined") & F.lag("x").over(w).isNotNull()).withColumn("_at", at).withColumn("_uv", uv)
+    made = between(held, [*by, "part"], "_at", "_uv", "joined", F.lit(samples - 1))
+    return made.select(*by, (F.col("part") * samples + F.col("target")).alias("target"), "value")
+
+
+def moved_events(events: DataFrame, frames: DataFrame, by: list[str]) -> DataFrame:
+    """by, x: events (by.., x) inside a frame's source interval, on its destination (by.., start, end, to, to_end); each place once."""
+    inside = events.join(frames, by).where((F.col("x") >= F.col("start")) & (F.col("x") < F.col("end")) & (F.col("end") - F.col("start") >= 2) & (F.col("to_end") - F.col("to") >= 2))
+    at = F.col("to") + (F.col("x") - F.col("start")) * (F.col("to_end") - F.col("to") - 1) / (F.col("end") - F.col("start") - 1)
+    return inside.select(*by, F.bround(at, 0).cast("int").alias("x")).distinct()
+
+
+def direct_copies(spans: DataFrame, output: DataFrame, source: DataFrame, by: list[str]) -> DataFrame:
+    """by, copied: whether lineage proves that an output is an unchanged copy of its one source.
+
+    spans: by.., start, end, operation, contributors, direct (one contributor, the source itself, neither scaled nor moved);
+    output and source: by.., sample, value. Missing spans hold nothing, the others the source's very values, and at least one
+    sample was observed.
+    """
+    each = spans.withColumn("sample", F.explode(F.when(F.col("end") > F.col("start"), F.sequence("start", F.col("end") - 1)).otherwise(F.array().cast("array<bigint>"))))
+    pairs = each.join(output.select(*by, "sample", F.col("value").alias("_out")), [*by, "sample"], "left").join(source.select(*by, "sample", F.col("value").alias("_in")), [*by, "sample"], "left")
+    missing = F.col("operation") == "missing"
+    good = F.when(missing, F.col("_out").isNull()).otherwise((F.col("operation") == "selected_samples") & (F.col("contributors") == 1) & F.col("direct") & F.coalesce(F.col("_out") == F.col("_in"), F.lit(False)))
+    return pairs.groupBy(*by).agg((F.min(good) & (F.count(F.when(~missing, 1)) > 0)).alias("copied"))

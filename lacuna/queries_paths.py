@@ -181,3 +181,35 @@ def traced_panels(spark, d):
     e = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("panel"), F.transform("embedding", lambda v: F.abs(v).cast("double") - F.floor(F.abs(v).cast("double"))).alias("ink"))
     each = e.select("panel", "ink", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x"))
     return grouped.traced(each.select("panel", "x", F.lit(10).alias("y_start"), F.lit(13.5).alias("row_center"), F.slice("ink", F.col("x") * 8 + 1, F.lit(8)).alias("evidence")))
+
+
+@query(f"""WITH {V1}, {PATH}, rr AS (SELECT s.series, c AS part, 10 + c * 16 AS l, 26 + c * 16 AS r FROM (SELECT DISTINCT series FROM v1) s, (SELECT unnest(range(4)) AS c)),
+ok AS (SELECT series, x, y, median(y) OVER (PARTITION BY series) AS base FROM pa WHERE valid), q AS (SELECT ok.*, part, (x - l) / 15.0::DOUBLE * 39 AS p FROM ok JOIN rr ON rr.series = ok.series AND x >= l AND x < r),
+n AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2, lead(p) OVER o AS p2 FROM q WINDOW o AS (PARTITION BY series, part ORDER BY x)),
+t AS (SELECT series, part, p, p2, y, y2, base, unnest(range(CAST(ceil(p) AS INT), CAST(floor(p2) AS INT) + 1)) AS target FROM n WHERE x2 = x + 1)
+SELECT series, part * 40 + target AS target, round(any_value(-((y + (y2 - y) * (target - p) / (p2 - p)) - base) * 25), 5) AS value FROM t WHERE target <= 39 GROUP BY 1, 2, part""")
+def rhythm_to_canonical(spark, d):
+    p = _path(spark, d)
+    ranges = p.select("series").distinct().select("series", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part")).select("series", "part", (F.col("part") * 16 + 10).alias("left"), (F.col("part") * 16 + 26).alias("right"))
+    return paths.rhythm(p, ranges, ["series"], 40, F.lit(4.0), F.lit(10.0)).select("series", F.col("target").cast("long").alias("target"), F.round("value", 5).alias("value"))
+
+
+@query("""WITH e AS (SELECT user_id AS k, CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) % 800 AS x FROM events), f AS (SELECT DISTINCT k, 50 + k % 40 AS s, 600 + k % 90 AS e2, k % 3 AS t, 300 + k % 11 AS te FROM e)
+SELECT DISTINCT e.k, CAST(round_even(t + (x - s) * (te - t - 1) / (e2 - s - 1)::DOUBLE, 0) AS INT) AS x FROM e JOIN f ON f.k = e.k WHERE x >= s AND x < e2""")
+def moved_events(spark, d):
+    e = views.read(spark, d, "events").select(F.col("user_id").alias("k"), (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)).cast("long") % 800).alias("x"))
+    k = F.col("k")
+    frames = e.select("k").distinct().select("k", (k % 40 + 50).alias("start"), (k % 90 + 600).alias("end"), (k % 3).alias("to"), (k % 11 + 300).alias("to_end"))
+    return paths.moved_events(e, frames, ["k"])
+
+
+@query(f"""WITH {V1}, o AS (SELECT series, sample, CASE WHEN sample >= 20 AND sample < 20 + series % 5 THEN NULL WHEN series % 7 = 0 AND sample = 3 THEN value + 1 ELSE value END AS v, value FROM v1),
+p AS (SELECT series, bool_and(CASE WHEN sample >= 20 AND sample < 20 + series % 5 THEN v IS NULL ELSE series % 4 > 0 AND v = value END) AS ok, series % 11 > 0 AS one FROM o GROUP BY series) SELECT series, ok AND one AS copied FROM p""")
+def direct_copies(spark, d):
+    s, at = F.col("series"), F.col("sample")
+    v = views.regular_series(spark, d).select("series", at.cast("long").alias("sample"), "value")
+    hole = (at >= 20) & (at < 20 + s % 5)
+    out = v.withColumn("value", F.when(hole, None).when((s % 7 == 0) & (at == 3), F.col("value") + 1).otherwise(F.col("value")))
+    span = lambda a, b, op: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(op).alias("operation"))
+    spans = v.select("series").distinct().select("series", F.explode(F.array(span(F.lit(0), F.lit(20), "selected_samples"), span(F.lit(20), 20 + s % 5, "missing"), span(20 + s % 5, F.lit(64), "selected_samples"))).alias("p")).select("series", "p.*", F.when(s % 11 > 0, 1).otherwise(2).alias("contributors"), (s % 4 > 0).alias("direct"))
+    return paths.direct_copies(spans, out, v, ["series"])
