@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import SPACED, Bitmap, Words, arrow_limits, batches, materialize, mix, utf8
 
 #: Rows of 8 to 32 bytes, and bytes of sketches, that are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 100_000
 BROADCAST_SKETCHES = 8 << 20
 #: Classes of a component, or of a bucket, that meet those of another block at once.
 BLOCK = 512
