@@ -113,3 +113,24 @@ def unit_scale(df: DataFrame, by: list[str]) -> DataFrame:
     q = df.groupBy(*by).agg(F.expr("percentile(value, 0.05)").alias("lo"), F.expr("percentile(value, 0.995)").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), gates.clamp((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0)).otherwise(0.0)
     return df.join(q, by).withColumn("value", scaled).drop("lo", "hi")
+
+
+def fidelity_report(leads: DataFrame, by: list[str], crossings: Column) -> DataFrame:
+    """by, the leads' fidelity put together, and passed; leads: a row for each lead of a trace.
+
+    leads has by.., row_spacing, layout_confidence, anchors, rhythm_passed (of the trace) and evidence_median, evidence_p10,
+    max_jump, p95_jump, coverage, home_row, large_jumps, unsupported_jumps, excursions. `crossings` (over by) says that jumps
+    which ink backs are allowed: then more of them pass, but each must be supported and the rhythm anchored.
+    """
+    limit = policy.FIDELITY
+    c = F.col
+    whole = leads.groupBy(*by).agg(
+        *(F.first(k).alias(k) for k in ("row_spacing", "layout_confidence", "anchors", "rhythm_passed")), F.percentile("evidence_median", F.lit(0.5)).alias("evidence_median"), F.min("evidence_p10").alias("evidence_p10"), F.max("max_jump").alias("max_jump"), F.max("p95_jump").alias("p95_jump"),
+        F.min("coverage").alias("minimum_coverage"), F.min("home_row").alias("home_row"), F.sum("large_jumps").alias("large_jumps"), F.sum("unsupported_jumps").alias("unsupported_jumps"), F.sum("excursions").alias("excursions"),
+    ).withColumn("_cross", crossings)
+    allowed = F.greatest(F.lit(2), F.ceil(c("large_jumps") * F.when(c("_cross"), limit["unsupported"]).otherwise(limit["unsupported_plain"]))).cast("long")
+    shared = (c("layout_confidence") >= limit["layout"]) & (c("evidence_median") >= limit["median"]) & (c("evidence_p10") >= limit["p10"]) & (c("minimum_coverage") >= F.when(c("_cross"), limit["coverage"]).otherwise(limit["coverage_plain"]))
+    within = lambda p95, most: (c("p95_jump") <= c("row_spacing") * p95) & (c("max_jump") <= c("row_spacing") * most)
+    crossing = within(limit["crossing_p95"], limit["crossing_jump"]) & (c("home_row") >= limit["home_row"]) & (c("unsupported_jumps") <= c("maximum_jumps")) & (c("excursions") == 0) & (c("anchors") >= 3) & c("rhythm_passed")
+    jumps = F.when(c("_cross"), crossing).otherwise(within(0.25, 0.50))
+    return whole.withColumn("maximum_jumps", allowed).withColumn("passed", F.coalesce(shared & jumps, F.lit(False))).select(*by, "evidence_median", "evidence_p10", "max_jump", "p95_jump", "minimum_coverage", "home_row", "large_jumps", "unsupported_jumps", "maximum_jumps", "excursions", "passed")

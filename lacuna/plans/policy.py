@@ -42,3 +42,4 @@ GEOMETRY_3X4 = 0.6
 GEOMETRY_6X2 = 0.5
 UPSCALE = 1200
 PREPARATION = {"sharpness": 200.0, "long_edge": 1200, "trace": 0.35, "weak_grid": 0.50, "smooth_trace": 0.90, "smooth_grid": 0.40}
+FIDELITY = {"layout": 0.45, "median": 0.70, "p10": 0.45, "coverage": 0.80, "coverage_plain": 0.85, "unsupported": 0.40, "unsupported_plain": 0.12, "crossing_p95": 0.45, "crossing_jump": 1.15, "home_row": 0.55}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lacuna.functions import candidates as rules
-from lacuna.operators import trust
+from lacuna.operators import quality, trust
 from lacuna.queries import query
 from lacuna.sources import trust_views
 from lacuna.sources.trust_views import SQL
@@ -90,3 +90,21 @@ SELECT x.run, x.id, count(*) AS peers FROM so x JOIN ag USING (run, id) JOIN so
 def low_resolution_corroboration(spark, d):
     sources = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("run"), (F.col("o_totalprice") / 500).alias("long_edge"))
     return trust.low_resolution_corroboration(*trust_views.tables(spark, d), sources)
+
+
+FID = "fl AS (SELECT l_orderkey AS run, l_partkey AS p, (40 + l_orderkey % 21)::DOUBLE AS sp, (l_orderkey % 10 + 1) / 10.0::DOUBLE AS lc, l_orderkey % 5 AS an, l_orderkey % 9 > 0 AS rp, 0.65::DOUBLE + l_partkey % 30 / 100.0::DOUBLE AS em, 0.4::DOUBLE + l_suppkey % 50 / 100.0::DOUBLE AS ep, (l_partkey % 47)::DOUBLE AS mj, (l_partkey % 19)::DOUBLE AS pj, 0.78::DOUBLE + l_suppkey % 22 / 100.0::DOUBLE AS cv, 0.5::DOUBLE + l_suppkey % 50 / 100.0::DOUBLE AS hr, l_partkey % 6 AS lj, l_partkey % 4 AS uj, CASE WHEN l_partkey % 40 = 0 THEN 1 ELSE 0 END AS ex FROM lineitem)"
+
+
+@query(f"""WITH {FID}, a AS (SELECT run, any_value(sp) AS sp, any_value(lc) AS lc, any_value(an) AS an, any_value(rp) AS rp, median(em) AS em, min(ep) AS ep, max(mj) AS mj, max(pj) AS pj, min(cv) AS cv, min(hr) AS hr, CAST(sum(lj) AS BIGINT) AS lj, CAST(sum(uj) AS BIGINT) AS uj, CAST(sum(ex) AS BIGINT) AS ex FROM fl GROUP BY 1),
+m AS (SELECT *, run % 3 > 0 AS cr, CAST(greatest(2, ceil(lj * CASE WHEN run % 3 > 0 THEN 0.40::DOUBLE ELSE 0.12::DOUBLE END)) AS BIGINT) AS mx FROM a)
+SELECT run, round(em, 6) AS evidence_median, ep AS evidence_p10, mj AS max_jump, pj AS p95_jump, cv AS minimum_coverage, hr AS home_row, lj AS large_jumps, uj AS unsupported_jumps, mx AS maximum_jumps, ex AS excursions,
+lc >= 0.45::DOUBLE AND em >= 0.70::DOUBLE AND ep >= 0.45::DOUBLE AND cv >= CASE WHEN cr THEN 0.80::DOUBLE ELSE 0.85::DOUBLE END AND CASE WHEN cr THEN pj <= sp * 0.45::DOUBLE AND mj <= sp * 1.15::DOUBLE AND hr >= 0.55::DOUBLE AND uj <= mx AND ex = 0 AND an >= 3 AND rp ELSE pj <= sp * 0.25::DOUBLE AND mj <= sp * 0.5::DOUBLE END AS passed FROM m""")
+def fidelity_reports(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    o, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    num = lambda e: e.cast("double")
+    leads = li.select(
+        o.alias("run"), num(o % 21 + 40).alias("row_spacing"), ((o % 10 + 1) / 10.0).alias("layout_confidence"), (o % 5).alias("anchors"), (o % 9 > 0).alias("rhythm_passed"), (F.lit(0.65) + p % 30 / 100.0).alias("evidence_median"), (F.lit(0.4) + s % 50 / 100.0).alias("evidence_p10"), num(p % 47).alias("max_jump"), num(p % 19).alias("p95_jump"),
+        (F.lit(0.78) + s % 22 / 100.0).alias("coverage"), (F.lit(0.5) + s % 50 / 100.0).alias("home_row"), (p % 6).alias("large_jumps"), (p % 4).alias("unsupported_jumps"), F.when(p % 40 == 0, 1).otherwise(0).alias("excursions"),
+    )
+    return quality.fidelity_report(leads, ["run"], F.col("run") % 3 > 0).withColumn("evidence_median", F.round("evidence_median", 6))
