@@ -90,3 +90,10 @@ def acceptable(outcome: Column, assets: Column, retention_version: Column) -> Co
     has = lambda keys: F.forall(F.array(*(F.lit(k) for k in keys)), lambda k: F.array_contains(assets, k))
     lean = F.coalesce(retention_version == 2, F.lit(False))
     return F.coalesce((outcome == "needs_review") & has(QUANTITATIVE[:2]) & (~lean | has([*QUANTITATIVE[2:], "provenanceJson"])), F.lit(False))
+
+
+def interpreter_state(input_sha: Column, source_sha: Column, canonical_sha: Column, assets: Column, has_map: Column) -> Column:
+    """What an interpreter may be given: nothing without a verified original, the reconstruction only with its whole evidence."""
+    whole = canonical_sha.isNotNull() & has_map & F.forall(F.array(F.lit("segmentsCsv"), F.lit("uncertaintyCsv"), F.lit("provenanceJson")), lambda k: F.array_contains(assets, k))
+    lost = source_sha.isNull() | ~F.array_contains(assets, "input") | F.coalesce(input_sha != source_sha, F.lit(False))
+    return F.when(lost, "missing_original_identity").when(F.coalesce(whole, F.lit(False)), "available_for_source_review").otherwise("unavailable")

@@ -82,3 +82,11 @@ def written_uncertainty(spark, d):
     u = e.groupBy("user_id", "sample").agg(f.count("*").cast("int").alias("candidate_count"), f.round(f.max("value") - f.min("value"), 6).alias("candidate_spread_uv"))
     rows = u.select(f.concat(f.lit("s"), f.col("user_id")).alias("lead"), f.col("sample").cast("int").alias("lead_sample"), (f.col("sample") / 500.0).alias("t_s_at_500hz"), f.col("sample").cast("int").alias("canonical_sample"), f.lit(None).cast("double").alias("value_uv"), f.lit(None).cast("double").alias("review_estimate_uv"), f.when(f.col("candidate_spread_uv") > 75, "uncertain_candidate_disagreement").otherwise("observed").alias("status"), f.lit(0).alias("annotation_overlap"), "candidate_count", "candidate_spread_uv")
     return signals.read_uncertainty(spark, signals.write_uncertainty(rows)).select("lead", "lead_sample", "t_s_at_500hz", "status", "candidate_count", "candidate_spread_uv")
+
+
+@query(f"""SELECT {K} AS run, CASE WHEN {K} % 17 = 0 OR {K} % 19 = 0 OR ({K} % 5 > 0 AND {K} % 23 = 0) THEN 'missing_original_identity' WHEN {K} % 3 > 0 AND {K} % 2 = 0 AND {K} % 7 > 0 THEN 'available_for_source_review' ELSE 'unavailable' END AS state FROM orders""")
+def interpreter_states(spark, d):
+    k = F.col(K)
+    assets = F.filter(F.array(F.when(k % 19 != 0, "input"), F.lit("segmentsCsv"), F.when(k % 7 != 0, "uncertaintyCsv"), F.lit("provenanceJson")), lambda x: x.isNotNull())
+    state = contracts.interpreter_state(F.when(k % 5 != 0, F.when(k % 23 == 0, "other").otherwise("own")), F.when(k % 17 != 0, "own"), F.when(k % 3 != 0, "sha"), assets, k % 2 == 0)
+    return views.read(spark, d, "orders").select(k.alias("run"), state.alias("state"))
