@@ -97,3 +97,27 @@ def interpreter_state(input_sha: Column, source_sha: Column, canonical_sha: Colu
     whole = canonical_sha.isNotNull() & has_map & F.forall(F.array(F.lit("segmentsCsv"), F.lit("uncertaintyCsv"), F.lit("provenanceJson")), lambda k: F.array_contains(assets, k))
     lost = source_sha.isNull() | ~F.array_contains(assets, "input") | F.coalesce(input_sha != source_sha, F.lit(False))
     return F.when(lost, "missing_original_identity").when(F.coalesce(whole, F.lit(False)), "available_for_source_review").otherwise("unavailable")
+
+
+def preparation_rules() -> dict[str, Column]:
+    """Rules of a preparation report: version, sha, source (width, height), working (width, height, scale_x, scale_y, method,
+    most), quality (outcome, eligible, long_edge, short_edge, scale, reasons) and correction (applied, method, confidence,
+    width, height, transform of nine doubles, reconstructed); working and quality belong to version 7, a correction is optional."""
+    from lacuna.functions import geometry
+
+    c = F.col
+    source, working, quality, fixed = c("source"), c("working"), c("quality"), c("correction")
+    sized = lambda s: (s["width"] > 0) & (s["height"] > 0)
+    near = lambda a, b: F.abs(a - b) <= 1e-6
+    scales = near(working["scale_x"], working["width"] / source["width"]) & near(working["scale_y"], working["height"] / source["height"])
+    raster = sized(working) & scales & working["method"].isNotNull() & (F.greatest(working["width"], working["height"]) <= working["most"])
+    outcome = quality["outcome"].isin("acceptable", "review", "insufficient") & (quality["eligible"] == (quality["outcome"] != "insufficient"))
+    edges = (quality["long_edge"] == F.greatest(source["width"], source["height"])) & (quality["short_edge"] == F.least(source["width"], source["height"]))
+    seventh = raster & outcome & edges & near(quality["scale"], F.least(working["scale_x"], working["scale_y"])) & quality["reasons"].isNotNull()
+    known = F.forall(fixed["transform"], lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(fixed["transform"]) == 9) & geometry.invertible(fixed["transform"])
+    transform = fixed["applied"].isNotNull() & fixed["method"].isNotNull() & gates.unit_fraction(fixed["confidence"]) & sized(fixed) & known & ~fixed["reconstructed"]
+    return {
+        "invalid_preprocessing_provenance": c("version").isin(5, 6, 7) & sha256_text(c("sha")) & sized(source),
+        "invalid_input_quality": (c("version") != 7) | F.coalesce(seventh, F.lit(False)),
+        "invalid_transform": absent_or(fixed, transform),
+    }

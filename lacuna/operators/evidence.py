@@ -12,8 +12,12 @@ from .selection import top
 
 def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     """keys, rule: a row for each rule that a row breaks (a null condition counts as broken)."""
-    broken = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(broken).alias("rule"))
+    return df.select(*keys, F.explode(broken(rules)).alias("rule"))
+
+
+def broken(rules: dict[str, Column]) -> Column:
+    """The names of the rules that a row breaks, in their order."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

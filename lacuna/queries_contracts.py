@@ -90,3 +90,20 @@ def interpreter_states(spark, d):
     assets = F.filter(F.array(F.when(k % 19 != 0, "input"), F.lit("segmentsCsv"), F.when(k % 7 != 0, "uncertaintyCsv"), F.lit("provenanceJson")), lambda x: x.isNotNull())
     state = contracts.interpreter_state(F.when(k % 5 != 0, F.when(k % 23 == 0, "other").otherwise("own")), F.when(k % 17 != 0, "own"), F.when(k % 3 != 0, "sha"), assets, k % 2 == 0)
     return views.read(spark, d, "orders").select(k.alias("run"), state.alias("state"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_size AS z FROM part)
+SELECT k AS p_partkey, array_to_string(list_filter([CASE WHEN k % 31 = 0 OR k % 29 = 0 THEN 'invalid_preprocessing_provenance' END,
+CASE WHEN k % 31 > 0 AND k % 3 = 0 AND (k % 7 = 0 OR k % 4 = 0 OR k % 10 = 0 OR z = 1) THEN 'invalid_input_quality' END,
+CASE WHEN k % 2 = 0 AND (k % 9 = 0 OR k % 14 = 0) THEN 'invalid_transform' END], lambda x: x IS NOT NULL), ',') AS rules FROM r""")
+def preparation_violations(spark, d):
+    k = F.col("p_partkey")
+    bad = lambda step, wrong, right: F.when(k % step == 0, wrong).otherwise(right)
+    matrix = F.array(*(x.cast("double") for x in (F.lit(1), F.lit(0), F.lit(2), bad(9, 1, 0), bad(9, 0, 1), bad(9, 2, 3), F.lit(0), F.lit(0), F.lit(1))))
+    reports = views.read(spark, d, "part").select(
+        "p_partkey", F.when(k % 31 == 0, 4).when(k % 3 == 0, 7).otherwise(6).alias("version"), bad(29, "no", "0a1b2c3d4e5f6789" * 4).alias("sha"), F.struct(F.lit(1000).alias("width"), F.lit(600).alias("height")).alias("source"),
+        F.struct(F.lit(500).alias("width"), F.lit(300).alias("height"), bad(7, 0.6, 0.5).alias("scale_x"), F.lit(0.5).alias("scale_y"), F.lit("m").alias("method"), F.when(F.col("p_size") == 1, 499).otherwise(4000).alias("most")).alias("working"),
+        F.struct(bad(4, "insufficient", "review").alias("outcome"), F.lit(True).alias("eligible"), bad(10, 999, 1000).alias("long_edge"), F.lit(600).alias("short_edge"), F.lit(0.5).alias("scale"), F.array(F.lit("r")).alias("reasons")).alias("quality"),
+        F.when(k % 2 == 0, F.struct(F.lit(True).alias("applied"), F.lit("m").alias("method"), F.lit(0.9).alias("confidence"), F.lit(10).alias("width"), F.lit(10).alias("height"), matrix.alias("transform"), (k % 14 == 0).alias("reconstructed"))).alias("correction"),
+    )
+    return reports.select("p_partkey", F.array_join(evidence.broken(contracts.preparation_rules()), ",").alias("rules"))
