@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, html_extract, jaccard, licenses, packing, pii, quality_rules, simple8b, substring
+from . import classifier, collocations, decontam, fill_in_middle, html_extract, jaccard, licenses, packing, pii, quality_rules, simple8b, substring, warc
 from .common import table
 
 
@@ -61,12 +61,27 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fill_in_middle.restored(F.col("fim_text"), F.col("fim_form"))
+    return made.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.deduplicate(warc.write_archives(table(spark, sf_dir, "pages")))
+    return warc.read_headers(archives).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of instruction data, with loss on the answers."""
     return packing.pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_license_scan, op5_vector_packing, op6_pii, op7_quality_classifier, op8_decontamination, op9_simple8b, op10_jaccard_join, packed_conversations)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_html_extraction, op3_quality_rules, op4_license_scan, op5_vector_packing, op6_pii, op7_quality_classifier, op8_decontamination, op9_simple8b, op10_jaccard_join, op11_phrase_collocations, op12_fill_in_middle, op13_warc, packed_conversations)}
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +124,25 @@ owners AS (SELECT cls, min(doc_id) AS own FROM n JOIN d USING (r) GROUP BY 1),
 comp AS (SELECT cls, least(min(o.own), any_value(l.own)) AS component_id FROM owners AS l LEFT JOIN (SELECT a, own FROM reach JOIN owners ON owners.cls = reach.b) AS o ON o.a = l.cls GROUP BY 1),
 deg AS (SELECT a AS cls, count(*) AS n_links FROM sides GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n USING (r) LEFT JOIN comp USING (cls) LEFT JOIN deg USING (cls)""",
+    "op11_phrase_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(ws) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, size, phrase, a, k, array_to_string(ws[1:k], ' ') AS lhs, array_to_string(ws[k + 1 :], ' ') AS rhs FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+s AS (SELECT c.lang, c.size, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score FROM c JOIN totals USING (lang) JOIN f AS x ON x.lang = c.lang AND x.phrase = c.lhs JOIN f AS y ON y.lang = c.lang AND y.phrase = c.rhs),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best AS b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.size > b.size AND 100 * f.a >= 100 * b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) WHERE rank <= 2000""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+e AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || h[25:32] AS BIGINT) % 100 AS z FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN z < 50 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1 : least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1 :], '') AS suffix FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM f""",
+    "op13_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, row_number() OVER w AS k, first(page_id) OVER w AS original FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 100 OR k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN payload_bytes >= 100 AND k > 1 THEN original END AS refers_to FROM q""",
 }
