@@ -11,8 +11,13 @@ from .selection import top
 
 
 def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
-    """keys, rule: a row for each rule that a row breaks (a null condition counts as broken)."""
-    return df.select(*keys, F.explode(broken(rules)).alias("rule"))
+    """keys, rule: a row for each rule that a row breaks (a null condition counts as broken).
+
+    The flags are exploded with their names and filtered afterwards: where an array of names alone is exploded, Spark 4.1
+    prunes the fields of structs that the rules read, and `collect` and `count` disagree.
+    """
+    flags = F.array(*(F.struct(F.lit(name).alias("rule"), F.coalesce(ok, F.lit(False)).alias("ok")) for name, ok in rules.items()))
+    return df.select(*keys, F.explode(flags).alias("_flag")).where("not _flag.ok").select(*keys, "_flag.rule")
 
 
 def broken(rules: dict[str, Column]) -> Column:

@@ -93,9 +93,9 @@ def interpreter_states(spark, d):
 
 
 @query("""WITH r AS (SELECT p_partkey AS k, p_size AS z FROM part)
-SELECT k AS p_partkey, array_to_string(list_filter([CASE WHEN k % 31 = 0 OR k % 29 = 0 THEN 'invalid_preprocessing_provenance' END,
+SELECT k AS p_partkey, unnest(list_filter([CASE WHEN k % 31 = 0 OR k % 29 = 0 THEN 'invalid_preprocessing_provenance' END,
 CASE WHEN k % 31 > 0 AND k % 3 = 0 AND (k % 7 = 0 OR k % 4 = 0 OR k % 10 = 0 OR z = 1) THEN 'invalid_input_quality' END,
-CASE WHEN k % 2 = 0 AND (k % 9 = 0 OR k % 14 = 0) THEN 'invalid_transform' END], lambda x: x IS NOT NULL), ',') AS rules FROM r""")
+CASE WHEN k % 2 = 0 AND (k % 9 = 0 OR k % 14 = 0) THEN 'invalid_transform' END], lambda x: x IS NOT NULL)) AS rule FROM r""")
 def preparation_violations(spark, d):
     k = F.col("p_partkey")
     bad = lambda step, wrong, right: F.when(k % step == 0, wrong).otherwise(right)
@@ -106,4 +106,4 @@ def preparation_violations(spark, d):
         F.struct(bad(4, "insufficient", "review").alias("outcome"), F.lit(True).alias("eligible"), bad(10, 999, 1000).alias("long_edge"), F.lit(600).alias("short_edge"), F.lit(0.5).alias("scale"), F.array(F.lit("r")).alias("reasons")).alias("quality"),
         F.when(k % 2 == 0, F.struct(F.lit(True).alias("applied"), F.lit("m").alias("method"), F.lit(0.9).alias("confidence"), F.lit(10).alias("width"), F.lit(10).alias("height"), matrix.alias("transform"), (k % 14 == 0).alias("reconstructed"))).alias("correction"),
     )
-    return reports.select("p_partkey", F.array_join(evidence.broken(contracts.preparation_rules()), ",").alias("rules"))
+    return evidence.violations(reports, ["p_partkey"], contracts.preparation_rules())
