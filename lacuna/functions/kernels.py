@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 
@@ -52,6 +53,103 @@ def best_path(cost: np.ndarray, linear: float, square: float, most: int | None =
     return out
 
 
+def candidate_rows(column: np.ndarray, home: int, most: int = policy.CROSSING["states"]) -> np.ndarray:
+    """Rows worth tracing through in one column: home, the strongest cell, and of each run of ink its ends, its strongest cell
+    and, if it is long, its thirds. Of more than `most` the strongest stay, with the outermost ones and those nearest to home.
+    """
+    home = min(max(home, 0), len(column) - 1)
+    inked = np.concatenate([[0], (column >= policy.CROSSING["candidate"]).view(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(inked))
+    found = {home, int(column.argmax())}
+    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        size = end - first
+        found |= {first, end - 1, first + int(column[first:end].argmax())}
+        if size >= policy.CROSSING["thirds"]:
+            found |= {first + size // 3, first + size * 2 // 3}
+    rows = np.array(sorted(found))
+    if len(rows) <= most:
+        return rows
+    strong = rows[np.argsort(column[rows], kind="stable")[4 - most :]]
+    return np.unique(np.concatenate([strong, [rows[0], rows[-1], rows[np.abs(rows - home).argmin()], column.argmax()]]))
+
+
+def connected_to(ink: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Cells of ink that 8-neighbouring cells of ink join to a seed of ink."""
+    reached = ink & seeds
+    while True:
+        wide = np.pad(reached, 1)
+        wide = wide[:-2] | wide[1:-1] | wide[2:]
+        grown = ink & (wide[:, :-2] | wide[:, 1:-1] | wide[:, 2:])
+        if (grown == reached).all():
+            return reached
+        reached = grown
+
+
+def event_support(evidence: np.ndarray, start: int, reference: np.ndarray, anchors: np.ndarray, radius: int) -> np.ndarray:
+    """Cells around the events that ink joins, within the event's window, to the reference path at the window's two outer
+    columns on each side; reference holds a row (as an absolute place) for each column, anchors are column numbers.
+    """
+    out = np.zeros(evidence.shape, bool)
+    for anchor in anchors.tolist():
+        left, right = max(0, anchor - radius), min(evidence.shape[1], anchor + radius + 1)
+        if right - left < 3:
+            continue
+        ink, seeds = evidence[:, left:right] >= policy.CROSSING["connected"], np.zeros((evidence.shape[0], right - left), bool)
+        for x in {left, left + 1, right - 2, right - 1}:
+            y = int(reference[x]) - start
+            if 0 <= y < len(seeds):
+                seeds[y, x - left] = True
+        out[:, left:right] |= connected_to(ink, seeds)
+    return out
+
+
+def crossing_path(evidence: np.ndarray, start: int, center: float, spacing: float, scale: float = 1.0, reward: float = 0.0, anchors: np.ndarray | None = None, radius: int = 0, excursion: float = 0.0, support: np.ndarray | None = None) -> np.ndarray:
+    """Row (from `start` on) of each column on the cheapest path through the candidate rows, which may leave its band.
+
+    Missing ink and the squared distance from home (in row spacings) cost; near an event distance from home earns, by its
+    nearness, where `support` (all cells if none is given) allows. A move costs little, and earns `reward` for each row if the
+    column's ink joins both rows with hardly a gap. Ties go to the upper row.
+    """
+    if min(evidence.shape) < 3:
+        raise ValueError("a band needs three rows and three columns")
+    if not (np.isfinite(scale) and scale > 0 and np.isfinite(reward) and reward >= 0 and radius >= 0 and excursion >= 0):
+        raise ValueError("a scale must be positive, rewards and radius must not be negative")
+    rule, (height, width) = policy.CROSSING, evidence.shape
+    home = int(np.rint(center)) - start
+    near = np.zeros(width)
+    if anchors is not None and len(anchors) and radius and excursion:
+        gap = np.abs(np.arange(width)[:, None] - anchors[None, :]).min(axis=1)
+        near = np.where(gap <= radius, 1 - gap / (radius + 1), 0.0)
+    states, back, total = [], [], None
+    for x in range(width):
+        rows = candidate_rows(evidence[:, x], home)
+        away = np.abs((rows + start - center) / spacing)
+        cost = rule["ink"] * (1 - evidence[rows, x]) + rule["home"] * away**2
+        if near[x]:
+            cost = cost - excursion * near[x] * away * (support[rows, x] if support is not None else 1)
+        if total is None:
+            total = cost
+        else:
+            before = states[-1]
+            step = np.abs(before[:, None] - rows[None, :]).astype(float)
+            move = scale * (rule["linear"] * step + rule["square"] * step**2)
+            if reward:
+                empty = np.concatenate([[0], np.cumsum(evidence[:, x] < rule["connected"])])
+                low, high = np.minimum(before[:, None], rows[None, :]), np.maximum(before[:, None], rows[None, :])
+                joined = empty[high + 1] - empty[low] <= np.maximum(rule["gap"], np.floor((high - low + 1) * rule["gap_share"]))
+                move = move - reward * step * joined
+            reach = total[:, None] + move
+            came = reach.argmin(axis=0)
+            back.append(came)
+            total = reach[came, np.arange(len(rows))] + cost
+        states.append(rows)
+    out, at = np.empty(width, np.int64), int(total.argmin())
+    for x in range(width - 1, -1, -1):
+        out[x] = states[x][at]
+        at = int(back[x - 1][at]) if x else at
+    return out + start
+
+
 def probability_path(p: np.ndarray, mask: np.ndarray, most: int = 48, around: int = 2) -> np.ndarray:
     """Path of the largest product of probabilities inside a mask, refined to the local centroid; NaN where there is none."""
     cost = np.where(mask & (p > 0), -np.log(np.maximum(p, 1e-12)), np.inf)
@@ -157,6 +255,62 @@ def align(reference: np.ndarray, other: np.ndarray, radius: int = policy.ALIGN_R
     return best
 
 
+@cache
+def _hypotheses(n: int, m: int, stride: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right neighbour, weight of the right one and validity of every inspected sample under every hypothesis."""
+    center, i = (n - 1) / 2, np.arange(0, n, stride)
+    scale = np.repeat(policy.ALIGN_SCALES, 2 * radius + 1)[:, None]
+    shift = np.tile(np.arange(-radius, radius + 1), len(policy.ALIGN_SCALES))[:, None]
+    at = center + (i[None, :] - center) * scale + shift
+    lo, hi = np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
+    ok = (lo >= 0) & (hi < m)
+    return np.where(ok, lo, 0), np.where(ok, hi, 0), at - np.floor(at), ok
+
+
+def _errors(reference: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median offset and trimmed error over the last axis; an infinite error where too few samples meet."""
+    d = np.sort(moved - reference, axis=-1)  # missing ones come last
+    n, total = np.count_nonzero(~np.isnan(d), axis=-1), d.shape[-1]
+    at = lambda x, k: np.take_along_axis(x, np.maximum(k, 0)[..., None], axis=-1)[..., 0]
+    offset = (at(d, (n - 1) // 2) + at(d, np.minimum(n // 2, total - 1))) / 2
+    rest = np.sort(np.abs(d - offset[..., None]), axis=-1)
+    keep = np.maximum(1, np.ceil(n * policy.TRIM_KEEP).astype(np.int64))
+    error = np.sqrt(at(np.cumsum(rest**2, axis=-1), keep - 1) / keep)
+    enough = n >= min(total, max(policy.MIN_SAMPLES, int(np.ceil(policy.MIN_OVERLAP * total))))
+    return offset, np.where(enough & ~np.isnan(error), error, np.inf)
+
+
+def align_many(references: np.ndarray, others: np.ndarray, radius: int = policy.ALIGN_RADIUS, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """scale, shift, offset and error of each row's pair, over all hypotheses and a block of pairs at once; no match is infinite.
+
+    `cells` bounds the samples that are compared at once.
+    """
+    (pairs, n), m = references.shape, others.shape[1]
+    stride = max(1, -(-n // policy.SEARCH_SAMPLES))
+    best, offset, error = np.zeros(pairs, np.int64), np.full(pairs, np.nan), np.full(pairs, np.inf)
+    left, right, weight, ok = _hypotheses(n, m, stride, radius)
+    step = max(1, cells // left.size)
+    for a in range(0, pairs, step):
+        v = others[a : a + step]
+        moved = np.where(ok, np.where(weight == 0, v[:, left], v[:, left] * (1 - weight) + v[:, right] * weight), np.nan)
+        off, err = _errors(references[a : a + step, None, ::stride], moved)
+        at = err.argmin(axis=1)
+        rows = np.arange(len(at))
+        best[a : a + step], offset[a : a + step], error[a : a + step] = at, off[rows, at], err[rows, at]
+    scale, shift = np.repeat(policy.ALIGN_SCALES, 2 * radius + 1)[best], np.tile(np.arange(-radius, radius + 1), len(policy.ALIGN_SCALES))[best]
+    if stride > 1:  # the chosen hypothesis on all samples
+        left, right, weight, ok = _hypotheses(n, m, 1, radius)
+        for a in range(0, pairs, max(1, cells // n)):
+            part = slice(a, a + max(1, cells // n))
+            k, v = best[part], others[part]
+            pick = lambda x: np.take_along_axis(v, x, axis=1)  # noqa: E731, B023
+            moved = np.where(ok[k], np.where(weight[k] == 0, pick(left[k]), pick(left[k]) * (1 - weight[k]) + pick(right[k]) * weight[k]), np.nan)
+            off, err = _errors(references[part], moved)
+            better = np.isfinite(err) & np.isfinite(error[part])
+            offset[part], error[part] = np.where(better, off, offset[part]), np.where(better, err, error[part])
+    return scale, shift, offset, error
+
+
 def exact_resample(positions: list[float], values: list[float], step: Fraction) -> list[tuple[int, float, float]]:
     """(target, value, weight of the right neighbour) at multiples of step inside monotone positions, with exact weights."""
     exact = [Fraction(p) for p in positions]

@@ -43,3 +43,10 @@ GEOMETRY_6X2 = 0.5
 UPSCALE = 1200
 PREPARATION = {"sharpness": 200.0, "long_edge": 1200, "trace": 0.35, "weak_grid": 0.50, "smooth_trace": 0.90, "smooth_grid": 0.40}
 FIDELITY = {"layout": 0.45, "median": 0.70, "p10": 0.45, "coverage": 0.80, "coverage_plain": 0.85, "unsupported": 0.40, "unsupported_plain": 0.12, "crossing_p95": 0.45, "crossing_jump": 1.15, "home_row": 0.55}
+CROSSING = {"ink": 5.0, "home": 4.0, "linear": 0.0025, "square": 0.000018, "candidate": 0.28, "connected": 0.24, "states": 48, "thirds": 6, "gap": 2, "gap_share": 0.08}
+BAND = 0.24
+TIME_RANGES = {"share": 0.20, "least": 40, "onset": 0.55}
+SIX_BY_TWO = {"seconds": 5.0, "narrow": 0.02, "wide": 0.42, "widest": 0.60, "sustained": 0.75, "single": (0.85, 1.15), "double": (1.85, 2.15), "split": 0.08, "search": (0.04, 0.24), "early": 0.03, "gutter": (0.485, 0.515), "gutter_run": 0.004, "later": 0.01, "apart": 0.08, "kept": 0.85}
+THREE_BY_FOUR = {"seconds": 2.5, "narrow": 0.055, "widest": 1.08, "label": 0.06, "search": (0.04, 0.36), "window": 0.04}
+TWELVE = {"seconds": 10.0, "support": 0.70, "band": 0.20, "origin_band": 0.055, "left": (0.04, 0.20), "right": (0.80, 0.98), "window": 0.04, "continuity": 0.45, "edges": 2, "corrected": 3, "tolerance_mm": 0.75, "span": (0.78, 0.96), "scale": 0.12, "mm": (1.0, 40.0)}
+TWELVE_ORIGIN = {"least": 80, "widest": 0.97, "first": 0.012, "last": 0.18, "early": 0.08, "early_run": 0.045, "pulse_mm": 5.5, "onset": 0.012, "onset_mm": 6.0, "start_fit": 0.025, "end_fit": 0.035, "spread": 0.18}
