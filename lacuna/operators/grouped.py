@@ -31,7 +31,9 @@ def searched(pairs: DataFrame, by: list[str]) -> DataFrame:
         for pdf in it:
             sizes = pd.DataFrame({"n": pdf["va"].map(len), "m": pdf["vb"].map(len)})
             found = {name: np.full(len(pdf), np.nan) for name in ("scale", "shift", "offset", "rmse")}
-            for (n, m), rows in sizes[(sizes["n"] > 0) & (sizes["m"] > 0)].groupby(["n", "m"]).indices.items():
+            for (n, m), rows in sizes.groupby(["n", "m"]).indices.items():
+                if not n or not m:
+                    continue
                 grid = lambda name, k: np.array(pdf[name].iloc[rows].tolist(), float).reshape(len(rows), k)  # noqa: E731, B023
                 got = kernels.align_many(grid("va", n), grid("vb", m))
                 met = np.isfinite(got[3])
