@@ -1,12 +1,14 @@
 """Phrase collocations: n-grams of every language as DataFrame rows, counted, scored by their weakest cut and ranked.
 
 Texts are cut at `[.,;:!?\\x0A-\\x0D]` into pieces and these at blanks and tabs into words, A-Z lower-cased. For each size
-from one word to `max_words` the grams of all texts are exploded into rows (lang, phrase, count), aggregated by (lang,
-phrase) and kept from `least` occurrences on; counts are those of the phrases themselves, never of hashes. A gram can't
-occur more often than the two grams of one word less within it, so only grams whose both parts are frequent become rows.
-That test reads a bitmap of fixed size (16 MB at most), which lets some others pass and stops none that counts: with more
-frequent grams than it can tell apart more rows are made, and the results are the same. Each Arrow batch adds up its own
-grams first, so a frequent phrase sends one row for each batch, and a hot language is spread over its phrases.
+from one word to `max_words` the grams of all texts are exploded into rows (lang, phrase, count), aggregated by language and
+phrase, and kept from `least` occurrences on. A gram can't occur more often than the two grams of one word less within it, so
+only grams whose both parts were kept become rows. Word pairs are by far the most, and hardly any is frequent: their rows are
+first 64-bit hashes alone, and only pairs whose hash was counted often enough become rows with text. Hashes that meet can only
+raise a count, so nothing that is frequent gets lost, and what counts is the phrases' own number. Tests of hashes read bitmaps
+of fixed size (16 MB at most), which let some others pass and stop none that counts: with more frequent grams than they can
+tell apart more rows are made, and the results are the same. Each stretch of text adds up its own grams first, so a frequent
+phrase sends one row for each, and a hot language is spread over its phrases.
 
 The score of a phrase is the lowest over its cuts of floor(1000 * a * n / (l * r)), with the frequencies of the phrase, of
 both sides, and of all words of the language. Products are Decimal(38): exact while 1000 * a * n stays below 10**38.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,13 @@ from .common import Bitmap, arrow_limits, materialize, mix
 PART = 4 << 20
 #: Bits of the bitmap, as a power of two.
 BITMAP_LOG = 27
+#: Parts in which a language's phrases are ranked before they meet.
+SALTS = 64
 _SEPARATOR, _WORD = np.zeros(256, bool), np.ones(256, bool)
 _SEPARATOR[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _WORD[[*b".,;:!?\n\x0b\x0c\r \t"]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_KINDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("count", pa.int64()), ("hash", pa.int64())])
-
-
 @dataclass(frozen=True)
 class Mining:
     """Sizes of phrases, least frequency, share of a longer phrase that replaces a shorter one, phrases for a language."""
@@ -69,51 +71,56 @@ def _hash(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def _chain(hashes: list[np.ndarray], seed: np.uint64) -> np.ndarray:
+def _chain(hashes: list[np.ndarray], seed: np.uint64 | np.ndarray) -> np.ndarray:
     """Hash of a phrase from those of its words."""
-    out = np.full(len(hashes[0]), seed)
+    out = np.zeros(len(hashes[0]), np.uint64) + seed
     for h in hashes:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h)
     return out
 
 
-def grams(raw: np.ndarray, n: int, seed: np.uint64, known: Bitmap | None) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
-    """Distinct phrases of n words in a stretch of UTF-8 text, their counts and hashes, and the number of all words.
-
-    `known` has the hashes of the frequent phrases of n - 1 words.
-    """
-    inside = _WORD[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    start, end = edges[::2], edges[1::2]
-    total = len(start)
-    if total < n:
-        return pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.uint64), total
-    offsets = np.concatenate([[0], np.cumsum(end - start)])
-    kind, width = (pa.large_binary(), np.int64) if offsets[-1] >= 1 << 31 else (pa.binary(), np.int32)
-    listed = pa.Array.from_buffers(kind, total, [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(_FOLD[raw[inside]])]).dictionary_encode()
-    own, word = _hash(listed.dictionary), listed.indices.to_numpy().astype(np.int64)
-    at = np.arange(total - n + 1)
-    if n > 1:
-        piece = np.searchsorted(np.flatnonzero(_SEPARATOR[raw]), start)
-        at = at[piece[at] == piece[at + n - 1]]
-    if known is not None and n > 1:
-        hashes = own[word]
-        for lo in (0, 1):  # both parts of one word less
-            at = at[known.has(_chain([hashes[at + lo + k] for k in range(n - 1)], seed))]
-    key = word[at]
-    for k in range(1, n):  # places of equal phrases get one number, word after word
-        key = np.unique((key << 32) | word[at + k], return_inverse=True)[1]
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    places = [word[at[first] + k] for k in range(n)]
-    phrase = listed.dictionary.take(pa.array(places[0]))
-    if n > 1:
-        phrase = pc.binary_join_element_wise(*(listed.dictionary.take(pa.array(p)) for p in places), pa.scalar(b" ", kind))
-    return phrase, count, _chain([own[p] for p in places], seed), total
-
-
-def _counted(docs: DataFrame, n: int, known: Bitmap | None) -> DataFrame:
-    """(lang, phrase, count, hash) of the phrases of n words; with n = 1 a null phrase stands for all words."""
-    held = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+class Stretch:
+    """Words of a stretch of UTF-8 text: their number among the distinct ones, their hash, and where pieces end."""
+
+    def __init__(self, raw: np.ndarray, seed: np.uint64) -> None:
+        inside = _WORD[raw]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+        start, end = edges[::2], edges[1::2]
+        self.size, self.seed = len(start), seed
+        offsets = np.concatenate([[0], np.cumsum(end - start)])
+        self.kind, width = (pa.large_binary(), np.int64) if offsets[-1] >= 1 << 31 else (pa.binary(), np.int32)
+        listed = pa.Array.from_buffers(self.kind, self.size, [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(_FOLD[raw[inside]])]).dictionary_encode()
+        self.distinct, self.word = listed.dictionary, listed.indices.to_numpy().astype(np.int64)
+        self.hash = _hash(self.distinct)[self.word]
+        self.piece = np.searchsorted(np.flatnonzero(_SEPARATOR[raw]), start)
+
+    def places(self, n: int) -> np.ndarray:
+        """Words from which on n words lie in one piece."""
+        at = np.arange(max(0, self.size - n + 1))
+        return at if n == 1 else at[self.piece[at] == self.piece[at + n - 1]]
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        return _chain([self.hash[at + k] for k in range(n)], self.seed)
+
+    def passing(self, n: int, parts: Bitmap | None = None, own: Bitmap | None = None) -> np.ndarray:
+        """Places of grams of n words whose both parts of n - 1 words, or whose own hash, may be known."""
+        at = self.places(n)
+        for lo in (0, 1) if parts is not None else ():
+            at = at[parts.has(self.hashes(at + lo, n - 1))]
+        return at if own is None else at[own.has(self.hashes(at, n))]
+
+    def phrases(self, at: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
+        """Distinct phrases of n words at these places, and their counts."""
+        key = self.word[at]
+        for k in range(1, n):  # places of equal phrases get one number, word after word
+            key = np.unique((key << 32) | self.word[at + k], return_inverse=True)[1]
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        words = [self.distinct.take(pa.array(self.word[at[first] + k])) for k in range(n)]
+        return (words[0] if n == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", self.kind))), count
+
+
+def _stretches(docs: DataFrame, rows_of, schema: str) -> DataFrame:
+    """The record batches that `rows_of` (language, stretch of its text) makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,33 +132,67 @@ def _counted(docs: DataFrame, n: int, known: Bitmap | None) -> DataFrame:
                 raw = np.frombuffer(ended.buffers()[2], np.uint8)[offsets[0] : offsets[size]]
                 seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
                 for part in _parts(raw):
-                    phrase, count, own, words = grams(part, n, seed, held.value if held else None)
-                    if n == 1 and words:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([words]), pa.array([0])], schema=_KINDS)
-                    for lo in range(0, len(phrase), 1 << 18):
-                        text = phrase.slice(lo, 1 << 18)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text)), text.cast(pa.string()), pa.array(count[lo : lo + len(text)]), pa.array(own[lo : lo + len(text)].view(np.int64))], schema=_KINDS)
+                    yield from rows_of(lang, Stretch(part, seed))
+
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null").mapInArrow(run, schema)
+
+
+def _pairs(docs: DataFrame, words: Bitmap, least: int) -> Bitmap:
+    """Hashes of the word pairs that may occur `least` times; words: the frequent ones."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def rows_of(lang: str, stretch: Stretch) -> Iterator[pa.RecordBatch]:
+        found, count = np.unique(stretch.hashes(stretch.passing(2, held.value), 2), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"hash": found.view(np.int64), "count": count})
+
+    found = _stretches(docs, rows_of, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    return Bitmap(materialize(found.select("hash"), "pairs"), "hash", BITMAP_LOG)
+
+
+def _phrases(docs: DataFrame, wanted: list[tuple[int, Bitmap | None, Bitmap | None]], least: int) -> DataFrame:
+    """(lang, words, phrase, a) of the frequent phrases; wanted: sizes with what their parts or they themselves must be among.
+    With phrases of one word goes a row (0, null) for all words of a language."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    found = rows.mapInArrow(run, "lang string, phrase string, count long, hash long")
-    return found.groupBy("lang", "phrase").agg(F.sum("count").alias("count"), F.min("hash").alias("hash"))
+    def rows_of(lang: str, stretch: Stretch) -> Iterator[pa.RecordBatch]:
+        for n, parts, own in held.value:
+            if n == 1:
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "words": pa.array([0], pa.int32()), "phrase": pa.array([None], pa.string()), "count": [stretch.size]})
+            phrase, count = stretch.phrases(stretch.passing(n, parts, own), n)
+            for lo in range(0, len(phrase), 1 << 18):
+                text = phrase.slice(lo, 1 << 18).cast(pa.string())
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(text), pa.string()), "words": pa.array(np.full(len(text), n, np.int32)), "phrase": text, "count": count[lo : lo + len(text)]})
+
+    rows = _stretches(docs, rows_of, "lang string, words int, phrase string, count long").groupBy("lang", "words", "phrase").agg(F.sum("count").alias("a"))
+    return materialize(rows.where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+
+
+def _known(phrases: DataFrame, n: int) -> Bitmap:
+    """Hashes of the phrases of n words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            words = np.fromiter((xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split(b" ")), np.uint64).reshape(-1, n)
+            seeds = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in langs), np.uint64, len(langs))
+            yield pa.RecordBatch.from_pydict({"hash": _chain([words[:, k] for k in range(n)], seeds).view(np.int64)})
+
+    return Bitmap(phrases.where(F.col("words") == n).select("lang", "phrase").mapInArrow(run, "hash long"), "hash", BITMAP_LOG)
 
 
 def frequent(docs: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, a) of all phrases of 1 to max_words words from `least` occurrences on, and (lang, n): all words."""
-    found, totals, known = None, None, None
-    for n in range(1, mining.max_words + 1):
-        level = materialize(_counted(docs, n, known).where(F.col("phrase").isNull() | (F.col("count") >= mining.least)), f"phrases-{n}")
-        if n == 1:  # a table of its own, so that Spark sees how small it is
-            totals = materialize(level.where("phrase is null").select("lang", F.col("count").alias("n")), "languages")
-        level = level.where("phrase is not null")
-        rows = level.select("lang", "phrase", F.lit(n).alias("words"), F.col("count").alias("a"))
-        found = rows if found is None else found.unionByName(rows)
-        if n < mining.max_words:
-            known = Bitmap(level.select("hash"), "hash", BITMAP_LOG)
-            if not known.words.any():  # no longer phrase can be frequent
-                break
-    return found, totals
+    """(lang, words, phrase, a) of all phrases of 1 to max_words words from `least` occurrences on, and (lang, n): all words."""
+    arrow_limits(docs.sparkSession)
+    least, most = mining.least, mining.max_words
+    single = _phrases(docs, [(1, None, None)], least)
+    totals = materialize(single.where("words = 0").select("lang", F.col("a").alias("n")), "languages")  # so that Spark sees how small it is
+    found = [single.where("words = 1")]
+    if most > 1:
+        pairs = _pairs(docs, _known(single, 1), least)
+        found.append(_phrases(docs, [(2, None, pairs), (3, pairs, None)][: most - 1], least))
+    for n in range(4, most + 1):
+        found.append(_phrases(docs, [(n, _known(found[-1], n - 1), None)], least))
+    return reduce(DataFrame.unionByName, found), totals
 
 
 def collocations(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
@@ -177,5 +218,7 @@ def collocations(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
     about = (scored["lang"] == covered["lang"]) & (scored["phrase"] == covered["phrase"]) & (F.lit(100) * covered["more"] >= F.lit(mining.cover_percent) * scored["a"])
     kept = scored.join(covered, about, "left_anti")
     ranked = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= mining.top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    for part in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))], ["lang"]):  # a hot language is ranked in parts first
+        order = Window.partitionBy(*part).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= mining.top)
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
