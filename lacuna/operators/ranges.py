@@ -91,6 +91,14 @@ def runs(cum: Column, width: Column) -> Column:
     return F.transform(starts, lambda s, i: F.struct(s.alias("start"), (F.get(ends, i) - s).alias("size")))
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row. Behind a generator neither a filter, which would be pushed down, nor a
+    lambda of a later projection repeats them."""
+    keep = [n for n in df.columns if n not in columns]
+    once = df.select(*keep, F.explode(F.array(F.struct(*(v.alias(n) for n, v in columns.items())))).alias("_once"))
+    return once.select(*keep, *(c("_once")[n].alias(n) for n in columns))
+
+
 def present(x: Column) -> Column:
     """Rows where x isn't null; exploded, since a filter on it would be pushed down and evaluate it twice."""
     return F.explode(F.filter(F.array(x), lambda v: v.isNotNull()))
@@ -200,3 +208,129 @@ def three_by_four(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list
     by_label = F.array(*(F.struct(start(k).alias("start"), (start(k) + d).alias("end"), F.lit("label").alias("method")) for k in range(4)))
     ranges = F.when(c("labeled"), by_label).when(F.forall(F.array(*spans), lambda s: s.isNotNull()), F.array(*spans))
     return page.select(*by, "labeled", present(ranges).alias("ranges"))
+
+
+def _robust_line(values: Column, axis: Column) -> Column:
+    """Theil-Sen: values of the line by the median of all pairwise slopes and the median rest, rounded; null if all places are one."""
+    n = F.size(axis)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    apart = F.filter(pairs, lambda p: F.get(axis, p["i"]) != F.get(axis, p["j"]))
+    slope = middle(F.transform(apart, lambda p: (F.get(values, p["j"]) - F.get(values, p["i"])) / (F.get(axis, p["j"]) - F.get(axis, p["i"]))))
+    return F.when(F.size(apart) > 0, F.struct(slope.alias("slope"), axis.alias("axis"), values.alias("values")))
+
+
+def _predicted(line: Column) -> Column:
+    """Rounded places of a robust line on its own axis."""
+    level = middle(F.transform(line["values"], lambda v, i: v - line["slope"] * F.get(line["axis"], i)))
+    return F.transform(line["axis"], lambda a: whole(level + line["slope"] * a))
+
+
+def _line(values: Column, axis: Column) -> Column:
+    """Means and slope of the least squares line; places must differ."""
+    both = F.zip_with(values, axis, lambda v, a: F.struct(v.alias("v"), a.alias("a")))
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("v", "a", "va", "aa")))
+    add = lambda s, x: F.struct((s["v"] + x["v"]).alias("v"), (s["a"] + x["a"]).alias("a"), (s["va"] + x["v"] * x["a"]).alias("va"), (s["aa"] + x["a"] * x["a"]).alias("aa"))
+    n = F.size(axis)
+    return F.aggregate(both, zero, add, lambda s: F.struct((s["v"] / n).alias("v"), (s["a"] / n).alias("a"), ((s["va"] - s["v"] * s["a"] / n) / (s["aa"] - s["a"] * s["a"] / n)).alias("slope")))
+
+
+def _most_off(values: Column, axis: Column, line: Column) -> Column:
+    """The largest distance from a line."""
+    return F.array_max(F.zip_with(values, axis, lambda v, a: F.abs(v - line["v"] - line["slope"] * (a - line["a"]))))
+
+
+def _rows_together(found: DataFrame, by: list[str], fields: list[str], n_rows: int) -> DataFrame:
+    """by and, for each of the fields, an array by row; pages of which a row is missing are left out."""
+    listed = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row", *fields))).alias("_r")).where(F.size("_r") == n_rows)
+    return listed.select(*by, *(F.col("_r")[f].alias(f) for f in fields))
+
+
+def edge_span(cum: Column, width: Column) -> Column:
+    """(start, end) of a row's trace: the first column on the left and the last on the right that begin or end a stretch in
+    which enough columns have ink; null where either is missing or they don't follow each other."""
+    p = policy.TWELVE
+    ahead = F.greatest(F.lit(32), whole(width * F.lit(p["window"])))
+    left, right = (tuple(whole(width * F.lit(s)) for s in p[side]) for side in ("left", "right"))
+    enough = lambda lo, hi: inside(cum, lo, hi) / (hi - lo) >= F.lit(p["continuity"])
+    start = F.get(F.filter(each(left[0], F.least(left[1], width - 1)), lambda x: held_at(cum, x) & enough(x, F.least(width, x + ahead))), F.lit(0))
+    end = F.try_element_at(F.filter(each(right[0] + 1, F.least(right[1], width)), lambda e: held_at(cum, e - 1) & enough(F.greatest(F.lit(0), e - ahead), e)), F.lit(-1))
+    return F.when((width >= 100) & (end > start), _span(start, end))
+
+
+def twelve_consensus(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """by, ranges (start, end of each of twelve rows), corrected, projected, pixels_per_mm, grid_mm, scale_error.
+
+    Every row says by itself where its trace begins and ends; all twelve must agree on two straight lines, at most three of
+    them with a gross error, and every row is put onto these lines. Their length and the page's grid period must agree on a
+    grid of one or five millimetres. pages has grid_period, speed and calibration_end (columns up to it hold a pulse, or null).
+    Refused pages don't appear.
+    """
+    p, w = policy.TWELVE, c("width")
+    held = pages.where((c("grid_period") > 0) & (c("grid_period") < float("inf")) & (c("speed") > 0) & (c("speed") < float("inf"))).join(row_facts(rows, by), by).where(F.size("centers") == 12)
+    held = held.withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["band"])))).where((F.array_min("centers") + c("radius") >= 0) & (F.array_max("centers") - c("radius") < c("height")) & (w >= 100))
+    found = supports(pixels, held, by, {"ink": c("radius")})
+    flag = (c("ink") >= p["support"]) & (c("calibration_end").isNull() | (c("x") > c("calibration_end")))
+    spans = prefixed(found, held.select(*by, "width", "calibration_end"), by, [*by, "row"], {"cum": flag}).join(held.select(*by, "width"), by)
+    spans = spans.select(*by, "row", present(edge_span(c("cum"), w)).alias("span"))
+    page = _rows_together(spans.select(*by, "row", c("span.start").cast("double").alias("starts"), c("span.end").cast("double").alias("ends")), by, ["starts", "ends"], 12)
+    page = page.join(held.select(*by, "width", "grid_period", "speed", F.transform("centers", lambda x: x.cast("double")).alias("axis")), by)
+
+    at_edge = lambda name, cond: F.size(F.filter(name, cond)) <= p["edges"]
+    page = page.where(at_edge("starts", lambda s: s <= whole(w * F.lit(p["left"][0]))) & at_edge("ends", lambda e: e >= whole(w * F.lit(p["right"][1]))))
+    page = fixed(fixed(page, l1=_robust_line(c("starts"), c("axis")), l2=_robust_line(c("ends"), c("axis"))), s=_predicted(c("l1")), e=_predicted(c("l2")))
+    paper, every = c("speed") * F.lit(p["seconds"]), F.sequence(F.lit(0), F.lit(11))
+    length = lambda end, start: middle(F.transform(end, lambda e, i: (e - F.get(start, i)).cast("double"))) / paper
+    page = fixed(page, first_mm=length("ends", "starts"), pixels_per_mm=length("e", "s"))
+    page = fixed(page, slack=F.greatest(F.lit(2), F.ceil(c("first_mm") * F.lit(p["tolerance_mm"])).cast("int")), ratio=c("grid_period") / c("pixels_per_mm"))
+    off = F.size(F.filter(every, lambda i: (F.abs(F.get("starts", i) - F.get("s", i)) > c("slack")) | (F.abs(F.get("ends", i) - F.get("e", i)) > c("slack"))))
+    sound = F.forall(every, lambda i: ((F.get("e", i) - F.get("s", i)) / w).between(*p["span"]))
+    moved = F.size(F.filter(every, lambda i: (F.get("starts", i) != F.get("s", i)) | (F.get("ends", i) != F.get("e", i))))
+    page = fixed(page, corrected=off, projected=moved, sound=sound, grid_mm=F.when(F.abs(c("ratio") - 1) <= F.abs(c("ratio") - 5), F.lit(1.0)).otherwise(F.lit(5.0)))
+    page = fixed(page, scale_error=F.abs(c("ratio") - c("grid_mm")) / c("grid_mm"))
+    good = page.where(c("first_mm").between(*p["mm"]) & (c("corrected") <= p["corrected"]) & c("sound") & (c("scale_error") <= p["scale"]))
+    return good.select(*by, F.transform("s", lambda s, i: _span(s, F.get("e", i))).alias("ranges"), "corrected", "projected", "pixels_per_mm", "grid_mm", "scale_error")
+
+
+def twelve_origins(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """by, accepted, ranges (start, end of each of twelve rows; null if refused), corrected, residual (largest, in columns).
+
+    Each row's length follows from its own scale (rows has pixels_per_mm); it begins at its first sustained ink behind the
+    calibration pulse, or where most ink is. The beginnings must lie on a robust line but for three rows, which are put onto
+    it; then beginnings and ends must lie near straight lines and not too far apart. Pages of which a row has no beginning, or
+    whose measures can't be used, don't appear; pages whose rows disagree appear as not accepted.
+    """
+    o, p, t, w, d = policy.TWELVE_ORIGIN, policy.TWELVE, policy.TIME_RANGES, c("width"), c("duration")
+    held = pages.join(row_facts(rows, by), by).where(F.size("centers") == 12).withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["origin_band"])))).where((F.array_min("centers") + c("radius") >= 0) & (F.array_max("centers") - c("radius") < c("height")))
+    found = supports(pixels, held, by, {"ink": c("radius")})
+    place = Window.partitionBy(*by).orderBy("row")
+    scaled = rows.withColumn("row", F.row_number().over(place) - 1).select(*by, "row", c("pixels_per_mm").alias("mm"))
+    sums = prefixed(found, held.select(*by, "width"), by, [*by, "row"], {"cum": c("ink") >= policy.BAND}).join(held.select(*by, "width", "speed", "calibration_end"), by).join(scaled, [*by, "row"])
+    each_row = sums.where(c("mm").between(*p["mm"])).withColumn("duration", whole(c("mm") * c("speed") * F.lit(p["seconds"]))).where((d >= o["least"]) & (d <= w * F.lit(o["widest"])))
+    lo, hi = F.greatest(F.lit(0), whole(w * F.lit(o["first"])), F.coalesce(c("calibration_end"), F.lit(0))), F.least(w - d, whole(w * F.lit(o["last"])))
+    each_row = fixed(each_row, lo=lo, hi=hi).where(c("hi") >= c("lo"))
+    # without a known pulse, short early runs of ink are stepped over
+    early, pulse = F.least(c("hi") + 1, F.greatest(c("lo"), whole(w * F.lit(o["early"])))), F.greatest(F.lit(3), whole(c("mm") * F.lit(o["pulse_mm"])))
+    ahead = F.greatest(F.lit(8), whole(d * F.lit(o["onset"])), whole(c("mm") * F.lit(o["onset_mm"])))
+    each_row = fixed(each_row, early=early, pulse=pulse, ahead=ahead, hole=F.greatest(F.lit(3), F.floor(ahead / 4).cast("int")))
+    heads = F.filter(each(c("lo"), c("early") - 1), lambda x: held_at(c("cum"), x) & ((x == c("lo")) | ~held_at(c("cum"), F.greatest(x - 1, F.lit(0)))) & (x <= w * F.lit(o["early_run"])))
+    tail = lambda x: F.coalesce(F.get(F.filter(each(x, c("early") - 1), lambda y: ~held_at(c("cum"), y)), F.lit(0)), c("early"))
+    passed = F.array_max(F.transform(F.filter(F.transform(heads, lambda x: F.struct(x.alias("x"), tail(x).alias("end"))), lambda r: r["end"] - r["x"] <= c("pulse")), lambda r: r["end"]))
+    each_row = fixed(each_row, origin=F.when(c("calibration_end").isNull(), F.greatest(c("lo"), F.coalesce(passed, c("lo")))).otherwise(c("lo"))).where(c("origin") <= c("hi"))
+    until = lambda s: F.least(w, s + c("ahead"))
+    onset = F.get(F.filter(each(c("origin"), c("hi")), lambda s: held_at(c("cum"), s) & (inside(c("cum"), s, until(s)) / (until(s) - s) >= F.lit(t["onset"])) & no_hole_beyond(c("cum"), s, until(s), c("hole"))), F.lit(0))
+    each_row = fixed(each_row, onset=onset, dense=best_window(c("cum"), c("origin"), c("hi"), d))
+    begin = F.coalesce("onset", F.when(c("dense.score") >= d * F.lit(t["share"]), c("dense.start")))
+    found_rows = each_row.select(*by, "row", "duration", "mm", present(begin).alias("start"))
+
+    page = _rows_together(found_rows.select(*by, "row", c("start").cast("double").alias("starts"), c("duration").alias("lengths"), c("mm").alias("scales")), by, ["starts", "lengths", "scales"], 12)
+    page = fixed(page.join(held.select(*by, "width", F.transform("centers", lambda x: x.cast("double")).alias("axis")), by), line=_robust_line(c("starts"), c("axis"))).where("line is not null")
+    page = fixed(page, predicted=_predicted(c("line")), slack=F.greatest(F.lit(2), F.ceil(middle(c("scales")) * F.lit(p["tolerance_mm"])).cast("int")))
+    page = fixed(page, rest=F.transform("starts", lambda s, i: F.abs(s - F.get("predicted", i))))
+    page = fixed(page, corrected=F.size(F.filter("rest", lambda r: r > c("slack"))))
+    page = fixed(page, s=F.transform("starts", lambda s, i: F.when((c("corrected") <= p["corrected"]) & (F.get("rest", i) > c("slack")), F.get("predicted", i).cast("double")).otherwise(s)))
+    page = fixed(page, e=F.transform("s", lambda s, i: s + F.get("lengths", i)))
+    page = fixed(page, start_line=_line(c("s"), c("axis")), end_line=_line(c("e"), c("axis")))
+    spread = lambda name: F.array_max(name) - F.array_min(name)
+    straight = (_most_off(c("s"), c("axis"), c("start_line")) <= w * F.lit(o["start_fit"])) & (_most_off(c("e"), c("axis"), c("end_line")) <= w * F.lit(o["end_fit"])) & (spread("s") <= w * F.lit(o["spread"])) & (spread("e") <= w * F.lit(o["spread"]))
+    page = fixed(page, accepted=F.coalesce((c("corrected") <= p["corrected"]) & straight, F.lit(False)))
+    return page.select(*by, "accepted", F.when(c("accepted"), F.transform("s", lambda s, i: _span(s, F.get("e", i)))).alias("ranges"), "corrected", F.array_max("rest").cast("int").alias("residual"))

@@ -93,3 +93,63 @@ def three_by_four_ranges(spark, d):
     labels = "transform(sequence(0, 3), i -> CAST(" + _LABELS3 + " AS DOUBLE))"
     found = ranges.three_by_four(pixels, rows, pages.selectExpr("*", "0.8D AS pixels_per_mm", "25D AS speed", f"CASE WHEN k % 8 IN (0, 4, 6) THEN {labels} END AS label_edges"), ["k"])
     return found.select("k", "labeled", F.posexplode("ranges").alias("panel", "r")).selectExpr("k", "labeled", "panel", "r.start", "r.end", "r.method")
+
+
+# twelve rows of ten seconds: a page leans by its key, some rows of it are spoilt
+
+_W12, _STEP12 = "230 + k % 7", 12
+_LEAN = "CAST(rint(row * ((k % 5) - 2) * 0.4) AS INT)"
+_SPOILT = "CASE WHEN k % 6 = 1 AND row = 4 THEN 9 WHEN k % 6 = 2 AND row IN (1, 5, 9) THEN 8 WHEN k % 6 = 3 AND row % 3 = 0 THEN 10 ELSE 0 END"
+_S12, _E12 = f"(16 + {_LEAN} + {_SPOILT})", f"(218 + {_LEAN} - CASE WHEN k % 6 = 4 AND row = 7 THEN 20 ELSE 0 END)"
+_PRESENT12 = f"((x >= {_S12} AND x < {_E12} AND (x + row) % 6 <> 5 AND (k % 13 <> 12 OR x % 2 = 0)) OR (k % 6 = 5 AND x < CASE WHEN k % 12 = 11 THEN 12 ELSE 6 END))"
+_INK12 = "CASE WHEN (k + x * 3 + row) % 19 = 0 THEN 0.5 ELSE 0.75 + ((k + x + row) % 3) / 10.0 END"
+_PX12 = f"""pw AS (SELECT s_suppkey AS k, CAST({_W12} AS INT) AS w FROM supplier), gx AS (SELECT k, w, row, unnest(range(w)) AS x FROM pw, (SELECT unnest(range(12)) AS row)),
+px AS (SELECT k, w, row, x, coalesce({_PRESENT12.replace('rint(', 'round_even(').replace('0.4)', '0.4::DOUBLE, 0)')}, FALSE) AS there, CAST({_INK12} AS DOUBLE) AS ink FROM gx)"""
+_THEIL = lambda name, value: f"""{name}_s AS (SELECT a.k, median((b.{value} - a.{value}) / (b.row - a.row)::DOUBLE / {_STEP12}) AS m FROM rw a JOIN rw b ON a.k = b.k AND a.row < b.row GROUP BY 1), {name}_l AS (SELECT k, m, median({value} - m * ax) AS b FROM rw JOIN {name}_s USING (k) GROUP BY 1, 2), {name} AS (SELECT k, row, round_even(b + m * ax, 0) AS p FROM rw JOIN {name}_l USING (k))"""
+
+
+def _twelve(spark, d):
+    s = views.read(spark, d, "supplier").selectExpr("s_suppkey AS k").selectExpr("k", f"CAST({_W12} AS INT) AS width", f"{_STEP12 * 13} AS height")
+    rows = s.selectExpr("k", "explode(sequence(0, 11)) AS row").selectExpr("k", "row", f"CAST({_STEP12} + row * {_STEP12} AS INT) AS center", "1D + (k % 3) * 0.0025D AS pixels_per_mm")
+    pixels = s.selectExpr("k", "width", "explode(sequence(0, 11)) AS row").selectExpr("k", "row", "explode(sequence(0, width - 1)) AS x").where(_PRESENT12)
+    return s, rows, pixels.selectExpr("k", f"CAST({_STEP12} + row * {_STEP12} AS INT) AS y", "x", f"CAST({_INK12} AS DOUBLE) AS ink")
+
+
+_CAL12, _GRID12 = "CASE WHEN k % 6 = 5 THEN 12 END", "CASE WHEN k % 7 = 6 THEN 2.6 WHEN k % 7 < 3 THEN 1.05 ELSE 5.1 END"
+
+
+@query(f"""WITH {_PX12}, ac AS (SELECT k, w, row, x, there AND ink >= 0.7 AND ({_CAL12} IS NULL OR x > {_CAL12}) AS a FROM px),
+sm AS (SELECT k, w, row, x, a, avg(a::INT) OVER (PARTITION BY k, row ORDER BY x ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS nx, avg(a::INT) OVER (PARTITION BY k, row ORDER BY x ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS pv FROM ac),
+rw AS (SELECT k, w, row, {_STEP12} + row * {_STEP12} AS ax, min(x) FILTER (a AND nx >= 0.45 AND x BETWEEN round_even(w * 0.04, 0) AND round_even(w * 0.20, 0))::DOUBLE AS s, 1.0::DOUBLE + max(x) FILTER (a AND pv >= 0.45 AND x >= round_even(w * 0.80, 0) AND x < round_even(w * 0.98, 0)) AS e FROM sm GROUP BY 1, 2, 3),
+{_THEIL("ps", "s")}, {_THEIL("pe", "e")},
+pg AS (SELECT rw.k, w, count(s) AS ns, count(e) AS ne, bool_and(e > s) AS ok, count(*) FILTER (s <= round_even(w * 0.04, 0)) AS es, count(*) FILTER (e >= round_even(w * 0.98, 0)) AS ee, median(e - s) / 200 AS mm FROM rw GROUP BY 1, 2),
+jn AS (SELECT rw.k, rw.row, rw.w, s, e, ps.p AS ps, pe.p AS pe, mm FROM rw JOIN ps USING (k, row) JOIN pe USING (k, row) JOIN pg USING (k) WHERE ns = 12 AND ne = 12 AND ok AND es <= 2 AND ee <= 2 AND mm BETWEEN 1.0 AND 40.0),
+gr AS (SELECT k, w, any_value({_GRID12}) AS grid, count(*) FILTER (abs(s - ps) > greatest(2, ceil(mm * 0.75)) OR abs(e - pe) > greatest(2, ceil(mm * 0.75))) AS corrected, count(*) FILTER (s <> ps OR e <> pe) AS projected, min((pe - ps) / w) AS lo, max((pe - ps) / w) AS hi, median(pe - ps) / 200 AS mm FROM jn GROUP BY 1, 2),
+sc AS (SELECT *, grid / mm AS ratio, CASE WHEN abs(grid / mm - 1) <= abs(grid / mm - 5) THEN 1.0 ELSE 5.0 END AS g FROM gr WHERE corrected <= 3 AND lo >= 0.78 AND hi <= 0.96)
+SELECT k, CAST(row AS INT) AS row, CAST(ps AS INT) AS "start", CAST(pe AS INT) AS "end", CAST(corrected AS INT) AS corrected, CAST(projected AS INT) AS projected, round(sc.mm, 9) AS pixels_per_mm, g::DOUBLE AS grid_mm, round(abs(ratio - g) / g, 9) AS scale_error FROM sc JOIN jn USING (k) WHERE abs(ratio - g) / g <= 0.12""")
+def twelve_row_consensus(spark, d):
+    pages, rows, pixels = _twelve(spark, d)
+    found = ranges.twelve_consensus(pixels, rows.drop("pixels_per_mm"), pages.selectExpr("*", f"CAST({_GRID12} AS DOUBLE) AS grid_period", "20D AS speed", f"CAST({_CAL12} AS INT) AS calibration_end"), ["k"])
+    return found.select("k", F.posexplode("ranges").alias("row", "r"), "corrected", "projected", F.round("pixels_per_mm", 9).alias("pixels_per_mm"), "grid_mm", F.round("scale_error", 9).alias("scale_error")).select("k", "row", "r.start", "r.end", "corrected", "projected", "pixels_per_mm", "grid_mm", "scale_error")
+
+
+_CALO12 = "CASE WHEN k % 4 = 1 THEN 9 END"
+
+
+@query(f"""WITH {_PX12}, pr AS (SELECT k, w, mm, d, greatest(0, round_even(w * 0.012, 0), coalesce({_CALO12}, 0)) AS lo, least(w - d, round_even(w * 0.18, 0)) AS hi FROM (SELECT k, w, 1::DOUBLE + (k % 3) * 0.0025::DOUBLE AS mm, CAST(round_even((1::DOUBLE + (k % 3) * 0.0025::DOUBLE) * 20 * 10, 0) AS INT) AS d FROM pw)),
+zr AS (SELECT k, row, x, there AS a, x - coalesce(max(x) FILTER (there) OVER (PARTITION BY k, row ORDER BY x), -1) AS zeros, sum(there::INT) OVER (PARTITION BY k, row ORDER BY x) AS cum FROM px),
+wn AS (SELECT *, a AND avg(a::INT) OVER o >= 0.55 AND max(zeros) OVER o <= 3 AS good, cum - a::INT AS before FROM zr WINDOW o AS (PARTITION BY k, row ORDER BY x ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+er AS (SELECT k, row, min(x) AS s, max(x) + 1 AS e FROM (SELECT k, row, x, x - row_number() OVER (PARTITION BY k, row ORDER BY x) AS isl FROM zr JOIN pr USING (k) WHERE a AND x >= lo AND x < least(hi + 1, greatest(lo, round_even(w * 0.08, 0)))) GROUP BY k, row, isl),
+og AS (SELECT k, w, mm, d, hi, row, CASE WHEN {_CALO12} IS NULL THEN greatest(lo, coalesce((SELECT max(e) FROM er WHERE er.k = pr.k AND er.row = r.row AND s <= w * 0.045 AND e - s <= greatest(3, round_even(mm * 5.5, 0))), lo)) ELSE lo END AS lo FROM pr, (SELECT unnest(range(12)) AS row) r),
+st AS (SELECT og.k, og.row, w, mm, d, coalesce(min(a.x) FILTER (a.good), CASE WHEN max(b.cum - a.before) >= d * 0.2 THEN arg_max(a.x, (b.cum - a.before, -a.x)) END)::DOUBLE AS s FROM og JOIN wn a ON a.k = og.k AND a.row = og.row AND a.x BETWEEN lo AND hi JOIN wn b ON b.k = a.k AND b.row = a.row AND b.x = a.x + d - 1 WHERE lo <= hi GROUP BY og.k, og.row, w, mm, d),
+rw AS (SELECT *, {_STEP12} + row * {_STEP12} AS ax FROM st WHERE (SELECT count(s) FROM st o WHERE o.k = st.k) = 12), {_THEIL("ps", "s")},
+jn AS (SELECT k, row, w, d, ax, s, p, abs(s - p) AS rest, abs(s - p) > greatest(2, ceil(mm * 0.75)) AS off, count(*) FILTER (abs(s - p) > greatest(2, ceil(mm * 0.75))) OVER (PARTITION BY k) AS corrected FROM rw JOIN ps USING (k, row)),
+mv AS (SELECT *, CASE WHEN corrected <= 3 AND off THEN p ELSE s END AS ns FROM jn),
+ft AS (SELECT k, regr_slope(ns, ax) AS m, regr_intercept(ns, ax) AS b, regr_slope(ns + d, ax) AS m2, regr_intercept(ns + d, ax) AS b2 FROM mv GROUP BY 1),
+ok AS (SELECT k, bool_and(corrected <= 3) AND max(abs(ns - m * ax - b)) <= any_value(w) * 0.025 AND max(abs(ns + d - m2 * ax - b2)) <= any_value(w) * 0.035 AND max(ns) - min(ns) <= any_value(w) * 0.18 AS accepted, max(rest) AS residual FROM mv JOIN ft USING (k) GROUP BY 1)
+SELECT k, CAST(row AS INT) AS row, accepted, CAST(CASE WHEN accepted THEN ns END AS INT) AS "start", CAST(CASE WHEN accepted THEN ns + d END AS INT) AS "end", CAST(corrected AS INT) AS corrected, CAST(residual AS INT) AS residual FROM mv JOIN ok USING (k)""")
+def twelve_row_origins(spark, d):
+    pages, rows, pixels = _twelve(spark, d)
+    found = ranges.twelve_origins(pixels, rows, pages.selectExpr("*", "20D AS speed", f"CAST({_CALO12} AS INT) AS calibration_end"), ["k"])
+    each = found.select("k", "accepted", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("row"), "ranges", "corrected", "residual").withColumn("r", F.get("ranges", F.col("row")))
+    return each.select("k", "row", "accepted", "r.start", "r.end", "corrected", "residual")

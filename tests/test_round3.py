@@ -202,3 +202,59 @@ def test_panels_of_four(spark):
     assert got[0] == (True, [(20 + 52 * i, 70 + 52 * i, "label") for i in range(4)])
     assert got[1] == got[2] == (False, [(22, 72, "window")] + [(72 + 50 * i, 122 + 50 * i, "onset") for i in range(3)])  # no first panel begins later
     assert got[3] == (False, [(12 + 50 * i, 62 + 50 * i, "onset") for i in range(4)]) and 4 not in got
+
+
+def twelve(spark, starts, ends, lean=0, grid=1.0, cal=None, width=240):
+    """One page of twelve rows with ink from start to end of each row."""
+    pages = spark.createDataFrame([(1, width, 170, 20.0, float(grid), cal)], "k int, width int, height int, speed double, grid_period double, calibration_end int")
+    rows = spark.createDataFrame([(1, r, 12 * (r + 1), 1.0) for r in range(12)], "k int, row int, center int, pixels_per_mm double")
+    pixels = spark.createDataFrame([(1, 12 * (r + 1), x, 0.9) for r in range(12) for x in range(starts[r], ends[r])], "k int, y int, x int, ink double")
+    return pixels, rows, pages
+
+
+def plain_line(values):
+    axis = [12.0 * (r + 1) for r in range(12)]
+    slope = float(np.median([(values[j] - values[i]) / (axis[j] - axis[i]) for i in range(12) for j in range(i + 1, 12)]))
+    level = float(np.median([v - slope * a for v, a in zip(values, axis, strict=True)]))
+    return [round(level + slope * a) for a in axis]
+
+
+@pytest.mark.parametrize("spoilt, grid, kept", [((), 1.04, True), ((4,), 5.2, True), ((1, 5, 9), 1.0, True), ((0, 3, 6, 9), 1.0, False), ((), 1.3, False), ((), 3.0, False)])
+def test_rows_agree_on_two_lines(spark, spoilt, grid, kept):
+    starts = [14 + (r * 3) // 4 + (11 if r in spoilt else 0) for r in range(12)]
+    ends = [216 + (r * 3) // 4 for r in range(12)]
+    pixels, rows, pages = twelve(spark, starts, ends, grid=grid)
+    found = ranges.twelve_consensus(pixels, rows, pages, ["k"]).collect()
+    assert len(found) == kept
+    if kept:
+        want = list(zip(plain_line(starts), plain_line(ends), strict=True))
+        assert [tuple(r) for r in found[0]["ranges"]] == want and found[0]["corrected"] == len(spoilt)
+        assert found[0]["projected"] == sum((s, e) != w for s, e, w in zip(starts, ends, want, strict=True))
+        assert found[0]["pixels_per_mm"] == pytest.approx(np.median([e - s for s, e in want]) / 200) and found[0]["grid_mm"] == (1.0 if grid < 3 else 5.0)
+
+
+def test_a_pulse_is_no_beginning(spark):
+    """Ink up to the pulse's end doesn't count; a page without one row has no ranges."""
+    starts, ends = [15] * 12, [225] * 12
+    pixels, rows, pages = twelve(spark, starts, ends, cal=20)
+    assert [tuple(r) for r in ranges.twelve_consensus(pixels, rows, pages, ["k"]).first()["ranges"]] == [(21, 225)] * 12
+    assert ranges.twelve_consensus(pixels.where("y <> 36"), rows, pages, ["k"]).count() == 0 and ranges.twelve_consensus(pixels, rows.where("row < 11"), pages, ["k"]).count() == 0
+    assert ranges.twelve_consensus(pixels, rows, pages.withColumn("grid_period", F.lit(None).cast("double")), ["k"]).count() == 0
+
+
+def test_row_origins(spark):
+    starts = [14 + r // 2 for r in range(12)]
+    spoilt = [s + (9 if r in (2, 7) else 0) for r, s in enumerate(starts)]
+    page = ranges.twelve_origins(*twelve(spark, spoilt, [230] * 12), ["k"]).first()
+    line = plain_line(spoilt)
+    assert page["accepted"] and page["corrected"] == 2 and [r["start"] for r in page["ranges"]] == [line[r] if r in (2, 7) else s for r, s in enumerate(spoilt)]
+    assert all(r["end"] - r["start"] == 200 for r in page["ranges"]) and page["residual"] == max(abs(a - b) for a, b in zip(spoilt, line, strict=True))
+    wild = [14 + (12 if r % 2 else 0) for r in range(12)]
+    page = ranges.twelve_origins(*twelve(spark, wild, [230] * 12), ["k"]).first()
+    assert not page["accepted"] and page["ranges"] is None and page["corrected"] > 3
+    # a short early run is stepped over unless the pulse's place is known; without lasting ink the densest window counts
+    pixels, rows, pages = twelve(spark, starts, [230] * 12)
+    early = pixels.union(pixels.where("x = 20").selectExpr("k", "y", "explode(sequence(3, 6)) AS x", "ink"))
+    assert [r["start"] for r in ranges.twelve_origins(early, rows, pages, ["k"]).first()["ranges"]] == starts
+    sparse = ranges.twelve_origins(pixels.where("x % 3 = 0"), rows, pages, ["k"]).first()
+    assert sparse["accepted"] and all(r["start"] <= s + 2 for r, s in zip(sparse["ranges"], starts, strict=True))
