@@ -50,3 +50,5 @@ SIX_BY_TWO = {"seconds": 5.0, "narrow": 0.02, "wide": 0.42, "widest": 0.60, "sus
 THREE_BY_FOUR = {"seconds": 2.5, "narrow": 0.055, "widest": 1.08, "label": 0.06, "search": (0.04, 0.36), "window": 0.04}
 TWELVE = {"seconds": 10.0, "support": 0.70, "band": 0.20, "origin_band": 0.055, "left": (0.04, 0.20), "right": (0.80, 0.98), "window": 0.04, "continuity": 0.45, "edges": 2, "corrected": 3, "tolerance_mm": 0.75, "span": (0.78, 0.96), "scale": 0.12, "mm": (1.0, 40.0)}
 TWELVE_ORIGIN = {"least": 80, "widest": 0.97, "first": 0.012, "last": 0.18, "early": 0.08, "early_run": 0.045, "pulse_mm": 5.5, "onset": 0.012, "onset_mm": 6.0, "start_fit": 0.025, "end_fit": 0.035, "spread": 0.18}
+LABEL_ROWS = [["I", "aVR", "V1", "V4"], ["II", "aVL", "V2", "V5"], ["III", "aVF", "V3", "V6"]]
+LABEL_GRID = {"columns": (0.12, 0.30), "rows": (0.09, 0.30), "skew": 0.06, "font": (0.02, 0.18), "x": 0.04, "y_font": 0.6, "y": 0.04, "rhythm_x": 0.12, "rhythm_y": 0.25, "box": (0.65, 0.6, 3.4)}
