@@ -12,8 +12,8 @@ density falls below it are dropped if they are mostly link-like.
 
 What counts: elements that are no text (scripts, styles, forms, ...) or that the tag itself names as something else (nav,
 footer, aside, a header outside the article) are left out. Text in links is link-like, and so is text in an element whose
-role, or a whole class or id, names it as a menu, notice, advert, reader comment and the like: such text lowers a density,
-and it is the density that decides. An `article` or `main` is the place to look in unless the text outside of it is more
+role, class or id, as a whole or by one of its parts, names it as a menu, notice, advert, reader comment and the like: such
+text lowers a density, and it is the density that decides, inside of an article too. An `article` or `main` is the place to look in unless the text outside of it is more
 than three times its own; it is then taken as a whole, so that a title beside the densest part stays.
 
 Text: character references decoded, white space inside a block one blank, trimmed, blocks joined in page order by one \\n.
@@ -28,6 +28,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +45,12 @@ NEVER = frozenset("nav footer aside form header button dialog menu head script s
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Whole classes and ids whose text is link-like.
 BOILER = frozenset("ad ads adv advert advertisement advertising adsbygoogle banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar toolbar share sharing social related recommended recommendations comment comments disqus reply replies respond newsletter subscribe signup login cookie cookies consent gdpr notice popup modal overlay widget pagination pager tags metadata byline copyright disclaimer skip hidden ad-banner ad-slot cookie-banner cookie-notice comment-list related-posts share-buttons social-links site-header site-footer".split())
+#: Parts of a class or id, between hyphens, underscores and inner capitals, that do so by themselves ...
+BOILER_PARTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense breadcrumb breadcrumbs comment comments commenting consent cookie cookies disqus gdpr newsletter newsletters notice notices paywall popup promo promos promoted promotion reply replies signup sidebar sponsor sponsored sponsors subscribe subscription".split())
+#: ... and parts that do so together: what is listed, and as what.
+BOILER_KINDS = frozenset("related recommended recommendations popular trending latest more share sharing social follow read next".split())
+BOILER_LISTS = frozenset("posts post articles stories links link buttons button bar icons items news reads media widget widgets box".split())
+_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}), "body": frozenset({"head"}),
@@ -70,14 +77,22 @@ class Node:
         return [p for p in self.parts if isinstance(p, Node) and not p.dropped]
 
 
+@lru_cache(100_000)
+def _boiler(name: str) -> bool:
+    """Whether parts of a class or id name what isn't the article."""
+    parts = frozenset(part.lower() for part in _PART.findall(name))
+    return not BOILER_PARTS.isdisjoint(parts) or not (BOILER_KINDS.isdisjoint(parts) or BOILER_LISTS.isdisjoint(parts))
+
+
 def _named(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is hidden; whether its role, class or id makes its text link-like."""
     hidden = linkish = False
     for m in _ATTR.finditer(attributes):
         name = (m[1] or m[3]).lower()
-        value = (m[2] or "").strip("\"'").lower()
+        said = (m[2] or "").strip("\"'")
+        value = said.lower()
         if name in ("class", "id") and tag not in ("article", "main", "body"):
-            linkish |= not BOILER.isdisjoint(value.split())
+            linkish |= not BOILER.isdisjoint(value.split()) or any(map(_boiler, said.split()))
         linkish |= name == "role" and value in ROLES
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value))
     return hidden, linkish

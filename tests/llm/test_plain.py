@@ -204,3 +204,12 @@ def test_decontamination_keeps_clashing_columns(spark):
     assert cut.schema == docs.schema and {r["doc_id"]: r["n_words"] for r in cut.collect()} == {1: 5, 2: 6}
     assert [r["n_words"] for r in decontam.find_benchmark(docs, bench).orderBy("doc_id").collect()] == [4, 2]
     assert [r["c"] for r in docs.select(F.count("*").alias("c")).collect()] == [2]
+
+
+def test_what_stands_inside_an_article_but_is_not_of_it():
+    long = "Long text about the river and the stones in it, which nobody has counted, since they move every spring. " * 5
+    names = {"newsletter-signup": False, "comments-list": False, "userComments": False, "promo_box": False, "related-posts": False, "share-buttons": False, "ad-slot": False, "adSlot": False, "cookie_notice": False, "social-science": True, "market-share": True, "related-work": True, "advance-notes": True, "lead": True}
+    for name, stays in names.items():
+        for page in ('<body><article><h1>T</h1><p>{0}</p><div class="{1}"><p>Extra words here</p></div><p>{0}</p></article></body>', '<body><div class="post"><p>{0}</p><div id="{1}"><p>Extra words here</p></div><p>{0}</p></div></body>'):
+            text = html_extract.extract(page.format(long, name))
+            assert ("Extra words" in text) == stays and text.count("Long text") == 10, name
