@@ -52,8 +52,12 @@ UNCERTAINTY = "lead string, lead_sample int, t_s_at_500hz double, canonical_samp
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder's name below spark.checkpoint.dir; below a temporary folder only for a session of one process."""
+    """A new folder's name below spark.checkpoint.dir, or the context's checkpoint folder; below a temporary folder only for a
+    session of one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = own.get() if own.isDefined() else None
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

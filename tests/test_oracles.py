@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lacuna import queries, queries_alignment, queries_capture, queries_contracts, queries_crossing, queries_curves, queries_fields, queries_more, queries_paths, queries_ranges, queries_reports, queries_source, queries_trust  # noqa: F401
+from lacuna import queries, queries_alignment, queries_bundles, queries_capture, queries_contracts, queries_crossing, queries_curves, queries_fields, queries_more, queries_paths, queries_ranges, queries_reports, queries_source, queries_trust  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
