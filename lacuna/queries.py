@@ -386,13 +386,15 @@ def publication_decision(spark, d):
     return selection.first_source(s, ["run"], sources, ["candidate"]).select("run", "source", "rank", "candidate")
 
 
-@query(f"""WITH {V7}, x AS (SELECT kind, layout, crop, avg(score) AS p FROM v7 WHERE crop < 2 GROUP BY 1, 2, 3), y AS (SELECT kind, layout, avg(score) AS p FROM v7 WHERE layout = 'F' GROUP BY 1, 2), z AS (SELECT layout, avg(score) AS p FROM v7 GROUP BY 1), b AS (SELECT min(p) AS best FROM z),
+@query(f"""WITH {V7}, x AS (SELECT kind, layout, crop, avg(score) AS p FROM v7 GROUP BY 1, 2, 3 QUALIFY count(*) >= avg(count(*)) OVER ()), y AS (SELECT kind, layout, avg(score) AS p FROM v7 GROUP BY 1, 2 QUALIFY count(*) >= avg(count(*)) OVER ()), z AS (SELECT layout, avg(score) AS p FROM v7 GROUP BY 1), b AS (SELECT min(p) AS best FROM z),
 j AS (SELECT v7.run, v7.candidate, v7.crop, v7.score, coalesce(x.p, y.p, z.p) AS p, CASE WHEN x.p IS NOT NULL THEN 'context' WHEN y.p IS NOT NULL THEN 'family' ELSE 'layout' END AS level FROM v7 LEFT JOIN x ON x.kind = v7.kind AND x.layout = v7.layout AND x.crop = v7.crop LEFT JOIN y ON y.kind = v7.kind AND y.layout = v7.layout LEFT JOIN z ON z.layout = v7.layout)
 SELECT level, count(*) AS n, round(avg(floor(round(greatest(0, p - best) * 100, 6) + 0.5)), 6) AS penalty FROM j, b GROUP BY 1""")
 def hierarchical_priors(spark, d):
+    """A context or family of candidates has a prior of its own if it holds as many of them as the others on average."""
     p = views.pools(spark, d)
-    prior = lambda keys, rows: rows.groupBy(*keys).agg(F.avg("score").alias("prior"))
-    context, family, layout = prior(["kind", "layout", "crop"], p.where("crop < 2")), prior(["kind", "layout"], p.where("layout = 'F'")), prior(["layout"], p)
+    held = lambda keys: p.groupBy(*keys).agg(F.avg("score").alias("prior"), F.count("*").alias("n"))
+    prior = lambda keys: held(keys).crossJoin(F.broadcast(held(keys).agg(F.avg("n").alias("mean")))).where("n >= mean").select(*keys, "prior")
+    context, family, layout = prior(["kind", "layout", "crop"]), prior(["kind", "layout"]), held(["layout"]).drop("n")
     found = selection.first_match(p, [("context", context, ["kind", "layout", "crop"]), ("family", family, ["kind", "layout"]), ("layout", layout, ["layout"])], "prior")
     best = layout.agg(F.min("prior").alias("best"))
     scored = found.crossJoin(F.broadcast(best)).withColumn("penalty", gates.js_round(F.round(F.greatest(F.lit(0.0), F.col("prior") - F.col("best")) * policy.PRIOR_PENALTY, 6)))
@@ -484,12 +486,12 @@ def latest_review(spark, d):
     return last.select("run", "turn", "event_count", "sha", evidence.review_status(decision, F.lit(None).cast("string")).alias("status"))
 
 
-@query("""WITH f AS (SELECT doc_id, length(text) AS size_bytes, sha256(text) AS sha256 FROM documents WHERE doc_id % 11 <> 0), m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN length(text) + 1 ELSE length(text) END AS size_bytes, CASE WHEN doc_id % 13 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS sha256 FROM documents)
+@query("""WITH f AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, length(text) AS size_bytes, sha256(text) AS sha256 FROM documents), m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN length(text) + 1 ELSE length(text) END AS size_bytes, CASE WHEN doc_id % 13 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS sha256 FROM documents)
 SELECT m.doc_id, CASE WHEN f.sha256 IS NULL THEN 'missing' WHEN f.size_bytes <> m.size_bytes THEN 'size_mismatch' WHEN f.sha256 <> m.sha256 THEN 'hash_mismatch' ELSE 'verified' END AS state FROM m LEFT JOIN f USING (doc_id)""")
 def verified_assets(spark, d):
     doc = views.read(spark, d, "documents").select("doc_id", "text")
     size = F.length("text")
-    files = doc.where("doc_id % 11 <> 0").select("doc_id", size.alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
+    files = doc.select(F.expr("CASE WHEN doc_id % 11 = 0 THEN -doc_id - 1 ELSE doc_id END").alias("doc_id"), size.alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
     manifest = doc.select("doc_id", F.when(F.col("doc_id") % 7 == 0, size + 1).otherwise(size).alias("size_bytes"), F.when(F.col("doc_id") % 13 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("sha256"))
     return evidence.verified(files, manifest, ["doc_id"]).select("doc_id", "state")
 
@@ -531,9 +533,10 @@ def homography(spark, d):
     return s.select("s_suppkey", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"), F.round("q.x", 6).alias("back_x"), F.round("q.y", 6).alias("back_y"), geometry.invertible(F.col("m")).alias("ok"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l_orderkey, l_linenumber, 1 AS n FROM lineitem WHERE l_quantity < 2 UNION ALL SELECT o_orderkey, 0, 1 FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT o_orderkey, 0, 1 FROM orders WHERE o_orderstatus = 'P') GROUP BY 1, 2""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(sum(n) AS BIGINT) AS n FROM (SELECT l_orderkey, CASE WHEN l_quantity < 2 THEN 0 ELSE l_linenumber END AS l_linenumber, 1 AS n FROM lineitem UNION ALL SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 0 ELSE 1 END, 1 FROM orders UNION ALL SELECT o_orderkey, 0, 1 FROM orders) GROUP BY 1, 2""")
 def candidate_pool_union(spark, d):
     li, o = views.read(spark, d, "lineitem"), views.read(spark, d, "orders")
-    parts = [li.where("l_quantity < 2").select("l_orderkey", "l_linenumber"), o.where("o_totalprice > 400000").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber")), o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))]
+    line = F.when(F.col("l_quantity") < 2, 0).otherwise(F.col("l_linenumber"))
+    parts = [li.select("l_orderkey", line.alias("l_linenumber")), o.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_totalprice") > 400000, 0).otherwise(1).alias("l_linenumber")), o.select(F.col("o_orderkey").alias("l_orderkey"))]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
     return every.groupBy("l_orderkey", F.coalesce("l_linenumber", F.lit(0)).alias("l_linenumber")).agg(F.count("*").alias("n"))
