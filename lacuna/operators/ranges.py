@@ -257,6 +257,36 @@ def edge_span(cum: Column, width: Column) -> Column:
     return F.when((width >= 100) & (end > start), _span(start, end))
 
 
+def sustained_span(cum: Column, width: Column) -> Column:
+    """(start, end) of a row's trace whose first and last stretch begin and end in a solid run, are dense, and have short holes
+    only; null where either is missing."""
+    s, p = policy.SUSTAINED, policy.TWELVE
+    ahead, solid = F.greatest(F.lit(s["least"]), whole(width * F.lit(s["window"]))), F.greatest(F.lit(s["run_least"]), whole(width * F.lit(s["run"])))
+    hole = F.greatest(F.lit(s["hole_least"]), F.floor(ahead / 4).cast("int"))
+    left, right = (tuple(whole(width * F.lit(v)) for v in p[side]) for side in ("left", "right"))
+    good = lambda lo, hi: (inside(cum, lo, hi) / ahead >= F.lit(s["share"])) & no_hole_beyond(cum, lo, hi, hole)
+    start = F.get(F.filter(each(left[0], F.least(left[1], width - ahead)), lambda x: (inside(cum, x, x + solid) == solid) & good(x, x + ahead)), F.lit(0))
+    end = F.try_element_at(F.filter(each(F.greatest(right[0], ahead), right[1]), lambda e: (inside(cum, e - solid, e) == solid) & good(e - ahead, e)), F.lit(-1))
+    return F.when((width >= 100) & (end > start), _span(start, end))
+
+
+def row_spans(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
+    """by, row, edges, sustained (start, end or null) of every row of pages with twelve rows; pages: by.., width, height."""
+    p = policy.TWELVE
+    held = pages.join(row_facts(rows, by), by).where(F.size("centers") == 12).withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["band"]))))
+    sums = prefixed(supports(pixels, held, by, {"ink": c("radius")}), held.select(*by, "width"), by, [*by, "row"], {"cum": c("ink") >= p["support"]}).join(held.select(*by, "width"), by)
+    return sums.select(*by, "row", edge_span(c("cum"), c("width")).alias("edges"), sustained_span(c("cum"), c("width")).alias("sustained"))
+
+
+def disagrees(spans: DataFrame, pages: DataFrame, by: list[str], span: str) -> DataFrame:
+    """by, disagrees: whether a page's own range (start, end, tolerance) lies off the median start or end of its twelve rows;
+    a page without all of them, or with a negative tolerance, disagrees."""
+    found = spans.where(c(span).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(f"{span}.start", F.lit(0.5)).alias("_s"), F.percentile(f"{span}.end", F.lit(0.5)).alias("_e"))
+    both = pages.join(found, by, "left")
+    agrees = (c("_n") == 12) & (c("tolerance") >= 0) & (F.abs(c("_s") - c("start")) <= c("tolerance")) & (F.abs(c("_e") - c("end")) <= c("tolerance"))
+    return both.select(*by, (~F.coalesce(agrees, F.lit(False))).alias("disagrees"))
+
+
 def twelve_consensus(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
     """by, ranges (start, end of each of twelve rows), corrected, projected, pixels_per_mm, grid_mm, scale_error.
 

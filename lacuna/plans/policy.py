@@ -53,3 +53,4 @@ TWELVE_ORIGIN = {"least": 80, "widest": 0.97, "first": 0.012, "last": 0.18, "ear
 LABEL_ROWS = [["I", "aVR", "V1", "V4"], ["II", "aVL", "V2", "V5"], ["III", "aVF", "V3", "V6"]]
 LABEL_GRID = {"columns": (0.12, 0.30), "rows": (0.09, 0.30), "skew": 0.06, "font": (0.02, 0.18), "x": 0.04, "y_font": 0.6, "y": 0.04, "rhythm_x": 0.12, "rhythm_y": 0.25, "box": (0.65, 0.6, 3.4)}
 EXCURSION = {"near": 0.04, "flank": (0.08, 0.12), "band": 2.0, "band_share": 0.1, "pulse": 0.3, "known": 2, "peers": 3, "peer_columns": 2, "peer_valid": 0.9}
+SUSTAINED = {"window": 0.024, "least": 24, "run": 0.004, "run_least": 5, "hole_least": 4, "share": 0.72}

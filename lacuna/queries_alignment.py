@@ -29,11 +29,11 @@ al AS (SELECT p.* EXCLUDE (va, vb), scale, shift, off, rmse FROM {pairs} AS p LE
 
 
 @query(f"""WITH vp AS (SELECT x.vec_id // {RUN} AS run, x.label, x.vec_id AS a, y.vec_id AS b, x.embedding::DOUBLE[] AS va, y.embedding::DOUBLE[] AS vb FROM embeddings x JOIN embeddings y ON x.vec_id // {RUN} = y.vec_id // {RUN} AND x.label = y.label AND x.vec_id < y.vec_id),
-{_search("vp", "run, label")} SELECT a, b, scale, CAST(shift AS INT) AS shift, round(off, 6) AS "offset", round(rmse, 6) AS rmse FROM al""")
+{_search("vp", "run, label")} SELECT a, b, scale, CAST(shift AS INT) AS shift, round(off, 9) AS "offset", round(rmse, 9) AS rmse FROM al""")
 def aligned_series(spark, d):
     """The alignment search of the policy over all pairs of a run's candidates of one label: a, b (a < b), scale, shift, offset, rmse."""
     e = views.read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / RUN).alias("run"), "label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("values"))
-    return alignment.pair_table(e, ["run", "label"], "id").select("a", "b", "scale", "shift", F.round("offset", 6).alias("offset"), F.round("rmse", 6).alias("rmse"))
+    return alignment.pair_table(e, ["run", "label"], "id").select("a", "b", "scale", "shift", F.round("offset", 9).alias("offset"), F.round("rmse", 9).alias("rmse"))
 
 
 #: Users pooled to a run, so that most days have a value of each candidate.

@@ -153,3 +153,25 @@ def twelve_row_origins(spark, d):
     found = ranges.twelve_origins(pixels, rows, pages.selectExpr("*", "20D AS speed", f"CAST({_CALO12} AS INT) AS calibration_end"), ["k"])
     each = found.select("k", "accepted", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("row"), "ranges", "corrected", "residual").withColumn("r", F.get("ranges", F.col("row")))
     return each.select("k", "row", "accepted", "r.start", "r.end", "corrected", "residual")
+
+
+_SPANS = f"""{_PX12}, ac AS (SELECT k, w, row, x, there AND ink >= 0.7 AS a FROM px), zr AS (SELECT *, x - coalesce(max(x) FILTER (a) OVER (PARTITION BY k, row ORDER BY x), -1) AS zeros FROM ac),
+sm AS (SELECT k, w, row, x, a, avg(a::INT) OVER n32 AS nx, avg(a::INT) OVER p32 AS pv, min(a::INT) OVER (PARTITION BY k, row ORDER BY x ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) = 1 AS solid, min(a::INT) OVER (PARTITION BY k, row ORDER BY x ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 1 AS solid_before,
+avg(a::INT) OVER n24 >= 0.72 AND max(zeros) OVER n24 <= 6 AS dense, avg(a::INT) OVER p24 >= 0.72 AND max(least(zeros, 24)) OVER p24 <= 6 AS dense_before FROM zr
+WINDOW n32 AS (PARTITION BY k, row ORDER BY x ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING), p32 AS (PARTITION BY k, row ORDER BY x ROWS BETWEEN 31 PRECEDING AND CURRENT ROW), n24 AS (PARTITION BY k, row ORDER BY x ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING), p24 AS (PARTITION BY k, row ORDER BY x ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+rw AS (SELECT k, row, min(x) FILTER (a AND nx >= 0.45 AND x BETWEEN round_even(w * 0.04, 0) AND round_even(w * 0.20, 0)) AS s, 1 + max(x) FILTER (a AND pv >= 0.45 AND x >= round_even(w * 0.80, 0) AND x < round_even(w * 0.98, 0)) AS e,
+min(x) FILTER (solid AND dense AND x BETWEEN round_even(w * 0.04, 0) AND round_even(w * 0.20, 0)) AS s2, 1 + max(x) FILTER (solid_before AND dense_before AND x + 1 BETWEEN round_even(w * 0.80, 0) AND round_even(w * 0.98, 0)) AS e2 FROM sm GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SPANS} SELECT k, CAST(row AS INT) AS row, CAST(CASE WHEN e > s THEN s END AS INT) AS edge_start, CAST(CASE WHEN e > s THEN e END AS INT) AS edge_end, CAST(CASE WHEN e2 > s2 THEN s2 END AS INT) AS sustained_start, CAST(CASE WHEN e2 > s2 THEN e2 END AS INT) AS sustained_end FROM rw""")
+def twelve_row_spans(spark, d):
+    pages, rows, pixels = _twelve(spark, d)
+    found = ranges.row_spans(pixels, rows.drop("pixels_per_mm"), pages, ["k"])
+    return found.selectExpr("k", "row", "edges.start AS edge_start", "edges.end AS edge_end", "sustained.start AS sustained_start", "sustained.end AS sustained_end")
+
+
+@query(f"""WITH {_SPANS}, md AS (SELECT k, count(*) AS n, median(s) AS s, median(e) AS e FROM rw WHERE e > s GROUP BY 1) SELECT pw.k, NOT coalesce(n = 12 AND k % 5 - 1 >= 0 AND abs(s - 17) <= k % 5 - 1 AND abs(e - 217) <= k % 5 - 1, FALSE) AS disagrees FROM pw LEFT JOIN md USING (k)""")
+def global_timing_disagrees(spark, d):
+    pages, rows, pixels = _twelve(spark, d)
+    own = pages.selectExpr("k", "17 AS start", "217 AS end", "k % 5 - 1 AS tolerance")
+    return ranges.disagrees(ranges.row_spans(pixels, rows.drop("pixels_per_mm"), pages, ["k"]), own, ["k"], "edges")

@@ -258,3 +258,38 @@ def test_row_origins(spark):
     assert [r["start"] for r in ranges.twelve_origins(early, rows, pages, ["k"]).first()["ranges"]] == starts
     sparse = ranges.twelve_origins(pixels.where("x % 3 = 0"), rows, pages, ["k"]).first()
     assert sparse["accepted"] and all(r["start"] <= s + 2 for r, s in zip(sparse["ranges"], starts, strict=True))
+
+
+def plain_spans(active):
+    """(edge span, sustained span) of one row, column by column."""
+    width = len(active)
+    left, right = range(round(width * 0.04), round(width * 0.20) + 1), range(round(width * 0.80), round(width * 0.98) + 1)
+    hole = lambda w: max((len(list(g)) for v, g in itertools.groupby(w) if not v), default=0)
+    near, ahead, solid = max(32, round(width * 0.04)), max(24, round(width * 0.024)), max(5, round(width * 0.004))
+    good = lambda w: len(w) == ahead and sum(w) / ahead >= 0.72 and hole(w) <= max(4, ahead // 4)
+    s = next((x for x in left if active[x] and np.mean(active[x : x + near]) >= 0.45), None)
+    e = next((x + 1 for x in reversed(right) if x < right[-1] and active[x] and np.mean(active[max(0, x + 1 - near) : x + 1]) >= 0.45), None)
+    s2 = next((x for x in left if all(active[x : x + solid]) and good(active[x : x + ahead])), None)
+    e2 = next((x for x in reversed(right) if all(active[x - solid : x]) and good(active[x - ahead : x])), None)
+    return (s, e) if None not in (s, e) and e > s else None, (s2, e2) if None not in (s2, e2) and e2 > s2 else None
+
+
+def test_spans_of_rows(spark):
+    rng = random.Random(7)
+    width, rows_of = 260, []
+    for page in range(4):
+        for r in range(12):
+            start, end, share = rng.randint(5, 60), rng.randint(190, 258), rng.choice([0.6, 0.8, 0.9, 1.0])
+            rows_of.append((page, r, [start <= x < end and rng.random() < share for x in range(width)]))
+    pages = spark.createDataFrame([(k, width, 170, 20, 240, k * 15 - 5) for k in range(4)], "k int, width int, height int, start int, end int, tolerance int")
+    rows = spark.createDataFrame([(k, r, 12 * (r + 1)) for k in range(4) for r in range(12)], "k int, row int, center int")
+    pixels = spark.createDataFrame([(k, 12 * (r + 1) + (x + r) % 3 - 1, x, 0.7 if on else 0.69) for k, r, active in rows_of for x, on in enumerate(active)], "k int, y int, x int, ink double")
+    spans = ranges.row_spans(pixels, rows, pages.select("k", "width", "height"), ["k"])
+    got = {(r["k"], r["row"]): (r["edges"] and tuple(r["edges"]), r["sustained"] and tuple(r["sustained"])) for r in spans.collect()}
+    want = {(k, r): plain_spans(active) for k, r, active in rows_of}
+    assert got == want and len({w[1] is None for w in want.values()}) == 2
+    said = {r["k"]: r["disagrees"] for r in ranges.disagrees(spans, pages.select("k", "start", "end", "tolerance"), ["k"], "edges").collect()}
+    for k in range(4):
+        mine = [want[k, r][0] for r in range(12)]
+        ok = None not in mine and k * 15 - 5 >= 0 and abs(np.median([m[0] for m in mine]) - 20) <= k * 15 - 5 and abs(np.median([m[1] for m in mine]) - 240) <= k * 15 - 5
+        assert said[k] == (not ok)

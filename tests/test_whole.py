@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lacuna import queries, queries_more  # noqa: F401
+from lacuna import queries, queries_alignment, queries_more  # noqa: F401
 from lacuna.functions import kernels
 from lacuna.operators import islands, panels, paths
 
