@@ -253,7 +253,7 @@ def test_queries_have_the_columns_of_their_contracts(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "u", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
-    want = {"packed": "conv_id start length sequence_id offset", "op2": "page_id url text n_chars", "op3": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op5": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "doc_id held_out score predicted", "op8": "doc_id n_words n_hit n_items items_sha256 contaminated", "op9": "doc_id start n_tokens ids_crc32", "op10": "doc_id n_shingles component_id"}
+    want = {"op11": "lang rank phrase a l r n score", "op12": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op13": "page_id payload_bytes payload_digest record_type refers_to", "packed": "conv_id start length sequence_id offset", "op2": "page_id url text n_chars", "op3": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op5": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "doc_id held_out score predicted", "op8": "doc_id n_words n_hit n_items items_sha256 contaminated", "op9": "doc_id start n_tokens ids_crc32", "op10": "doc_id n_shingles component_id"}
     for name, f in queries.QUERIES.items():
         columns = f(spark, folder).columns
         assert set(want.get(name.split("_")[0], "doc_id").split()) <= set(columns)
