@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lacuna.plans import policy
 
@@ -13,18 +19,42 @@ from .islands import spans
 def affine_sample(df: DataFrame, by: list[str], hypotheses: DataFrame, center: Column, n: Column) -> DataFrame:
     """by, hypothesis columns, sample, value at center + (sample - center) * scale + shift, linear between neighbours.
 
-    Null where either neighbour is missing or outside. df has by, sample, value and a column array `values` would not
-    scale to long series; both neighbours come from one self-join on the floor sample instead, with the next value
-    carried by a look ahead.
+    Null where the upper neighbour is missing; samples whose lower neighbour is missing or that fall outside don't appear. df has
+    by, sample (each once), value; center and n are literals or made of by. A series becomes one row with its samples in order,
+    so only the series itself is shuffled, and all of its hypotheses are tried where it lies. The hypotheses are few.
     """
-    w = Window.partitionBy(*by).orderBy("sample")
-    pairs = df.select(*by, F.col("sample").alias("lo"), F.col("value").alias("v0"), F.lead("sample").over(w).alias("hi"), F.lead("value").over(w).alias("v1"))
-    at = center + (F.col("sample") - center) * F.col("scale") + F.col("shift")
-    grid = df.select(*by, "sample", n.alias("n")).crossJoin(F.broadcast(hypotheses)).withColumn("at", at).withColumn("lo", F.floor("at").cast("int"))
-    got = grid.join(pairs, [*by, "lo"])
-    part = F.col("at") - F.col("lo")
-    value = F.when(part == 0, F.col("v0")).when(F.col("hi") == F.col("lo") + 1, F.col("v0") + (F.col("v1") - F.col("v0")) * part)
-    return got.where(F.col("at") <= F.col("n") - 1).select(*by, *hypotheses.columns, "sample", value.alias("value"))
+    fields, tried = df.schema, hypotheses.collect()
+    kinds = StructType([*(fields[b] for b in by), *hypotheses.schema, fields["sample"], StructField("value", DoubleType())])
+    listed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("sample", F.col("value").cast("double").alias("value")))).alias("_l"))
+    held = listed.select(*by, F.col("_l.sample").alias("_s"), F.col("_l.value").alias("_v"), center.cast("double").alias("_c"), n.cast("double").alias("_n"))
+    scales, shifts = (np.array([h[k] for h in tried], dtype=float)[:, None] for k in ("scale", "shift"))
+    step = 1 << 20  # rows made at once
+    schema = to_arrow_schema(kinds)
+    names = hypotheses.columns
+
+    def made(row: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+        samples, values = (row.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("_s", "_v"))
+        values, c, last = values.astype(float), row.column("_c")[i].as_py(), row.column("_n")[i].as_py()
+        empty = row.column("_v")[i].values.is_null().to_numpy(zero_copy_only=False)
+        few = max(1, step // len(samples))
+        for lo in range(0, len(scales), few):
+            at = c + (samples[None, :] - c) * scales[lo : lo + few] + shifts[lo : lo + few]
+            low = np.floor(at)
+            k = np.searchsorted(samples, low).clip(0, len(samples) - 1)
+            h, j = np.nonzero((samples[k] == low) & (at <= last - 1))
+            k, part, above = k[h, j], (at - low)[h, j], np.minimum(k[h, j] + 1, len(samples) - 1)
+            bare = empty[k] | (part != 0) & ((samples[above] != samples[k] + 1) | empty[above])
+            value = np.where(part == 0, values[k], values[k] + (values[above] - values[k]) * np.where(part == 0, 0, part))
+            keys = [pa.repeat(row.column(b)[i], len(h)) for b in by]
+            trial = [pa.array([t[name] for t in tried[lo : lo + few]], schema.field(name).type).take(pa.array(h)) for name in names]
+            yield pa.RecordBatch.from_arrays([*keys, *trial, pa.array(samples[j], schema.field("sample").type), pa.array(value, mask=bare)], schema=schema)
+
+    def tries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from made(batch, i)
+
+    return held.mapInArrow(tries, kinds)
 
 
 def hypothesis_table(spark, radius: int = policy.ALIGN_RADIUS, scales: list[float] | None = None) -> DataFrame:
