@@ -1,8 +1,7 @@
 """Where the time axis of a page lies: spans of source ink found from its columns, one row of columns at a time.
 
 Pixels (by.., y, x, ink) meet the bands of a page's rows by an equal y; a band's strongest ink in a column is its support.
-Whether a column is active is one number for each column, of which a window makes prefix sums; a page then is one row with an
-array of these, so that every span, window and run is read by plain expressions. The arrays are as long as a page is wide.
+Whether a column is active is one flag for each column; a page then is one row with an array of their prefix sums, so that every span, window and run is read by plain expressions. The arrays are as long as a page is wide.
 
 Pages (by.., width, height, and what each function names) without rows, or with another number of rows than a function is for,
 or with a row outside of the page, have no ranges; so do pages with a null measure. Columns without ink count as empty. Rows
@@ -11,7 +10,7 @@ may repeat pixels: the strongest counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.plans import policy
@@ -42,26 +41,36 @@ def row_facts(rows: DataFrame, by: list[str]) -> DataFrame:
     return held.withColumn("spacing", F.when(F.size("centers") > 1, middle(gaps)))
 
 
+def with_page(df: DataFrame, pages: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df joined with its pages by a merge: both lie by page, and the tables grow with the pages behind generators of which an
+    estimated size, that a broadcast would go by, knows nothing."""
+    return df.join(pages.hint("merge"), by, how)
+
+
 def supports(pixels: DataFrame, pages: DataFrame, by: list[str], radii: dict[str, Column]) -> DataFrame:
-    """by, row (from 0), x and for each name of radii (columns over a page) the strongest ink within that distance of the row."""
+    """by, row (from 0), x and for each name of radii (columns over a page) the strongest ink within that distance of the row.
+
+    Pixels are dealt by page, once: a page holds for each y the rows that are near, and everything behind stays by page.
+    """
     widest = F.greatest(*radii.values()) if len(radii) > 1 else next(iter(radii.values()))
-    bands = pages.select(*by, *(r.alias(f"_{n}") for n, r in radii.items()), widest.alias("_widest"), F.posexplode("centers").alias("row", "center"))
-    lines = bands.select(*by, "row", *(f"_{n}" for n in radii), F.explode(F.sequence(-c("_widest"), c("_widest"))).alias("off"), "center").withColumn("y", c("center") + c("off"))
-    met = pixels.join(lines, [*by, "y"])
-    return met.groupBy(*by, "row", "x").agg(*(F.max(F.when(F.abs("off") <= c(f"_{n}"), c("ink"))).alias(n) for n in radii))
+    bands = pages.select(*by, *(r.alias(f"_{n}") for n, r in radii.items()), widest.alias("_widest"), "centers").withColumn("_top", F.array_min("centers") - c("_widest"))
+    near = lambda y: F.filter(F.transform("centers", lambda v, i: F.struct(i.alias("row"), F.abs(y - v).alias("off"))), lambda m: m["off"] <= c("_widest"))
+    lines = bands.select(*by, *(f"_{n}" for n in radii), "_top", F.transform(each(c("_top"), F.array_max("centers") + c("_widest")), near).alias("_near"))
+    met = with_page(pixels, lines, by).select(*by, "x", "ink", *(f"_{n}" for n in radii), F.explode(F.get("_near", (c("y") - c("_top")).cast("int"))).alias("_m"))
+    return met.groupBy(*by, c("_m.row").alias("row"), "x").agg(*(F.max(F.when(c("_m.off") <= c(f"_{n}"), c("ink"))).alias(n) for n in radii))
 
 
 def prefixed(columns: DataFrame, pages: DataFrame, by: list[str], keys: list[str], flags: dict[str, Column]) -> DataFrame:
     """keys and for each name of flags an array: how many columns before x (0 to the width) hold the flag.
 
-    columns: keys.., x; pages: by.., width and whatever else a flag reads; keys begin with `by`.
+    columns: keys.., x (each once); pages: by.., width and whatever else a flag reads; keys begin with `by`.
     """
-    grid = pages.join(columns.select(*keys).distinct(), by) if keys != by else pages
-    dense = grid.select(*keys, *(n for n in pages.columns if n not in keys), F.explode(F.sequence(F.lit(0), c("width") - 1)).alias("x")).join(columns, [*keys, "x"], "left")
-    before = Window.partitionBy(*keys).orderBy("x")
-    counted = dense.select(*keys, "x", *(F.sum(F.coalesce(f, F.lit(False)).cast("int")).over(before).cast("int").alias(n) for n, f in flags.items()))
-    listed = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", *flags))).alias("_l"))
-    return listed.select(*keys, *(F.concat(F.array(F.lit(0)), c("_l")[n]).alias(n) for n in flags))
+    placed = with_page(columns, pages, by, "right" if keys == by else "inner")
+    on = lambda f: F.sort_array(F.collect_list(F.when(f & (c("x") >= 0) & (c("x") < c("width")), c("x").cast("int"))))
+    listed = placed.groupBy(*keys).agg(F.first("width").cast("int").alias("_w"), *(on(f).alias(f"_{n}") for n, f in flags.items()))
+    ends = listed.select(*keys, *(F.concat(F.array(F.lit(-1)), c(f"_{n}"), F.array("_w")).alias(f"_{n}") for n in flags))
+    held = lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.size(f"_{n}") - 2), lambda i: F.array_repeat(i, F.get(f"_{n}", i + 1) - F.get(f"_{n}", i))))
+    return ends.select(*keys, *(held(n).alias(n) for n in flags))
 
 
 def inside(cum: Column, lo: Column, hi: Column) -> Column:
@@ -111,7 +120,7 @@ def _span(start: Column, end: Column) -> Column:
 def _ready(pages: DataFrame, rows: DataFrame, by: list[str], n_rows: int, seconds: float, reach: list[float | int]) -> DataFrame:
     """Pages with their rows and the width of a panel in columns, without those that no rule can be used on."""
     share, least = reach
-    held = pages.join(row_facts(rows, by), by).where(F.size("centers") == n_rows).withColumn("duration", whole(c("pixels_per_mm") * c("speed") * F.lit(seconds)))
+    held = with_page(pages, row_facts(rows, by), by).where(F.size("centers") == n_rows).withColumn("duration", whole(c("pixels_per_mm") * c("speed") * F.lit(seconds)))
     radius = F.greatest(F.lit(least), whole(c("spacing") * F.lit(share)))
     return held.withColumn("narrow_radius", radius).where((F.array_min("centers") + radius >= 0) & (F.array_max("centers") - radius < c("height")) & (c("duration") >= policy.TIME_RANGES["least"]) & (c("width") > 0))
 
@@ -136,7 +145,7 @@ def six_by_two(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list[st
     found = supports(pixels, ready, by, {"narrow": c("narrow_radius"), "wide": F.greatest(F.lit(3), whole(c("spacing") * F.lit(p["wide"])))})
     sums = prefixed(_shared(found, by, 6), ready.select(*by, "width"), by, by, {"active": c("shared") >= policy.BAND, "inked": c("rows") >= 3})
     d, w = c("duration"), c("width")
-    page = ready.select(*by, "width", "duration").join(sums, by).withColumn("sustained", F.filter(runs(c("inked"), w), lambda r: r["size"] >= d * F.lit(p["sustained"])))
+    page = with_page(sums, ready.select(*by, "width", "duration"), by).withColumn("sustained", F.filter(runs(c("inked"), w), lambda r: r["size"] >= d * F.lit(p["sustained"])))
     between = lambda r, limits: (r["size"] >= d * F.lit(limits[0])) & (r["size"] <= d * F.lit(limits[1]))
     single, double = F.filter("sustained", lambda r: between(r, p["single"])), F.filter("sustained", lambda r: between(r, p["double"]))
     page = page.withColumns({"single": single, "double": double})
@@ -181,7 +190,7 @@ def three_by_four(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list
     d, w = c("duration"), c("width")
     ready = _ready(pages, rows, by, 3, p["seconds"], [p["narrow"], 2]).where(d <= w / 4 * F.lit(p["widest"]))
     found = supports(pixels, ready, by, {"narrow": c("narrow_radius")})
-    page = ready.select(*by, "width", "duration", "label_edges", "pixels_per_mm").join(prefixed(_shared(found, by, 3), ready.select(*by, "width"), by, by, {"active": c("shared") >= policy.BAND}), by)
+    page = with_page(prefixed(_shared(found, by, 3), ready.select(*by, "width"), by, by, {"active": c("shared") >= policy.BAND}), ready.select(*by, "width", "duration", "label_edges", "pixels_per_mm"), by)
 
     active, slack = c("active"), F.greatest(F.lit(4), whole(d * F.lit(p["label"])))
     page = page.withColumn("starts", F.transform("label_edges", lambda e: whole(e - c("pixels_per_mm"))))
@@ -273,8 +282,8 @@ def sustained_span(cum: Column, width: Column) -> Column:
 def row_spans(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
     """by, row, edges, sustained (start, end or null) of every row of pages with twelve rows; pages: by.., width, height."""
     p = policy.TWELVE
-    held = pages.join(row_facts(rows, by), by).where(F.size("centers") == 12).withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["band"]))))
-    sums = prefixed(supports(pixels, held, by, {"ink": c("radius")}), held.select(*by, "width"), by, [*by, "row"], {"cum": c("ink") >= p["support"]}).join(held.select(*by, "width"), by)
+    held = with_page(pages, row_facts(rows, by), by).where(F.size("centers") == 12).withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["band"]))))
+    sums = with_page(prefixed(supports(pixels, held, by, {"ink": c("radius")}), held.select(*by, "width"), by, [*by, "row"], {"cum": c("ink") >= p["support"]}), held.select(*by, "width"), by)
     return sums.select(*by, "row", edge_span(c("cum"), c("width")).alias("edges"), sustained_span(c("cum"), c("width")).alias("sustained"))
 
 
@@ -282,7 +291,7 @@ def disagrees(spans: DataFrame, pages: DataFrame, by: list[str], span: str) -> D
     """by, disagrees: whether a page's own range (start, end, tolerance) lies off the median start or end of its twelve rows;
     a page without all of them, or with a negative tolerance, disagrees."""
     found = spans.where(c(span).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(f"{span}.start", F.lit(0.5)).alias("_s"), F.percentile(f"{span}.end", F.lit(0.5)).alias("_e"))
-    both = pages.join(found, by, "left")
+    both = with_page(pages, found, by, "left")
     agrees = (c("_n") == 12) & (c("tolerance") >= 0) & (F.abs(c("_s") - c("start")) <= c("tolerance")) & (F.abs(c("_e") - c("end")) <= c("tolerance"))
     return both.select(*by, (~F.coalesce(agrees, F.lit(False))).alias("disagrees"))
 
@@ -296,14 +305,14 @@ def twelve_consensus(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: l
     Refused pages don't appear.
     """
     p, w = policy.TWELVE, c("width")
-    held = pages.where((c("grid_period") > 0) & (c("grid_period") < float("inf")) & (c("speed") > 0) & (c("speed") < float("inf"))).join(row_facts(rows, by), by).where(F.size("centers") == 12)
+    held = with_page(pages.where((c("grid_period") > 0) & (c("grid_period") < float("inf")) & (c("speed") > 0) & (c("speed") < float("inf"))), row_facts(rows, by), by).where(F.size("centers") == 12)
     held = held.withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["band"])))).where((F.array_min("centers") + c("radius") >= 0) & (F.array_max("centers") - c("radius") < c("height")) & (w >= 100))
     found = supports(pixels, held, by, {"ink": c("radius")})
     flag = (c("ink") >= p["support"]) & (c("calibration_end").isNull() | (c("x") > c("calibration_end")))
-    spans = prefixed(found, held.select(*by, "width", "calibration_end"), by, [*by, "row"], {"cum": flag}).join(held.select(*by, "width"), by)
+    spans = with_page(prefixed(found, held.select(*by, "width", "calibration_end"), by, [*by, "row"], {"cum": flag}), held.select(*by, "width"), by)
     spans = spans.select(*by, "row", present(edge_span(c("cum"), w)).alias("span"))
     page = _rows_together(spans.select(*by, "row", c("span.start").cast("double").alias("starts"), c("span.end").cast("double").alias("ends")), by, ["starts", "ends"], 12)
-    page = page.join(held.select(*by, "width", "grid_period", "speed", F.transform("centers", lambda x: x.cast("double")).alias("axis")), by)
+    page = with_page(page, held.select(*by, "width", "grid_period", "speed", F.transform("centers", lambda x: x.cast("double")).alias("axis")), by)
 
     at_edge = lambda name, cond: F.size(F.filter(name, cond)) <= p["edges"]
     page = page.where(at_edge("starts", lambda s: s <= whole(w * F.lit(p["left"][0]))) & at_edge("ends", lambda e: e >= whole(w * F.lit(p["right"][1]))))
@@ -330,11 +339,11 @@ def twelve_origins(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: lis
     whose measures can't be used, don't appear; pages whose rows disagree appear as not accepted.
     """
     o, p, t, w, d = policy.TWELVE_ORIGIN, policy.TWELVE, policy.TIME_RANGES, c("width"), c("duration")
-    held = pages.join(row_facts(rows, by), by).where(F.size("centers") == 12).withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["origin_band"])))).where((F.array_min("centers") + c("radius") >= 0) & (F.array_max("centers") - c("radius") < c("height")))
+    held = with_page(pages, row_facts(rows, by), by).where(F.size("centers") == 12).withColumn("radius", F.greatest(F.lit(2), whole(c("spacing") * F.lit(p["origin_band"])))).where((F.array_min("centers") + c("radius") >= 0) & (F.array_max("centers") - c("radius") < c("height")))
     found = supports(pixels, held, by, {"ink": c("radius")})
-    place = Window.partitionBy(*by).orderBy("row")
-    scaled = rows.withColumn("row", F.row_number().over(place) - 1).select(*by, "row", c("pixels_per_mm").alias("mm"))
-    sums = prefixed(found, held.select(*by, "width"), by, [*by, "row"], {"cum": c("ink") >= policy.BAND}).join(held.select(*by, "width", "speed", "calibration_end"), by).join(scaled, [*by, "row"])
+    scaled = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("row", F.col("center").cast("int").alias("center"), "pixels_per_mm"))).alias("_scales"))
+    sums = with_page(prefixed(found, held.select(*by, "width"), by, [*by, "row"], {"cum": c("ink") >= policy.BAND}), held.select(*by, "width", "speed", "calibration_end"), by)
+    sums = with_page(sums, scaled, by).withColumn("mm", F.get("_scales", c("row"))["pixels_per_mm"]).drop("_scales")
     each_row = sums.where(c("mm").between(*p["mm"])).withColumn("duration", whole(c("mm") * c("speed") * F.lit(p["seconds"]))).where((d >= o["least"]) & (d <= w * F.lit(o["widest"])))
     lo, hi = F.greatest(F.lit(0), whole(w * F.lit(o["first"])), F.coalesce(c("calibration_end"), F.lit(0))), F.least(w - d, whole(w * F.lit(o["last"])))
     each_row = fixed(each_row, lo=lo, hi=hi).where(c("hi") >= c("lo"))
@@ -353,7 +362,7 @@ def twelve_origins(pixels: DataFrame, rows: DataFrame, pages: DataFrame, by: lis
     found_rows = each_row.select(*by, "row", "duration", "mm", present(begin).alias("start"))
 
     page = _rows_together(found_rows.select(*by, "row", c("start").cast("double").alias("starts"), c("duration").alias("lengths"), c("mm").alias("scales")), by, ["starts", "lengths", "scales"], 12)
-    page = fixed(page.join(held.select(*by, "width", F.transform("centers", lambda x: x.cast("double")).alias("axis")), by), line=_robust_line(c("starts"), c("axis"))).where("line is not null")
+    page = fixed(with_page(page, held.select(*by, "width", F.transform("centers", lambda x: x.cast("double")).alias("axis")), by), line=_robust_line(c("starts"), c("axis"))).where("line is not null")
     page = fixed(page, predicted=_predicted(c("line")), slack=F.greatest(F.lit(2), F.ceil(middle(c("scales")) * F.lit(p["tolerance_mm"])).cast("int")))
     page = fixed(page, rest=F.transform("starts", lambda s, i: F.abs(s - F.get("predicted", i))))
     page = fixed(page, corrected=F.size(F.filter("rest", lambda r: r > c("slack"))))

@@ -1,10 +1,15 @@
 """Steps that must not grow beyond their input: their plans, and the same results as plain loops."""
 
 import math
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import resample
+from lacuna import queries, queries_ranges  # noqa: F401
+from lacuna.operators import ranges, resample
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plan(df) -> str:
@@ -26,3 +31,18 @@ def test_affine_sample_shuffles_series_only(spark):
                 want[k, hyp, s] = v0 if at == lo else None if v0 is None or v1 is None else v0 + (v1 - v0) * (at - lo)
     assert {(r.k, r.hyp, r.sample): r.value for r in made.collect()} == want
     assert "Join" not in plan(made)  # samples times hypotheses met their neighbours by a join
+
+
+def test_prefix_sums_of_pages_and_rows(spark):
+    pages = spark.createDataFrame([(1, 4, True), (2, 3, True), (3, 2, False)], "k long, width int, on boolean")
+    columns = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 2, 1.0), (1, 1, 3, 0.1), (1, 1, 9, 1.0), (2, 0, 1, None), (3, 0, 1, 1.0)], "k long, row int, x int, ink double")
+    rows = ranges.prefixed(columns, pages, ["k"], ["k", "row"], {"a": F.col("ink") >= 0.5, "b": F.col("on")}).collect()
+    assert {(r.k, r.row): (r.a, r.b) for r in rows} == {(1, 0): ([0, 1, 1, 2, 2], [0, 1, 1, 2, 2]), (1, 1): ([0] * 5, [0, 0, 0, 0, 1]), (2, 0): ([0] * 4, [0, 0, 1, 1]), (3, 0): ([0, 0, 1], [0] * 3)}
+    whole = ranges.prefixed(columns.where("k = 1 and row = 0").drop("row"), pages, ["k"], ["k"], {"a": F.col("ink") >= 0.5}).collect()
+    assert {r.k: r.a for r in whole} == {1: [0, 1, 1, 2, 2], 2: [0] * 4, 3: [0] * 3}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["six_by_two_ranges", "three_by_four_ranges", "twelve_row_consensus", "twelve_row_origins", "twelve_row_spans", "global_timing_disagrees"])
+def test_pages_are_never_broadcast(spark, name):
+    assert "Broadcast" not in plan(queries.QUERIES[name](spark, DATA))
