@@ -47,5 +47,5 @@ def connections(paths: DataFrame, domains: DataFrame, by: list[str], size: float
     pieces = met.select(*by, "id", "domain", F.explode(curves.positive_intervals(along)).alias("i")).select(*by, "id", F.struct("i.lo", "i.hi", "domain").alias("i"))
     found = pieces.groupBy(*by, "id").agg(F.array_sort(F.collect_list("i")).alias("intervals"))
     none = F.array().cast("array<struct<lo:double,hi:double,domain:long>>")
-    listed = paths.select(*by, "id").join(found, [*by, "id"], "left").withColumn("intervals", F.coalesce("intervals", none))
+    listed = paths.select(*by, "id").join(found.hint("merge"), [*by, "id"], "left").withColumn("intervals", F.coalesce("intervals", none))
     return listed.select(*by, "id", curves.covered(c("intervals")).alias("covered"), "intervals")

@@ -30,8 +30,8 @@ def paper_places(spark, d):
     points, cells = _field(spark, d)
     keyed = points.withColumn("i", F.struct("id", "i"))
     there = fields.to_paper(keyed, cells, ["page"], 10.0)
-    back = fields.to_source(there.select("page", "i", "x", "mm").where("mm is not null"), cells, ["page"], 10.0).select("page", "i", F.col("y").alias("y_again"))
-    return there.join(back, ["page", "i"], "left").select("page", "i.id", "i.i", "cell", "n_cells", F.round("mm", 8).alias("mm"), F.round("y_again", 8).alias("y_again"))
+    back = fields.to_source(there.select("page", "i", "x", "mm", F.col("cell").alias("own"), F.col("n_cells").alias("n_own")), cells, ["page"], 10.0)
+    return back.select("page", "i.id", "i.i", F.col("own").alias("cell"), F.col("n_own").alias("n_cells"), F.round("mm", 8).alias("mm"), F.round("y", 8).alias("y_again"))
 
 
 @query(f"""WITH {_MESH}, sl AS (SELECT *, (u1 - u0) / (x1 - x0) AS us, (v1 - v0) / (x1 - x0) AS vs FROM dm),

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna import queries, queries_ranges  # noqa: F401
+from lacuna import queries, queries_fields, queries_ranges, queries_trust  # noqa: F401
 from lacuna.operators import ranges, resample
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -46,3 +46,14 @@ def test_prefix_sums_of_pages_and_rows(spark):
 @pytest.mark.parametrize("name", ["six_by_two_ranges", "three_by_four_ranges", "twelve_row_consensus", "twelve_row_origins", "twelve_row_spans", "global_timing_disagrees"])
 def test_pages_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(queries.QUERIES[name](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_points_are_not_grouped_nor_joined_with_themselves(spark):
+    text = plan(queries.QUERIES["paper_places"](spark, DATA))
+    assert text.count("Join ") <= 2  # each time with the squares of the mesh
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_ways_of_paths_are_not_broadcast(spark):
+    assert plan(queries.QUERIES["paper_signals"](spark, DATA)).count("SortMergeJoin") >= 3
