@@ -57,3 +57,10 @@ def test_points_are_not_grouped_nor_joined_with_themselves(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_ways_of_paths_are_not_broadcast(spark):
     assert plan(queries.QUERIES["paper_signals"](spark, DATA)).count("SortMergeJoin") >= 3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_leads_are_not_shuffled(spark):
+    text = plan(queries.QUERIES["lead_gates"](spark, DATA))
+    before, generated = text.count("Exchange hashpartitioning"), text.index("Generate explode")
+    assert before == text.count("REPARTITION_BY_NUM") and "Exchange" in text[generated:]  # candidates are, below the generator
