@@ -148,10 +148,21 @@ def complete_lead() -> Column:
     return holds(_reaches(policy.PUBLISHABLE) & (F.col("errors") == 0))
 
 
+def backed_boundaries() -> Column:
+    """What a candidate must show for its leads to count though their ends are cut off."""
+    c = F.col
+    return holds(c("canonical") & c("passed") & boundary_layout() & (c("minimum_coverage") >= policy.BOUNDARY) & (F.coalesce("excursions", F.lit(0)) == 0))
+
+
+def whole_boundary() -> Column:
+    """What such a lead must show itself: nothing missing inside, no unsafe excursion."""
+    c = F.col
+    return holds(_reaches(policy.BOUNDARY) & (c("outside") == 0) & (c("errors") == 0) & (F.coalesce("lead_excursions", F.lit(0)) == 0) & c("unbroken"))
+
+
 def boundary_lead() -> Column:
     """A lead whose ends are cut off, backed by source fidelity: nothing missing inside, no unsafe excursion."""
-    c = F.col
-    return holds(c("canonical") & c("passed") & boundary_layout() & _reaches(policy.BOUNDARY) & (c("outside") == 0) & (c("errors") == 0) & (c("minimum_coverage") >= policy.BOUNDARY) & (F.coalesce("excursions", F.lit(0)) == 0) & (F.coalesce("lead_excursions", F.lit(0)) == 0) & c("unbroken"))
+    return backed_boundaries() & whole_boundary()
 
 
 def reviewable_lead() -> Column:

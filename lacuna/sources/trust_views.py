@@ -31,7 +31,7 @@ LEADS = {
 }
 RMSE = "CAST((x.h + y.h) % 100 + (lead % 3) * 5 AS DOUBLE)"
 #: Candidates in a part.
-ROWS_IN_PART = 200_000
+ROWS_IN_PART = 100_000
 #: The same tables for a SQL oracle.
 SQL = f"""cand AS (SELECT {', '.join(f'{e} AS "{n}"' for n, e in COLUMNS.items())} FROM lineitem),
 lds AS (SELECT run, id, lead, {', '.join(f'{e} AS {n}' for n, e in LEADS.items())} FROM cand, (SELECT unnest(range(12)) AS lead)),
@@ -39,16 +39,17 @@ prs AS (SELECT x.run, x.id AS a, y.id AS b, lead, {RMSE} AS rmse FROM cand x JOI
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """candidates, leads, pairs."""
+    """candidates, leads, pairs (one row a pair, with its leads)."""
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(f"{COLUMNS['run']} AS run", f"{COLUMNS['id']} AS id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     made = lambda df: df.selectExpr("run", "id", *(f"{e} AS `{n}`" for n, e in COLUMNS.items() if n not in ("run", "id")))
-    # dealt by candidate while a candidate is a few numbers: its leads, twelve rows each, then lie beside it. The number of parts
-    # follows the rows, not the bytes shuffled, since each part grows by its leads afterwards.
-    parts = max(spark.sparkContext.defaultParallelism, -(-raw.count() // ROWS_IN_PART))
-    candidates = made(raw.repartition(parts, "run", "id"))
+    # dealt by run while a candidate is a few numbers: its leads, twelve rows each, and its pairs then lie beside it. The number
+    # of parts follows the rows, not the bytes shuffled, since each part grows by its leads and pairs afterwards.
+    dealt = raw.repartition(max(spark.sparkContext.defaultParallelism, -(-raw.count() // ROWS_IN_PART)), "run")
+    candidates = made(dealt)
     each = candidates.selectExpr("*", "explode(sequence(0L, 11L)) AS lead")
     leads = each.selectExpr("run", "id", "lead", *(f"{e} AS {n}" for n, e in LEADS.items()))
-    side = made(raw).where("canonical")
+    side = made(dealt).where("canonical")
     x, y = side.selectExpr("run", "id AS a", "h AS xh"), side.selectExpr("run", "id AS b", "h AS yh")
-    pairs = x.join(y, "run").where("a < b").selectExpr("run", "a", "b", "xh", "yh", "explode(sequence(0L, 11L)) AS lead").selectExpr("run", "a", "b", "lead", RMSE.replace("x.h", "xh").replace("y.h", "yh") + " AS rmse")
+    rmse = RMSE.replace("x.h", "xh").replace("y.h", "yh")
+    pairs = x.join(y.hint("shuffle_hash"), "run").where("a < b").selectExpr("run", "a", "b", "array(" + ", ".join(f"struct({k}L AS lead, {rmse.replace('lead', str(k))} AS rmse)" for k in range(12)) + ") AS leads")
     return candidates, leads, pairs

@@ -64,3 +64,19 @@ def test_leads_are_not_shuffled(spark):
     text = plan(queries.QUERIES["lead_gates"](spark, DATA))
     before, generated = text.count("Exchange hashpartitioning"), text.index("Generate explode")
     assert before == text.count("REPARTITION_BY_NUM") and "Exchange" in text[generated:]  # candidates are, below the generator
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["conservative_peers", "complete_agreement", "lead_identity", "trusted_leads", "low_resolution_corroboration", "native_corroboration"])
+def test_candidates_are_dealt_by_run_alone(spark, name):
+    dealt = [line for line in plan(queries.QUERIES[name](spark, DATA)).splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)  # neither leads nor pairs, which are many times as many
+
+
+def test_pairs_agree_packed_or_by_lead(spark):
+    from lacuna.operators import trust
+
+    by_lead = spark.createDataFrame([(1, 5, 7, 0, 10.0), (1, 5, 7, 1, 80.0), (1, 7, 9, 0, None)], "run long, a long, b long, lead long, rmse double")
+    got = {(r.run, r.id, r.peer): sorted((m.lead, m.rmse) for m in r.leads) for r in trust.directed(by_lead).collect()}
+    assert got == {(1, 5, 7): [(0, 10.0), (1, 80.0)], (1, 7, 5): [(0, 10.0), (1, 80.0)], (1, 7, 9): [(0, None)], (1, 9, 7): [(0, None)]}
+    assert trust.directed(trust.packed(by_lead)).count() == 4
