@@ -102,13 +102,16 @@ def rhythm_check(fits: DataFrame, rhythm: DataFrame, by: list[str]) -> DataFrame
 def slots(fits: DataFrame, by: list[str]) -> DataFrame:
     """by, row, column, lead, left, top, right, bottom of the twelve labels and the rhythm label; fits: as of rhythm_check.
 
-    None for a page of which a box would leave the image.
+    None for a page of which a box would leave the image. Sides are rounded half to even; places are known to nine digits, so a
+    half stays one whatever order its sums were taken in.
     """
     names = [(r, k, n) for r, line in enumerate(policy.LABEL_ROWS) for k, n in enumerate(line)]
     before, half, behind = (F.lit(v) * c("font") for v in _G["box"])
 
+    side = lambda v: whole(F.round(v, 9))
+
     def box(row: int, column: int, lead: str, x: Column, y: Column) -> Column:
-        return F.struct(F.lit(row).alias("row"), F.lit(column).alias("column"), F.lit(lead).alias("lead"), whole(x - before).alias("left"), whole(y - half).alias("top"), whole(x + behind).alias("right"), whole(y + half).alias("bottom"))
+        return F.struct(F.lit(row).alias("row"), F.lit(column).alias("column"), F.lit(lead).alias("lead"), side(x - before).alias("left"), side(y - half).alias("top"), side(x + behind).alias("right"), side(y + half).alias("bottom"))
 
     boxes = [box(r, k, n, at(c("x_fit"), r, k), at(c("y_fit"), r, k)) for r, k, n in names] + [box(3, 0, "II", c("rhythm_x"), c("rhythm_y"))]
     made = fixed(fits.where((c("rank") == 4) & c("rhythm_x").isNotNull() & c("rhythm_y").isNotNull()), boxes=F.array(*boxes))

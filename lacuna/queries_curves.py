@@ -103,7 +103,7 @@ _RHYTHM = "52.0D + k % 40 AS rhythm_x, 520.0D + (k % 13) * 6 AS rhythm_y"
 
 @query(f"""WITH {_LABEL_SQL}, rh AS (SELECT fl.*, {_sql(_RHYTHM)} FROM fl), ok AS (SELECT *, abs(rhythm_x - bx0 - 3 * bx1) < 0.12 * (bx2 + 3 * bx3) AND abs(rhythm_y - by0 - 3 * by1) < 0.25 * by1 AS good FROM rh),
 bx AS (SELECT k, r, c, lead, width, height, font, CASE WHEN r = 3 THEN rhythm_x ELSE bx0 + bx1 * r + bx2 * c + bx3 * r * c END AS x, CASE WHEN r = 3 THEN rhythm_y ELSE by0 + by1 * r + by2 * c + by3 * r * c END AS y FROM ok, (SELECT "row" AS r, "column" AS c, lead FROM nl UNION ALL SELECT 3, 0, 'II') WHERE good),
-rd AS (SELECT *, round_even(x - 0.65 * font, 0) AS l, round_even(y - 0.6 * font, 0) AS t, round_even(x + 3.4 * font, 0) AS e, round_even(y + 0.6 * font, 0) AS b FROM bx)
+rd AS (SELECT *, round_even(round(x - 0.65 * font, 9), 0) AS l, round_even(round(y - 0.6 * font, 9), 0) AS t, round_even(round(x + 3.4 * font, 9), 0) AS e, round_even(round(y + 0.6 * font, 9), 0) AS b FROM bx)
 SELECT k, r AS "row", c AS "column", lead, CAST(l AS INT) AS "left", CAST(t AS INT) AS top, CAST(e AS INT) AS "right", CAST(b AS INT) AS bottom FROM rd QUALIFY bool_and(l >= 0 AND l < e AND e <= width AND t >= 0 AND t < b AND b <= height) OVER (PARTITION BY k)""")
 def label_slots(spark, d):
     rhythm = views.read(spark, d, "supplier").selectExpr("s_suppkey AS k").selectExpr("k", *_RHYTHM.split(", "))

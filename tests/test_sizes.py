@@ -80,3 +80,50 @@ def test_pairs_agree_packed_or_by_lead(spark):
     got = {(r.run, r.id, r.peer): sorted((m.lead, m.rmse) for m in r.leads) for r in trust.directed(by_lead).collect()}
     assert got == {(1, 5, 7): [(0, 10.0), (1, 80.0)], (1, 7, 5): [(0, 10.0), (1, 80.0)], (1, 7, 9): [(0, None)], (1, 9, 7): [(0, None)]}
     assert trust.directed(trust.packed(by_lead)).count() == 4
+
+
+def _solved(rows):
+    """Gauss-Jordan steps over fractions; rows: matrix with two right sides."""
+    for i in range(4):
+        pivot = next(r for r in range(i, 4) if rows[r][i])
+        rows[i], rows[pivot] = rows[pivot], rows[i]
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        rows = [r if j == i else [v - r[i] * w for v, w in zip(r, rows[i], strict=True)] for j, r in enumerate(rows)]
+    return rows
+
+
+def test_sides_of_label_boxes_are_halved_exactly(spark):
+    from fractions import Fraction
+
+    from lacuna import queries_curves as q
+    from lacuna.operators import labels
+    from lacuna.plans import policy
+
+    pages = spark.createDataFrame([(327,), (379,), (5219,)], "k long").selectExpr("k", *q._PAGE_OF.split(", "))
+    places = [(r, k, n) for r, line in enumerate(policy.LABEL_ROWS) for k, n in enumerate(line)]
+    named = F.explode(F.array(*(F.struct(F.lit(r).alias("row"), F.lit(k).alias("column"), F.lit(n).alias("lead")) for r, k, n in places)))
+    points = pages.select("k", named.alias("n")).select("k", "n.*").where(q._THERE).selectExpr("k", "row", "column", "lead", *q._LABEL.split(", ")).cache()
+    fits = labels.fit(points.select("k", "lead", "x", "y"), pages, ["k"]).withColumns({"rhythm_x": F.lit(60.0), "rhythm_y": F.lit(540.0)})
+    font = {r.k: Fraction(str(r.font)) for r in pages.collect()}
+    half, got, halves = Fraction(1, 2), labels.slots(fits, ["k"]).where("row < 3").collect(), 0
+    before, over, behind = (Fraction(str(v)) for v in policy.LABEL_GRID["box"])
+    at = {}
+    for k in font:
+        seen = [([1, r.row, r.column, r.row * r.column], Fraction(r.x), Fraction(r.y)) for r in points.where(F.col("k") == k).collect()]
+        at[k] = _solved([[Fraction(sum(t[i] * t[j] for t, _, _ in seen)) for j in range(4)] + [sum(t[i] * v[side] for t, *v in seen) for side in (0, 1)] for i in range(4)])
+    assert {r.k for r in got} == set(font)
+    for r in got:
+        x, y = (sum(t * row[side] for t, row in zip([1, r.row, r.column, r.row * r.column], at[r.k], strict=True)) for side in (4, 5))
+        want = [x - before * font[r.k], y - over * font[r.k], x + behind * font[r.k], y + over * font[r.k]]
+        halves += sum(v % 1 == half for v in want)
+        assert [r.left, r.top, r.right, r.bottom] == [round(v) for v in want]
+    assert halves
+
+
+def test_label_slots_say_the_same_at_halves(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(320, 380).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = db.execute(queries.ORACLE_SQL["label_slots"]).fetchall()
+    assert want and {tuple(r) for r in queries.QUERIES["label_slots"](spark, str(tmp_path)).collect()} == set(want)
