@@ -77,11 +77,19 @@ SELECT k, CAST(shift AS INT) AS shift, matches FROM (SELECT *, row_number() OVER
 def anchor_shift(spark, d):
     e = views.read(spark, d, "events").select(F.col("user_id").alias("k"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)).cast("long").alias("t"), "event_type")
     a, b = (e.where(F.col("event_type") == x).select("k", "t").distinct() for x in ("purchase", "view"))
-    moved = a.select("k", "t", F.explode(F.sequence(F.lit(-policy.ALIGN_RADIUS), F.lit(policy.ALIGN_RADIUS))).alias("shift"))
-    near = moved.select("k", "shift", "t", F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1)))).alias("off")).withColumn("at", F.col("t") + F.col("shift") + F.col("off"))
-    gap = near.join(b.withColumnRenamed("t", "at"), ["k", "at"], "left_semi").groupBy("k", "shift", "t").agg(F.min(F.abs("off")).alias("gap"))
-    full = moved.join(gap, ["k", "shift", "t"], "left").groupBy("k", "shift").agg(F.count("gap").alias("matches"), F.coalesce(F.sum("gap"), F.lit(0)).alias("cost"))
-    best = F.min_by(F.struct("shift", "matches"), F.struct(-F.col("matches"), F.col("cost"), F.abs("shift"), F.col("shift")))
+    # the hours around a purchase are the bits of one number, bit 0 the earliest; views are bitmaps of as many hours
+    reach = policy.ALIGN_RADIUS + 1
+    span = 2 * reach + 1
+    of = b.groupBy("k", F.floor(F.col("t") / span).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(t, {span}) as int))")).alias("bits"))
+    sides = of.select("k", "bits", F.explode(F.array(F.struct("at", F.lit(True).alias("own")), F.struct((F.col("at") - 1).alias("at"), F.lit(False).alias("own")))).alias("s"))
+    side = lambda own: F.coalesce(F.max(F.when(F.col("s.own") == own, F.col("bits"))), F.lit(0).cast("long"))
+    maps = sides.groupBy("k", F.col("s.at").alias("at")).agg(side(True).alias("low"), side(False).alias("high"))
+    met = a.select("k", F.floor((F.col("t") - reach) / span).alias("at"), F.pmod(F.col("t") - reach, F.lit(span)).cast("int").alias("cut")).join(maps, ["k", "at"], "left")
+    seen = met.select("k", F.expr(f"coalesce(shiftrightunsigned(low, cut) | (shiftleft(high, {span} - cut) & {2**span - 1}L), 0L)").alias("seen"))
+    gap = F.expr(f"transform(sequence(1, {span - 2}), j -> struct(j - {reach} AS shift, CASE WHEN getbit(seen, j) = 1 THEN 0 WHEN getbit(seen, j - 1) = 1 OR getbit(seen, j + 1) = 1 THEN 1 END AS gap))")
+    full = seen.select("k", F.explode_outer(F.filter(gap, lambda g: g["gap"].isNotNull())).alias("g")).groupBy("k", F.col("g.shift").alias("shift")).agg(F.count("g.gap").alias("matches"), F.coalesce(F.sum("g.gap"), F.lit(0)).alias("cost"))
+    none = F.coalesce("shift", F.lit(0))  # a purchase that no shift brings near a view
+    best = F.min_by(F.struct(none.alias("shift"), "matches"), F.struct(-F.col("matches"), F.col("cost"), F.abs(none), none))
     return full.groupBy("k").agg(best.alias("b")).select("k", "b.shift", "b.matches")
 
 

@@ -127,3 +127,23 @@ def test_label_slots_say_the_same_at_halves(spark, tmp_path):
     db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     want = db.execute(queries.ORACLE_SQL["label_slots"]).fetchall()
     assert want and {tuple(r) for r in queries.QUERIES["label_slots"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_anchor_shifts_match_plain_loops(spark, tmp_path):
+    from lacuna import queries_more  # noqa: F401
+
+    views = {1: [0, 43, 44, 90, -30], 2: [500], 3: []}
+    buys = {1: [1, 20, 42, 43, 64, -9], 2: [10], 3: [7]}
+    rows = [(k, 3600 * t, kind) for kind, found in (("view", views), ("purchase", buys)) for k, hours in found.items() for t in hours]
+    spark.createDataFrame(rows, "user_id long, s long, event_type string").selectExpr("user_id", "timestamp_seconds(s) AS ts", "event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    made = queries.QUERIES["anchor_shift"](spark, str(tmp_path))
+    assert plan(made).count("Join ") == 1  # purchases with bitmaps of hours; not every shift with every view
+    want = {}
+    for k, hours in buys.items():
+        tried = []
+        for shift in range(-20, 21):
+            gaps = [min((abs(v - t - shift) for v in views[k]), default=9) for t in hours]
+            near = [g for g in gaps if g <= 1]
+            tried.append((-len(near), sum(near), abs(shift), shift))
+        want[k] = (min(tried)[3], -min(tried)[0])
+    assert {r.k: (r.shift, r.matches) for r in made.collect()} == want
