@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +30,26 @@ def bounds(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return F.least(c, a + b + c, inner), F.greatest(c, a + b + c, inner)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), its value worked out once, not again for each place and each element at which a lambda names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def positive_intervals(margins: Column) -> Column:
     """Intervals (lo, hi) of [0, 1], cut at all roots, in which every margin (a, b, c) is non-negative.
 
     Whether an interval counts is decided in its middle, so margins that only touch zero don't end one. No margins: all of it.
     """
-    inner = F.filter(F.flatten(F.transform(margins, lambda m: roots(m["a"], m["b"], m["c"]))), lambda t: (t > 0) & (t < 1))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
-    pieces = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts)), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
-    return F.filter(pieces, lambda p: F.forall(margins, lambda m: value(m["a"], m["b"], m["c"], (p["lo"] + p["hi"]) / 2) >= 0))
+
+    def cuts(of: Column) -> Column:
+        inner = F.filter(F.flatten(F.transform(of, lambda m: roots(m["a"], m["b"], m["c"]))), lambda t: (t > 0) & (t < 1))
+        return F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+
+    def pieces(at: Column) -> Column:
+        return F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    holds = lambda of, p: F.forall(of, lambda m: value(m["a"], m["b"], m["c"], (p["lo"] + p["hi"]) / 2) >= 0)
+    return _once(margins, lambda of: F.filter(_once(cuts(of), pieces), lambda p: holds(of, p)))
 
 
 def covered(intervals: Column) -> Column:

@@ -32,6 +32,7 @@ def positive_intervals(spark, d):
 
 
 # A page (nation) has trapezoids side by side, one of twelve missing; suppliers' and customers' curves run over them.
+ROWS_IN_PART = 20_000  # paths: each becomes a row for every cell and domain that it meets
 _PATHS = "CAST(id % 7 - 3 AS DOUBLE) * 2 AS xa, CAST(id % 31 AS DOUBLE) - 10 AS xb, CAST(id % 100 AS DOUBLE) + 5.25 AS xc, CAST(id % 11 - 5 AS DOUBLE) * 1.5 AS ydy, CAST(id % 13 AS DOUBLE) * 1.25 + 1.5 AS y0"
 _DOMAIN = "10.0D * k AS left, 10.0D * (k + 1) AS right, CAST((k + page) % 3 AS DOUBLE) AS u0, CAST((k + page + 1) % 3 AS DOUBLE) AS u1, 18.0D + (k * page) % 4 AS v0, 18.0D + ((k + 1) * page) % 4 AS v1"
 
@@ -45,7 +46,7 @@ rn AS (SELECT page, id, lo, hi, coalesce(max(hi) OVER (PARTITION BY page, id ORD
 cv AS (SELECT page, id, bool_and(lo <= before + 1e-12) AND max(hi) >= 1 - 1e-12 AS covered, count(*) AS pieces, round(sum(hi - lo), 8) AS extent FROM rn GROUP BY 1, 2)
 SELECT page, id, coalesce(covered, FALSE) AS covered, coalesce(pieces, 0) AS pieces, coalesce(extent, 0) AS extent FROM pt LEFT JOIN cv USING (page, id)""")
 def curve_connections(spark, d):
-    paths = views.read(spark, d, "customer").selectExpr("c_nationkey AS page", "c_custkey AS id").selectExpr("page", "id", *_PATHS.split(", "))
+    paths = views.dealt(views.read(spark, d, "customer").selectExpr("c_nationkey AS page", "c_custkey AS id"), ROWS_IN_PART, "page", "id").selectExpr("page", "id", *_PATHS.split(", "))
     cells = views.read(spark, d, "nation").selectExpr("n_nationkey AS page", "explode(sequence(0, 11)) AS k").where("k <> page % 12").selectExpr("page", "CAST(k AS BIGINT) AS domain", *_DOMAIN.split(", "))
     cells = cells.selectExpr("*", "(u1 - u0) / (right - left) AS us", "(v1 - v0) / (right - left) AS vs")
     margin = lambda ax, ay, k: F.struct(F.expr(ax).alias("ax"), F.expr(ay).alias("ay"), F.expr(k).alias("k"))

@@ -10,6 +10,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df in parts of about so many rows, by keys: a small file is read by few tasks, whatever its rows become behind."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
+
+
 def regular_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, grp, sample, value: one row per element of an embedding."""
     e = read(spark, sf_dir, "embeddings")

@@ -73,6 +73,30 @@ def test_candidates_are_dealt_by_run_alone(spark, name):
     assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)  # neither leads nor pairs, which are many times as many
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_paths_are_dealt_by_rows_before_they_meet_domains(spark, monkeypatch):
+    from lacuna import queries_curves
+
+    assert len(queries.QUERIES["curve_connections"](spark, DATA).collect()) == (n := spark.read.parquet(f"{DATA}/customer.parquet").count())
+    monkeypatch.setattr(queries_curves, "ROWS_IN_PART", 5)
+    made = queries.QUERIES["curve_connections"](spark, DATA)
+    text = plan(made)
+    assert made.rdd.getNumPartitions() == -(-n // 5) > spark.sparkContext.defaultParallelism  # one file is one task, whatever its rows become
+    assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 2  # their pieces stay where they are
+
+
+def test_intervals_take_their_margins_once(spark):
+    from lacuna.functions import curves
+
+    margins = F.transform("m", lambda v: F.struct((v * 7777).alias("a"), (v - 1).alias("b"), (v + 0.5).alias("c")))
+    made = spark.createDataFrame([([-1.0, 2.0],), ([],), (None,)], "m array<double>").select(curves.positive_intervals(margins).alias("i"))
+    assert plan(made.select(F.to_json("i"))).count("7777") == 1  # named again, they were worked out for every piece
+    got = [r.i for r in made.collect()]
+    assert [tuple(i) for i in got[1]] == [(0.0, 1.0)] and got[2] is None
+    fits = lambda t: all((v * 7777 * t + v - 1) * t + v + 0.5 >= 0 for v in (-1.0, 2.0))
+    assert all(fits(t) == any(lo < t < hi for lo, hi in got[0]) for t in (k / 97 for k in range(1, 97)))
+
+
 def test_pairs_agree_packed_or_by_lead(spark):
     from lacuna.operators import trust
 
