@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,40 +73,64 @@ def _runs(evidence: DataFrame, by: list[str]) -> DataFrame:
     return evidence.withColumn("_island", island).groupBy(*by, "y", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("pixels"), F.count_if("omitted").alias("omitted")).drop("_island")
 
 
+def _labelled(runs: pa.Table, by: list[str]) -> pa.Table:
+    """by, component, pixels, omitted of whole pages, one behind the other, their runs (_n, from 1) in reading order."""
+    held = {n: runs[n].to_numpy() for n in ("_n", "y", "x0", "x1", "pixels", "omitted")}
+    first, y, x0, x1 = (held["_n"] == 1).tolist(), held["y"].tolist(), held["x0"].tolist(), held["x1"].tolist()
+    own, above = list(range(len(y))), 0
+
+    def root(k):
+        while own[k] != k:
+            own[k] = own[own[k]]
+            k = own[k]
+        return k
+
+    for k in range(len(y)):
+        if first[k]:
+            above = k
+        while above < k and (y[above] < y[k] - 1 or (y[above] == y[k] - 1 and x1[above] < x0[k] - 1)):
+            above += 1
+        j = above
+        while j < k and y[j] == y[k] - 1 and x0[j] <= x1[k] + 1:
+            a, b = sorted((root(j), root(k)))
+            own[b] = a
+            j += 1
+    roots = np.fromiter((root(k) for k in range(len(y))), np.int64, len(y))
+    heads = np.flatnonzero(roots == np.arange(len(y)))  # the first run of each piece; that of a page heads one
+    piece = np.searchsorted(heads, roots)
+    before = np.maximum.accumulate(np.where(held["_n"][heads] == 1, np.arange(len(heads)), 0))
+    out = runs.select(by).take(pa.array(heads)).append_column("component", pa.array(np.arange(len(heads)) - before))
+    for n in ("pixels", "omitted"):
+        np.add.at(total := np.zeros(len(heads), np.int64), piece, held[n])
+        out = out.append_column(n, pa.array(total))
+    return out
+
+
 def components(evidence: DataFrame, by: list[str]) -> DataFrame:
     """by, component (from 0 in reading order of their first pixels), pixels, omitted of pieces of ink that touch, corners included.
 
-    A page's runs of ink meet in one group; they are far fewer than its pixels.
+    The runs of ink of a page lie behind one another, those of many pages in a task; they are far fewer than its pixels. A task
+    holds one page and one batch of Arrow.
     """
 
-    def run(pdf):
-        pdf = pdf.sort_values(["y", "x0"]).reset_index(drop=True)
-        y, x0, x1 = pdf["y"].tolist(), pdf["x0"].tolist(), pdf["x1"].tolist()
-        own, above = list(range(len(y))), 0
-
-        def root(k):
-            while own[k] != k:
-                own[k] = own[own[k]]
-                k = own[k]
-            return k
-
-        for k in range(len(y)):
-            while above < k and (y[above] < y[k] - 1 or (y[above] == y[k] - 1 and x1[above] < x0[k] - 1)):
-                above += 1
-            j = above
-            while j < k and y[j] == y[k] - 1 and x0[j] <= x1[k] + 1:
-                a, b = sorted((root(j), root(k)))
-                own[b] = a
-                j += 1
-        pdf["component"] = pd.factorize(pd.Series([root(k) for k in range(len(y))]))[0]
-        out = pdf.groupby("component", as_index=False)[["pixels", "omitted"]].sum()
-        for n in by:
-            out[n] = pdf[n].iloc[0]
-        return out[[*by, "component", "pixels", "omitted"]]
-
-    runs = _runs(evidence, by)
+    def run(batches):
+        held = []
+        for batch in batches:
+            starts = np.flatnonzero(batch["_n"].to_numpy() == 1)
+            if len(starts):  # all pages but the last have ended
+                cut = int(starts[-1])
+                ended, held = [*held, batch.slice(0, cut)], [batch.slice(cut)]
+                if sum(len(b) for b in ended):
+                    yield from _labelled(pa.Table.from_batches(ended), by).combine_chunks().to_batches()
+            else:
+                held.append(batch)
+        if held:
+            yield from _labelled(pa.Table.from_batches(held), by).combine_chunks().to_batches()
+
+    reading = Window.partitionBy(*by).orderBy(c("y").asc_nulls_last(), c("x0").asc_nulls_last())
+    runs = _runs(evidence, by).withColumn("_n", F.row_number().over(reading))
     fields = ", ".join(f"`{n}` {runs.schema[n].dataType.simpleString()}" for n in by)
-    return runs.groupBy(*by).applyInPandas(run, f"{fields}, component long, pixels long, omitted long")
+    return runs.mapInArrow(run, f"{fields}, component long, pixels long, omitted long")
 
 
 def verify(pixels: DataFrame, points: DataFrame, pages: DataFrame, by: list[str], tolerance: float = 2.0, masks: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

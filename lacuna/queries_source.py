@@ -13,6 +13,7 @@ _REGION, _TEXT, _GRID, _UNCLEAR = "y BETWEEN 1 AND 6", "(x * y + page) % 9 = 0",
 _BLUE = "CASE WHEN (x + page) % 10 = 0 THEN 60 ELSE 0 END"
 _X, _Y = "CASE WHEN (page + i) % 7 = 0 THEN NULL ELSE i * 1.0 END", "CASE WHEN (page + i) % 7 = 0 THEN NULL ELSE (page * 3 + i * 5) % 8 + 0.5 END"
 _TOLERANCE = 1.5
+ROWS_IN_PART = 2_000  # pages: each becomes its pixels
 
 _SUPPORT = f"""px AS (SELECT vec_id AS page, i % 8 AS x, i // 8 AS y, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i)),
 ik AS (SELECT *, {_SHADE} < 170 AND {_SHADE} + {_BLUE} < 170 AND {_BLUE} < 45 AS dark, {_REGION} AS region, {_TEXT} OR {_GRID} AS excluded, {_UNCLEAR} AS unclear FROM px), ev AS (SELECT page, x, y FROM ik WHERE dark AND region AND NOT excluded AND NOT unclear),
@@ -27,10 +28,11 @@ om AS (SELECT ev.*, NOT EXISTS (SELECT 1 FROM ln WHERE ln.page = ev.page AND (ln
 
 
 def _source(spark, d):
-    e = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("page"), F.posexplode("embedding").alias("i", "v")).selectExpr("page", "i % 8 AS x", "i DIV 8 AS y", "CAST(v AS DOUBLE) AS v")
+    dealt = views.dealt(views.read(spark, d, "embeddings").select(F.col("vec_id").alias("page"), "embedding"), ROWS_IN_PART, "page")
+    e = dealt.select("page", F.posexplode("embedding").alias("i", "v")).selectExpr("page", "i % 8 AS x", "i DIV 8 AS y", "CAST(v AS DOUBLE) AS v")
     masks = f"filter(array(CASE WHEN {_TEXT} THEN 'text' END, CASE WHEN {_GRID} THEN 'grid' END), m -> m IS NOT NULL)"
     pixels = e.selectExpr("page", "CAST(x AS BIGINT) AS x", "CAST(y AS BIGINT) AS y", f"{_SHADE} AS red", f"{_SHADE} AS green", f"{_SHADE} + {_BLUE} AS blue", f"{_REGION} AS region", f"{masks} AS excluded", f"{_UNCLEAR} AS ambiguous")
-    own = views.read(spark, d, "embeddings").selectExpr("vec_id AS page")
+    own = dealt.select("page")
     points = own.selectExpr("page", "explode(sequence(0, 8)) AS i").selectExpr("page", "i", f"CAST({_X} AS DOUBLE) AS x", f"CAST({_Y} AS DOUBLE) AS y")
     return source_support.verify(pixels, points, own.selectExpr("page", "8 AS width", "8 AS height"), ["page"], _TOLERANCE, ["text", "grid"])
 

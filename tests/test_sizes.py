@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna import queries, queries_fields, queries_ranges, queries_trust  # noqa: F401
+from lacuna import queries, queries_fields, queries_ranges, queries_source, queries_trust  # noqa: F401
 from lacuna.operators import ranges, resample
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -171,3 +171,47 @@ def test_anchor_shifts_match_plain_loops(spark, tmp_path):
             tried.append((-len(near), sum(near), abs(shift), shift))
         want[k] = (min(tried)[3], -min(tried)[0])
     assert {r.k: (r.shift, r.matches) for r in made.collect()} == want
+
+
+def test_pieces_of_ink_over_many_pages_and_batches(spark):
+    import itertools
+    import random
+
+    from lacuna.operators import source_support
+
+    rng, rows, want = random.Random(3), [], {}
+    for page in [("a", 1), ("a", 2), ("b", None), (None, 2**60 + 1), *(("c", k) for k in range(40))]:
+        spots = {(y, x): rng.random() < 0.3 for y in range(9) for x in range(11) if rng.random() < 0.3}
+        rows += [(*page, x, y, lost) for (y, x), lost in spots.items()]
+        left, n = set(spots), 0
+        for spot in sorted(spots):
+            todo, piece = [spot], []
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in left:
+                    left.remove((y, x))
+                    piece.append(spots[y, x])
+                    todo += [(y + i, x + j) for i, j in itertools.product((-1, 0, 1), repeat=2)]
+            if piece:
+                want[(*page, n)] = (len(piece), sum(piece))
+                n += 1
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "book string, page long, x long, y long, omitted boolean")
+    made = source_support.components(df, ["book", "page"])
+    assert "FlatMapGroups" not in plan(made)  # a call for each page took most of the time
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", "1", "100000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = source_support.components(df, ["book", "page"]).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert len(got) == len(want) and {(r.book, r.page, r.component): (r.pixels, r.omitted) for r in got} == want
+    assert source_support.components(df.where("false"), ["book", "page"]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["ink_components", "source_verification", "supported_points"])
+def test_source_pages_are_dealt_before_they_become_pixels(spark, name):
+    text = plan(queries.QUERIES[name](spark, DATA))
+    assert "REPARTITION_BY_NUM" in text[text.index("Generate posexplode") :]  # pages are, below the generator
