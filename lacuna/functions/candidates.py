@@ -10,6 +10,8 @@ recovery). A null method means that there is no source fidelity. Nulls never sat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,3 +169,17 @@ def boundary_lead() -> Column:
 
 def reviewable_lead() -> Column:
     return holds((F.col("expected") > 0) & (F.col("finite") >= F.ceil(F.col("expected") * F.lit(policy.REVIEWABLE))) & (F.col("outside") == 0))
+
+
+# leads as bits: lead k of a candidate is bit k of a long, so sets of leads are joined and met by | and &
+
+
+def lead_bit(lead: Column | str = "lead") -> Column:
+    """The bit of a lead's number, 0 to 62; null of null."""
+    number = F.col(lead) if isinstance(lead, str) else lead
+    return F.when(number.between(0, 62), F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int"))).when(number.isNotNull(), F.raise_error(F.concat(F.lit("lead beyond 0 to 62: "), number.cast("string"))).cast("long"))
+
+
+def agreeing(rmse: list[Column]) -> Column:
+    """Bits of the leads of a pair that agree; rmse: of lead 0, 1 and so on."""
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.when(v <= policy.DISAGREEMENT, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, v in enumerate(rmse)))

@@ -6,6 +6,10 @@ The columns are given as SQL expressions that any engine reads, so a query and i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.functions import candidates as rules
+from lacuna.operators.ranges import fixed
 
 _H = "(l_partkey * 7 + l_suppkey * 13 + l_linenumber * 5)"
 _pick = lambda step, *names: "CASE " + " ".join(f"WHEN {_H} % {step} = {k} THEN {'NULL' if n is None else repr(n)}" for k, n in enumerate(names[:-1])) + f" ELSE {'NULL' if names[-1] is None else repr(names[-1])} END"
@@ -39,17 +43,18 @@ prs AS (SELECT x.run, x.id AS a, y.id AS b, lead, {RMSE} AS rmse FROM cand x JOI
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """candidates, leads, pairs (one row a pair, with its leads)."""
-    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(f"{COLUMNS['run']} AS run", f"{COLUMNS['id']} AS id", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    made = lambda df: df.selectExpr("run", "id", *(f"{e} AS `{n}`" for n, e in COLUMNS.items() if n not in ("run", "id")))
-    # dealt by run while a candidate is a few numbers: its leads, twelve rows each, and its pairs then lie beside it. The number
-    # of parts follows the rows, not the bytes shuffled, since each part grows by its leads and pairs afterwards.
-    dealt = raw.repartition(max(spark.sparkContext.defaultParallelism, -(-raw.count() // ROWS_IN_PART)), "run")
-    candidates = made(dealt)
+    """candidates, leads, pairs (one row a pair, with its leads and the bits of those that agree)."""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    # dealt by run while a candidate is four numbers: its leads, twelve rows each, and its pairs then lie beside it. All that is
+    # made of them needs the same four, so they are dealt once. The number of parts follows the rows, not the bytes shuffled,
+    # since each part grows by its leads and pairs afterwards.
+    dealt = raw.repartition(max(spark.sparkContext.defaultParallelism, -(-raw.count() // ROWS_IN_PART)), "l_orderkey")
+    candidates = dealt.selectExpr(*(f"{e} AS `{n}`" for n, e in COLUMNS.items()))
     each = candidates.selectExpr("*", "explode(sequence(0L, 11L)) AS lead")
     leads = each.selectExpr("run", "id", "lead", *(f"{e} AS {n}" for n, e in LEADS.items()))
-    side = made(dealt).where("canonical")
+    side = fixed(candidates.select("run", "id", "h", "canonical"), canonical=F.col("canonical")).where("canonical")
     x, y = side.selectExpr("run", "id AS a", "h AS xh"), side.selectExpr("run", "id AS b", "h AS yh")
-    rmse = RMSE.replace("x.h", "xh").replace("y.h", "yh")
-    pairs = x.join(y.hint("shuffle_hash"), "run").where("a < b").selectExpr("run", "a", "b", "array(" + ", ".join(f"struct({k}L AS lead, {rmse.replace('lead', str(k))} AS rmse)" for k in range(12)) + ") AS leads")
+    rmse = [F.expr(RMSE.replace("x.h", "xh").replace("y.h", "yh").replace("lead", str(k))) for k in range(12)]
+    leads_of_pair = F.array(*(F.struct(F.lit(k).cast("long").alias("lead"), v.alias("rmse")) for k, v in enumerate(rmse)))
+    pairs = x.join(y.hint("shuffle_hash"), "run").where("a < b").select("run", "a", "b", leads_of_pair.alias("leads"), rules.agreeing(rmse).alias("near"))
     return candidates, leads, pairs

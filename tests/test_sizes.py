@@ -215,3 +215,42 @@ def test_pieces_of_ink_over_many_pages_and_batches(spark):
 def test_source_pages_are_dealt_before_they_become_pixels(spark, name):
     text = plan(queries.QUERIES[name](spark, DATA))
     assert "REPARTITION_BY_NUM" in text[text.index("Generate posexplode") :]  # pages are, below the generator
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["trusted_leads", "complete_agreement", "lead_identity"])
+def test_leads_are_bits(spark, name):
+    text = plan(queries.QUERIES[name](spark, DATA))
+    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text  # sets of leads were sorted, candidate by candidate
+    assert text.count("ShuffledHashJoin") <= 13  # 21 and 22 when both ends of a pair worked out their names anew
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_trust_is_the_same_for_pairs_as_bits_packed_or_by_lead(spark, tmp_path):
+    from lacuna.operators import trust
+    from lacuna.sources import trust_views
+
+    spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey between 1 and 60 or l_orderkey = 1294").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")  # 1294 repeats a candidate
+    c, leads, pairs = trust_views.tables(spark, str(tmp_path))
+    c, leads = c.cache(), leads.cache()
+    by_lead = pairs.select("run", "a", "b", F.explode("leads").alias("m")).select("run", "a", "b", "m.*").cache()
+    got = {(r.run, r.id, r.lead) for r in trust.trusted(c, leads, by_lead).collect()}
+    assert got
+    for form in (pairs, pairs.drop("near"), by_lead):
+        rows = [tuple(r) for r in trust.trusted(c, leads, form).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == got
+        named = [tuple(r) for r in trust.identified(trust.facts(c), leads, form).collect()]
+        assert len(named) == len(set(named)) and got <= set(named)
+
+
+def test_bits_of_leads(spark):
+    from lacuna.functions import candidates as rules
+    from lacuna.operators import trust
+
+    df = spark.createDataFrame([(1, 1, k) for k in (0, 11, 62, None)] + [(1, 2, None)], "run long, id long, lead int")
+    bits = df.groupBy("run", "id").agg(F.bit_or(rules.lead_bit()).alias("bits"))
+    assert {(r.id, r.bits) for r in bits.collect()} == {(1, 1 | 1 << 11 | 1 << 62), (2, None)}
+    assert sorted(tuple(r) for r in trust.numbers(bits, "bits").collect()) == [(1, 1, 0), (1, 1, 11), (1, 1, 62)]
+    for beyond in (-1, 63):
+        with pytest.raises(Exception, match="lead beyond 0 to 62"):  # never another lead's bit
+            spark.createDataFrame([(beyond,)], "lead int").select(rules.lead_bit()).collect()
