@@ -63,7 +63,7 @@ def trusted_leads(spark, d):
 SELECT run, count(*) FILTER (status = 'completed' AND why IS NULL AND NOT derived AND wh.id IS NOT NULL) AS trusted_candidates, count(*) FILTER (status = 'completed' AND why IS NULL AND NOT derived AND wh.id IS NOT NULL) > 0 AS agreed FROM g LEFT JOIN wh USING (run, id) GROUP BY 1""")
 def complete_agreement(spark, d):
     c, leads, pairs = trust_views.tables(spark, d)
-    return trust.complete_agreement(c, trust.trusted(c, leads, pairs))
+    return trust.complete_agreement(c, trust.trusted_bits(c, leads, pairs))
 
 
 @query(f"""{ALL}, {LEADS}, dp AS (SELECT run, a AS id, b AS peer, lead, rmse FROM prs UNION ALL SELECT run, b, a, lead, rmse FROM prs),

@@ -222,6 +222,7 @@ def test_source_pages_are_dealt_before_they_become_pixels(spark, name):
 def test_leads_are_bits(spark, name):
     text = plan(queries.QUERIES[name](spark, DATA))
     assert "ObjectHashAggregate" not in text and "SortAggregate" not in text  # sets of leads were sorted, candidate by candidate
+    assert text.count("Generate explode(sequence") == (name != "complete_agreement")  # trusted leads aren't unfolded to be counted
     assert text.count("ShuffledHashJoin") <= 13  # 21 and 22 when both ends of a pair worked out their names anew
 
 
@@ -235,10 +236,13 @@ def test_trust_is_the_same_for_pairs_as_bits_packed_or_by_lead(spark, tmp_path):
     c, leads = c.cache(), leads.cache()
     by_lead = pairs.select("run", "a", "b", F.explode("leads").alias("m")).select("run", "a", "b", "m.*").cache()
     got = {(r.run, r.id, r.lead) for r in trust.trusted(c, leads, by_lead).collect()}
-    assert got
+    whole = sorted(tuple(r) for r in trust.complete_agreement(c, spark.createDataFrame(sorted(got), "run long, id long, lead long")).collect())
+    assert got and len(whole) == c.select("run").distinct().count()
     for form in (pairs, pairs.drop("near"), by_lead):
         rows = [tuple(r) for r in trust.trusted(c, leads, form).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == got
+        agreed = [tuple(r) for r in trust.complete_agreement(c, trust.trusted_bits(c, leads, form)).collect()]
+        assert sorted(agreed) == whole
         named = [tuple(r) for r in trust.identified(trust.facts(c), leads, form).collect()]
         assert len(named) == len(set(named)) and got <= set(named)
 
