@@ -167,8 +167,12 @@ def boundary_lead() -> Column:
     return backed_boundaries() & whole_boundary()
 
 
+def covered_lead() -> Column:
+    return holds((F.col("expected") > 0) & (F.col("finite") >= F.ceil(F.col("expected") * F.lit(policy.REVIEWABLE))))
+
+
 def reviewable_lead() -> Column:
-    return holds((F.col("expected") > 0) & (F.col("finite") >= F.ceil(F.col("expected") * F.lit(policy.REVIEWABLE))) & (F.col("outside") == 0))
+    return covered_lead() & holds(F.col("outside") == 0)
 
 
 # leads as bits: lead k of a candidate is bit k of a long, so sets of leads are joined and met by | and &
